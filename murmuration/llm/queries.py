@@ -55,7 +55,7 @@ def _op5_sql() -> str:
     table = [n for n in range(16)]
     for _ in range(4):
         table = [(x >> 1) ^ (0xEDB88320 * (x & 1)) for x in table]
-    return OP5_SQL.replace("{names}", names).replace("{table}", f"{table}::BIGINT[]")
+    return OP5_SQL.replace("{names}", names).replace("{table}", f"({table}::BIGINT[])")
 
 
 OP6_SQL = """
