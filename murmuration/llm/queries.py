@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import sharding, urlfilter, warc
+from murmuration.llm import html, sharding, topk, toxicity, urlfilter, warc
 
 OP5_SQL = """
 WITH RECURSIVE keyed AS (
@@ -105,13 +105,28 @@ FROM ruled x LEFT JOIN comp c ON c.node = x.node LEFT JOIN blocked b ON b.compon
 """
 
 
+OP9_SQL = """
+WITH good AS (
+  SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.id AS query_id, c.id AS vec_id, max(CAST(list_inner_product(q.v, c.v) AS BIGINT)) AS score
+  FROM good q JOIN good c ON q.id % 50 = 0 AND c.id != q.id GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": html.query,
+        "op2_toxicity_crf": toxicity.query,
         "op5_hash_tree_sharding": sharding.query,
         "op6_warc": warc.query,
+        "op9_topk": topk.query,
         "op10_url_filter": urlfilter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hash_tree_sharding": _op5_sql(), "op6_warc": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op5_hash_tree_sharding": _op5_sql(), "op6_warc": OP6_SQL, "op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL}

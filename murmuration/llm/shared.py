@@ -54,6 +54,8 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; Arrow batches are bounded by bytes too, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -163,8 +165,8 @@ def prefix_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every word of the bytes; a word has no space byte, A-Z count as a-z.
+def words(joined: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word of the bytes; a word has no byte of `gaps`, A-Z count as a-z.
 
     Works through pieces that end at a space, so memory is bounded by PIECE and the longest word.
     """
@@ -173,12 +175,12 @@ def words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = np.frombuffer(joined, np.uint8)
     while at < size:
         to = min(size, at + PIECE)
-        while to < size and not _SPACE[whole[to]]:
-            step = np.flatnonzero(_SPACE[whole[to : to + PIECE]])
+        while to < size and not gaps[whole[to]]:
+            step = np.flatnonzero(gaps[whole[to : to + PIECE]])
             to = to + int(step[0]) if len(step) else min(size, to + PIECE)
         raw = whole[at:to]
         inside = np.zeros(len(raw) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[raw]
+        inside[1:-1] = ~gaps[raw]
         edge = np.diff(inside)
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = prefix_hashes(_LOWER[raw])
