@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import html, ngram_join, sharding, topk, toxicity, urlfilter, warc
+from murmuration.llm import html, ngram_join, sharding, suffix_repeats, topk, toxicity, urlfilter, warc
 
 OP5_SQL = """
 WITH RECURSIVE keyed AS (
@@ -122,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_text": html.query,
         "op2_toxicity_crf": toxicity.query,
         "op3_ngram_jaccard": ngram_join.query,
+        "op4_suffix_repeats": suffix_repeats.query,
         "op5_hash_tree_sharding": sharding.query,
         "op6_warc": warc.query,
         "op9_topk": topk.query,
