@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import html, ngram_join, sharding, suffix_repeats, topk, toxicity, urlfilter, warc
+from murmuration.llm import decontaminate, html, ngram_join, packing, sharding, suffix_repeats, topk, toxicity, urlfilter, warc
 
 OP5_SQL = """
 WITH RECURSIVE keyed AS (
@@ -125,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_repeats": suffix_repeats.query,
         "op5_hash_tree_sharding": sharding.query,
         "op6_warc": warc.query,
+        "op7_spaced_seeds": decontaminate.query,
+        "op8_best_fit_packing": packing.query,
         "op9_topk": topk.query,
         "op10_url_filter": urlfilter.query,
     }

@@ -106,7 +106,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---------------------------------------------------------------- dense ranks
 
 
-def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str = "slot", block: int = 16384) -> DataFrame:
+def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str = "slot", block: int = 4096) -> DataFrame:
     """Gapless 0-based positions within keys, ordered by `order`, whose first column is an integer.
 
     No task sees a whole key: rows are ranked within blocks of the first order column, and
