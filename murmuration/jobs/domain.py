@@ -43,12 +43,12 @@ FROM {lineitem} GROUP BY 1, 2, 3
 
 #: Documents as items of a corpus.
 ITEMS = """
-SELECT concat('item-', doc_id) AS id, source AS slice, lang, CASE WHEN doc_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, CAST(length(text) / 14 AS BIGINT) AS duration, text AS reference
+SELECT concat('item-', doc_id) AS id, source AS slice, lang, CASE WHEN doc_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split, CAST(floor(length(text) / 14) AS BIGINT) AS duration, text AS reference
 FROM {documents}
 """
 
-SPARK = {"seconds": "(unix_millis(ts) - 1704067200000) / 1000.0D", '"end"': "`end`"}
-DUCK = {"seconds": "(epoch_ms(ts) - 1704067200000) / 1000.0::DOUBLE"}
+SPARK = {"seconds": "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', CAST(ts AS timestamp_ntz)) / 1000.0D", '"end"': "`end`"}
+DUCK = {"seconds": "(epoch_us(ts) // 1000 - 1704067200000) / 1000.0::DOUBLE"}
 TABLES = re.compile(r"\{(\w+)\}")
 
 
