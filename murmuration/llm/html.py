@@ -202,10 +202,10 @@ class Page:
         self.drop_noise()
         density, total = self.densities()
         n = len(self.tag)
-        if not density[0]:
+        if not any(text and not text.isspace() and not self.out[node] for node, text in self.items):
             return None
         sums = [s if s else d for s, d in zip(total, density)]
-        best = max(range(n), key=lambda i: (sums[i], i))
+        best = max(range(n), key=lambda i: (sums[i], -i))
         path, limit, node = set(), density[best], best
         while node >= 0:
             path.add(node)

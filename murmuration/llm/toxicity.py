@@ -27,6 +27,7 @@ from murmuration.llm import shared
 from murmuration.llm.shared import U64
 
 BITS = 18
+FLOOR = 0.05
 TOXIC_ROWS, CLEAN_ROWS = 600, 900
 #: Token ends: every ASCII byte that is no letter and no digit.
 GAPS = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
@@ -166,8 +167,11 @@ def marked(features: list[np.ndarray], owner: np.ndarray, toxic: np.ndarray) ->
 
 
 def summary(p: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Per text: log of 1 + expected toxic tokens, greatest marginal, expected share."""
-    total = np.concatenate(([0.0], np.cumsum(p)))
+    """Per text: log of 1 + expected toxic tokens, greatest marginal, expected share.
+
+    Marginals under FLOOR are what any token has by chance; a long text has many, so they don't count.
+    """
+    total = np.concatenate(([0.0], np.cumsum(np.where(p >= FLOOR, p, 0.0))))
     expected = total[first + count] - total[first]
     top = np.zeros(len(first))
     full = np.flatnonzero(count)
