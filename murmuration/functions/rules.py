@@ -45,12 +45,27 @@ def window_bounds(start: Column, end: Column, duration: Column, pad: float = 0.3
     return F.when(good, a), F.when(good, b)
 
 
-def decide(pick: Column, sa: Column, sb: Column, margin: float, default: Column, empty_side: Column) -> Column:
-    """Which side of a scored span wins (FN-18): the better score by more than the margin, twice that to choose an
-    empty side; within it the pick, else the default. The answer is `a` or `b`."""
-    lead = sa - sb
-    need = lambda side: F.when(empty_side == side, 2 * margin).otherwise(margin)
-    return F.when(lead > need("a"), "a").when(-lead > need("b"), "b").when(pick.isin("a", "b"), pick).otherwise(default)
+def decide(pick: Column, sa: Column, sb: Column, margin: Column, default: Column, guarded: Column) -> Column:
+    """What a span becomes, as struct(side, source, unclear, confidence) (FN-18).
+
+    A picked side stands unless the other scores more than the margin above it. Without a pick the
+    better score wins, unsure within the margin. A guarded empty side has to lead by twice the margin. Without
+    scores the pick or the default stands, unsure, but never the guarded empty side.
+    """
+    picked = F.coalesce(pick.isin("a", "b"), F.lit(False))
+    other = lambda side: F.when(side == "a", "b").otherwise("a")
+    score = lambda side: F.when(side == "a", sa).otherwise(sb)
+    beaten = picked & (score(other(pick)) > score(pick) + margin)
+    win = F.when(picked, F.when(beaten, other(pick)).otherwise(pick)).otherwise(F.when(sa > sb, "a").when(sa < sb, "b").otherwise(default))
+    short = F.coalesce((win == guarded) & (score(guarded) - score(other(guarded)) < 2 * margin), F.lit(False))
+    side = F.when(short, other(win)).otherwise(win)
+    unsure = (~picked & (F.abs(sa - sb) <= margin)) | (short & ~picked)
+    source = F.when(unsure, "verify").when(picked & (side == pick), "pick").otherwise("verify")
+    scored = F.struct(side.alias("side"), source.alias("source"), unsure.alias("unclear"), F.when(unsure, 0.3).when(source == "pick", 0.7).otherwise(0.6).alias("confidence"))
+    plain = F.when(picked, pick).otherwise(default)
+    kept = F.when(F.coalesce(plain == guarded, F.lit(False)), other(plain)).otherwise(plain)
+    blind = F.struct(kept.alias("side"), F.lit("pick").alias("source"), F.lit(True).alias("unclear"), F.lit(0.3).alias("confidence"))
+    return F.when(sa.isNull() | sb.isNull(), blind).otherwise(scored)
 
 
 def trust_score(agreement: Column, unclear: Column, skipped: Column) -> tuple[Column, Column]:

@@ -148,16 +148,15 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Chunking, confidence, verification windows and decisions for every event, by decision table (PRJ-11, FN-11, FN-18, FN-24)."""
+    """Chunking, confidence, and verification windows for every event, by decision table (PRJ-11, FN-11, FN-24)."""
     w = words(spark, d)
     kind = F.element_at(F.array(*map(F.lit, ("agree", "substitute", "a_only"))), (F.col("event_id") % 3 + 1).cast("int"))
     pb = F.when(F.col("event_id") % 4 != 0, F.col("prob") / 2)
     lo, hi = rules.window_bounds(F.col("score"), F.col("score") + F.col("event_id") % 50 - 5, F.lit(100.0))
-    pick = F.element_at(F.array(*map(F.lit, ("a", "b", "unclear"))), (F.col("event_id") % 3 + 1).cast("int"))
     return w.select(
         "event_id", rules.should_chunk(F.when(F.col("event_id") % 10 == 0, "off").otherwise("auto"), F.when(F.col("event_id") % 6 == 0, "eg2").otherwise("openai"), F.col("score") * 20, F.col("score")).alias("chunked"),
         F.round(rules.word_confidence(kind, F.col("prob"), pb), 6).alias("confidence"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"),
-        rules.decide(pick, F.col("score"), F.lit(30.0), 5.0, F.lit("a"), F.when(F.col("event_id") % 8 == 0, "a")).alias("side"), T.mmss(F.col("score")).alias("clock"),
+        T.mmss(F.col("score")).alias("clock"),
     )
 
 
@@ -166,7 +165,6 @@ WITH w AS (SELECT *, CASE WHEN event_id % 4 != 0 THEN prob / 2 END AS pb, score
 SELECT event_id, CASE WHEN event_id % 10 = 0 OR event_id % 6 = 0 THEN false ELSE score * 20 >= 1200 OR score >= 24 END AS chunked,
   round(CASE event_id % 3 WHEN 0 THEN coalesce((prob + pb) / 2, prob) WHEN 1 THEN 0.3 * greatest(prob, coalesce(pb, prob)) ELSE 0.2 END, 6) AS confidence,
   round(CASE WHEN h > l AND b >= a THEN CASE WHEN h - l > 30 THEN (l + h) / 2 - 15 ELSE l END END, 6) AS lo, round(CASE WHEN h > l AND b >= a THEN CASE WHEN h - l > 30 THEN (l + h) / 2 + 15 ELSE h END END, 6) AS hi,
-  CASE WHEN score - 30 > CASE WHEN event_id % 8 = 0 THEN 10 ELSE 5 END THEN 'a' WHEN 30 - score > 5 THEN 'b' ELSE CASE event_id % 3 WHEN 1 THEN 'b' ELSE 'a' END END AS side,
   concat(lpad(CAST(CAST(floor(score) AS BIGINT) // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(CAST(floor(score) AS BIGINT) % 60 AS VARCHAR), 2, '0')) AS clock
 FROM w
 """
