@@ -95,7 +95,7 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 2) -> DataF
     """Rank correlation with average ranks (AGG-15): 0 for a constant side, null under `least` rows."""
     rank = lambda c: F.rank().over(W.partitionBy(*keys).orderBy(c)) + (F.count("*").over(W.partitionBy(*keys, c)) - 1) / 2
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, rank(x).alias("_x"), rank(y).alias("_y"))
-    r = F.when(F.count("*") < least, None).otherwise(F.coalesce(F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y")), F.lit(0.0)))
+    r = F.when(F.count("*") < least, None).otherwise(F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")), F.lit(0.0)))
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r.alias("rho"))
 
 
