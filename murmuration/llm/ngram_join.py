@@ -6,12 +6,15 @@
    less than the threshold's share of such shingles can't be similar to any other, exactly.
 2. Lists. The other sets are listed under the rarest shingles of their own: if two sets are
    similar, they share one of these. An entry has the set's size and the shingle's position.
-3. Derived answers. In every list the smallest set id leads. A set is compared with the one
-   leader that it meets most; if they are similar, the set is at home with that leader, at a
-   known distance. Jaccard distance obeys the triangle inequality, so the answers of a leader
-   decide most of those of its members: lists are reduced to blocks of a home each, blocks
-   are skipped by their sizes and positions or if they are one component already, and only
-   homes whose leaders are closer than threshold plus both members' distances are opened.
+3. Derived answers. In every list one set leads. A set is compared with the one leader that
+   it meets most; if they are similar, the set is at home with that leader, at a known
+   distance. Further rounds do the same between sets of different components, with other
+   leaders, as long as links turn up: each has at most one comparison for each set.
+4. What is left are lists of several components. Jaccard distance obeys the triangle
+   inequality, so the answers of a leader decide most of those of its members: lists are
+   reduced to blocks of a home each, blocks are skipped by their sizes and positions or if they
+   are one component already, and of homes whose leaders aren't similar only those members are
+   compared that are closer than threshold plus both distances to their leaders.
 
 Only connected components are asked for, so links inside a component needn't be listed.
 """
@@ -19,11 +22,13 @@ Only connected components are asked for, so links inside a component needn't be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from murmuration.llm import shared
 from murmuration.llm.shared import U64
@@ -195,57 +200,99 @@ def fits(percent: int) -> str:
     )
 
 
+def entries(known: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """The lists: a row for every set and each of the rarest shingles that it is listed under, or those of `lists`."""
+    own = known.select("set", "n", "s", "home", "distance", "comp", *(["head"] if lists is None else []))
+    rows = own.select("*", F.posexplode("head").alias("pos", "token")).drop("head") if lists is None else own.join(lists, "set")
+    return rows.withColumns({"rest": F.col("s") - F.col("pos"), "n0": F.col("n"), "n1": F.col("n")})
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """Lists of more than one component; the others have nothing left to find."""
+    return rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+
+
+def merged(known: DataFrame, links: DataFrame, jumps: int = 2) -> DataFrame:
+    """The sets with components joined by links: each component goes to the least that it links with, and on from there.
+
+    A few jumps needn't reach the end of a chain. Components only tell what need not be compared, so
+    two names for one are harmless; the last step names them once and for all.
+    """
+    to = links.groupBy(F.greatest("comp_a", "comp_b").alias("u")).agg(F.min(F.least("comp_a", "comp_b")).alias("v"))
+    for _ in range(jumps):
+        to = to.alias("x").join(to.alias("y"), F.col("x.v") == F.col("y.u"), "left").select("x.u", F.coalesce("y.v", "x.v").alias("v"))
+    joined = known.join(to, known["comp"] == to["u"], "left")
+    return shared.materialize(joined.withColumn("comp", F.coalesce("v", "comp")).drop("u", "v"))
+
+
+def lead_round(known: DataFrame, lists: DataFrame | None, sets: DataFrame, percent: int, nth: int, tries: int = 4) -> DataFrame:
+    """(a, b, comp_a, comp_b, distance, linked): each set against the leaders of other components that it meets most.
+
+    The leader of a list is its set of least hash, another one in every round; in the first the least set.
+    """
+    rows = entries(known, lists)
+    order = F.col("set") if nth == 0 else F.xxhash64("set", F.lit(nth))
+    lead = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "set", "comp", "n0", "n1", "rest")).alias("y"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    met = rows.alias("x").join(lead.select("token", "y"), "token").where(f"x.comp != y.comp and {fits(percent)}")
+    met = met.groupBy("set", F.col("y.set").alias("lead")).agg(F.count("*").alias("times"), F.first("comp").alias("comp_a"), F.first("y.comp").alias("comp_b"))
+    # the first round gives each set its home; later ones try a few leaders each, so that components meet soon
+    most = F.row_number().over(W.partitionBy("set").orderBy(F.desc("times"), "lead"))
+    best = met.withColumn("_k", most).where(F.col("_k") <= (1 if nth == 0 else tries))
+    pairs = shared.materialize(best.select(F.col("set").alias("a"), F.col("lead").alias("b"), "comp_a", "comp_b"))
+    return shared.materialize(compare(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]))
+
+
 def set_components(sets: DataFrame, percent: int = 75) -> DataFrame:
-    """(node, component) over sets that link with another."""
+    """(set, comp) of every set that has a link."""
     far = 1 - percent / 100
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("tokens"))
-    heads = sets.select("set", "n", F.size("tokens").alias("s"), F.slice("tokens", 1, F.greatest(prefix.cast("int"), F.lit(1))).alias("head"))
-    entry = heads.select("set", "n", "s", F.posexplode("head").alias("pos", "token")).withColumn("rest", F.col("s") - F.col("pos"))
-
-    # A set's answers derive from the leader that it meets in most lists.
-    lead = entry.groupBy("token").agg(F.min("set").alias("lead"), F.max("set").alias("last")).where("lead < last").drop("last")
-    met = entry.select("token", "set").join(lead, "token").where("set != lead").groupBy("set", "lead").agg(F.count("*").alias("times"))
-    best = met.groupBy("set").agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("b")).select(F.col("set").alias("a"), "b")
-    near = shared.materialize(compare(best, sets, percent))
-    edges = near.where("linked").select("a", "b")
-    parts = shared.materialize(shared.components(edges))
-
-    home = near.where("linked").select(F.col("a").alias("set"), F.col("b").alias("home"), "distance")
-    known = (
-        heads.select("set", "n", "s", "head").join(home, "set", "left").join(parts.withColumnRenamed("node", "set"), "set", "left")
-        .select("set", "n", "s", "head", F.coalesce("home", "set").alias("home"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component", "set").alias("comp"))
+    known = sets.select(
+        "set", "n", F.size("tokens").alias("s"), F.slice("tokens", 1, F.greatest(prefix.cast("int"), F.lit(1))).alias("head"),
+        F.col("set").alias("home"), F.lit(0.0).alias("distance"), F.col("set").alias("comp"),
     )
-    known = shared.materialize(known)
-    placed = known.select("set", "n", "s", "home", "distance", "comp", F.posexplode("head").alias("pos", "token")).withColumn("rest", F.col("s") - F.col("pos"))
-
-    # Blocks of one home in a list; lists of a single component have nothing left to find.
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    total, nth, links, lists = sets.count(), 0, [], None
+    while True:
+        near = lead_round(known, lists, sets, percent, nth).where("linked")
+        links.append(near.select("a", "b"))
+        if nth == 0:  # homes: one leader each
+            home = near.select(F.col("a").alias("set"), F.col("b").alias("_home"), F.col("distance").alias("_d"))
+            known = known.join(home, "set", "left").withColumns({"home": F.coalesce("_home", "home"), "distance": F.coalesce("_d", "distance")}).drop("_home", "_d")
+        known = merged(known, near)
+        if nth == 0:  # most lists are one component by now and stay so
+            rows = entries(known)
+            lists = shared.materialize(rows.join(mixed(rows), "token", "left_semi").select("set", "pos", "token"))
+        nth += 1
+        if near.count() * 100 <= total:  # few links turn up: what is left is compared below, all of it
+            break
+
+    rows = entries(known, lists)
     blocks = (
-        placed.groupBy("token", "home").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("rest"), F.max("distance").alias("r"), F.min("comp").alias("comp"))
-        .join(mixed, "token", "left_semi")
+        rows.join(mixed(rows), "token", "left_semi")
+        .groupBy("token", "home").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("rest"), F.max("distance").alias("r"), F.min("comp").alias("comp"))
     )
     leaders = (
         blocks.alias("x").join(blocks.alias("y"), F.expr(f"x.token = y.token and x.home < y.home and x.comp != y.comp and {fits(percent)}"))
-        .groupBy(F.col("x.home").alias("a"), F.col("y.home").alias("b")).agg(F.max("x.r").alias("r_a"), F.max("y.r").alias("r_b"))
+        .groupBy(F.col("x.home").alias("a"), F.col("y.home").alias("b"))
+        .agg(F.max("x.r").alias("r_a"), F.max("y.r").alias("r_b"), F.first("x.comp").alias("comp_a"), F.first("y.comp").alias("comp_b"))
     )
     leaders = shared.materialize(leaders)
-    tried = compare(leaders.select("a", "b"), sets, percent).join(leaders, ["a", "b"])
-    tried = shared.materialize(tried)
-    edges = edges.unionByName(tried.where("linked").select("a", "b"))
-    parts = shared.materialize(shared.components(edges))
+    tried = shared.materialize(compare(leaders.select("a", "b"), sets, percent).join(leaders, ["a", "b"]))
+    links.append(tried.where("linked").select("a", "b"))
+    known = merged(known, tried.where("linked"))
 
     # Members of homes whose leaders are neither similar nor far enough apart to rule a link out.
-    unsure = tried.where(f"not linked and r_a + r_b > 0 and distance <= {far} + r_a + r_b + 1e-9").select(F.col("a").alias("home_a"), F.col("b").alias("home_b"), F.col("distance").alias("apart"))
-    now = placed.drop("comp").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
-    now = now.withColumns({"n0": F.col("n"), "n1": F.col("n")})
-    opened = (
-        unsure.join(now.alias("x"), F.expr("home_a = x.home")).alias("x")
-        .join(now.alias("y"), F.expr(f"x.home_b = y.home and x.token = y.token and x.comp != y.comp and x.apart <= {far} + x.distance + y.distance + 1e-9 and {fits(percent)}"))
-        .select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
-    )
-    opened = shared.materialize(opened)
-    last = compare(opened, sets, percent).where("linked").select("a", "b")
-    return shared.materialize(shared.components(edges.unionByName(shared.materialize(last))))
+    unsure = tried.where(f"not linked and r_a + r_b > 0 and distance <= {far} + r_a + r_b + 1e-9").select(F.col("a").alias("home_a"), F.col("b").alias("home_b"), F.col("distance").alias("apart"), "r_b")
+    member = known.select("set", "n", "s", "head", "home", "distance", "comp")
+    met = (
+        unsure.join(member.alias("x"), F.expr(f"home_a = x.home and apart <= {far} + x.distance + r_b + 1e-9"))
+        .join(member.alias("y"), F.expr(
+            f"home_b = y.home and x.comp != y.comp and x.distance + y.distance > 0 and apart <= {far} + x.distance + y.distance + 1e-9 "
+            f"and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.s, y.s) >= {percent} * (x.n + y.n) and arrays_overlap(x.head, y.head)"))
+    )
+    opened = shared.materialize(met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")))
+    links.append(shared.materialize(compare(opened, sets, percent).where("linked").select("a", "b")))
+    comps = shared.components(reduce(DataFrame.unionByName, links))
+    return shared.materialize(comps.select(F.col("node").alias("set"), F.col("component").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, per_part: int = PER_PART) -> DataFrame:
@@ -261,12 +308,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, per_
     named = shared.materialize(documents_sets(docs, width))
     sets = shared.materialize(possible(give_back(send(docs, parts, width), parts), percent))
     comps = set_components(sets, percent)
-    twice = named.where("doc_id is not null and set is not null").groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a < z")
-    one_id = named.join(twice.select("doc_id", "a"), "doc_id").where("set != a").select("a", F.col("set").alias("b"))
-    one_id = shared.materialize(one_id)
+    placed = named.join(comps, "set", "left").withColumn("_of", F.coalesce("comp", "set")).select("doc_id", "n_shingles", "set", "_of")
+    rows = shared.materialize(placed)
+    ends = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("_of").alias("a"), F.max("_of").alias("z")).where("a < z")
+    one_id = shared.materialize(rows.join(ends, "doc_id").where("_of != a").select("a", F.col("_of").alias("b")))
     if not one_id.isEmpty():
-        comps = shared.materialize(shared.components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(one_id)))
-    rows = named.join(comps, named["set"] == comps["node"], "left").withColumn("_of", F.coalesce("component", "set")).drop("node", "component")
+        joins = shared.components(one_id)
+        rows = rows.join(joins, rows["_of"] == joins["node"], "left").withColumn("_of", F.coalesce("component", "_of")).drop("node", "component")
     first = rows.where("_of is not null").groupBy("_of").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(first, "_of", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
