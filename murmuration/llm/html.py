@@ -7,7 +7,8 @@ greatest density sum is taken, the least density on its path to the body is the
 and every node that reaches the threshold gives its own subtree of greatest sum. The text is
 that of the smallest element that holds them all, or of the article or main element that
 this lies in. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader
-comments are taken out of the tree before, by element, role, class and id.
+comments are taken out of the tree before, by element, role, class and id. A class or id counts
+only as a whole: noise words, alone or with words of layout.
 """
 
 from __future__ import annotations
@@ -44,6 +45,12 @@ WORDS = frozenset(
     "respond replies reply share sharing social related recommended recommendations widget widgets toolbar login skip alert paywall".split()
 )
 ONLY_PAGE = frozenset("header masthead topbar".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: What may stand beside a noise word in one class or id (site-footer, ad-slot-2). Any other part makes the token say something else (has-sidebar, tag-advertising, social-impact).
+LAYOUT = frozenset(
+    "area articles bar block bottom box btn button buttons close container desktop div entry fixed form global google gpt group icon icons inline inner item items js left "
+    "link links list main mobile module outer page panel post posts primary region right secondary site slot sticky text title top unit wrap wrapper zone".split()
+)
 #: What a start tag closes if it is open and nothing of the second set lies between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -52,11 +59,25 @@ CLOSES = {
 CONTAINERS = frozenset("html body article main section div td th table blockquote aside nav footer header form ul ol dl figure li".split())
 
 
+def noise_words(value: str) -> set[str]:
+    """The noise words of a class or id attribute, from tokens that hold nothing but noise and layout words; what follows -- only modifies."""
+    found = set()
+    if not any(p in WORDS or p in ONLY_PAGE for p in re.split(r"[^a-z]+", value)):
+        return found
+    for token in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", token.split("--")[0] or token) if len(p) > 1]
+        said = {p for p in parts if p in WORDS or p in ONLY_PAGE}
+        if all(p in said or p in LAYOUT for p in parts):
+            found |= said
+    return found
+
+
 class Page:
     """The element tree as lists by node; `items` holds (node, text) in page order, and (node, None) where a block begins or ends."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.said: dict[int, set[str]] = {}  # noise words of a node's class and id
         self.items: list[tuple[int, str | None]] = []
         self.span: list[list[int]] = [[0, 0]]
         self._read(source)
@@ -86,11 +107,21 @@ class Page:
             if key == "role" and value in ROLES and (value != "banner" or not self._within(top)):
                 return True
             if key in ("class", "id"):
-                said = set(re.split(r"[^a-z]+", value))
-                if said & WORDS or said & ONLY_PAGE and not self._within(top):
+                said = noise_words(value)
+                if said:
+                    self.said.setdefault(len(self.tag) - 1, set()).update(said)
+                if (said & WORDS or said & ONLY_PAGE and not self._within(top)) and (name != "article" or self._minor(said, top)):
                     return True
         return False
 
+    def _minor(self, said: set[str], node: int) -> bool:
+        """Whether an article of these noise words lies in another article, among comments or in an element of the same noise."""
+        while node >= 0:
+            if self.tag[node] == "article" or self.said.get(node, set()) & (COMMENTS | said):
+                return True
+            node = self.parent[node]
+        return False
+
     def _read(self, source: str) -> None:
         stack, at, tag = [0], 0, self.tag
 

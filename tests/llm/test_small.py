@@ -71,6 +71,23 @@ def test_main_text(source, text):
     assert html.main_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article class='post tag-advertising'><p>main text</p></article>", "main text"), ("<article class='hentry category-social'><p>main text</p></article>", "main text"),
+        ("<article class='post sponsored'><p>main text</p></article>", "main text"), ("<div class='content has-sidebar'><p>main text</p></div>", "main text"),
+        ("<div id='no-sidebar'><p>main text</p></div>", "main text"), ("<div class='article--promoted'><p>main text</p></div>", "main text"),
+        ("<section id='social-impact'><p>main text</p></section>", "main text"),
+        ("<article class='tag-ads'><p>main text</p><div class='ad-slot-2'>x</div><div class='share-buttons'>x</div><p>and more</p></article>", "main text\nand more"),
+        ("<main><p>main text</p><article class='related'>x</article><div class='sidebar left-sidebar'>x</div></main>", "main text\nx"),
+        ("<article><p>main text</p><article class='related'>x</article><section id='comments-list'><article class='comment'>x</article></section></article>", "main text"),
+        ("<article><p>main text</p></article><div class='related-posts'><article class='related'>x</article></div><div class='site-footer'>x</div>", "main text"),
+    ],
+)
+def test_main_text_under_hyphenated_classes(source, text):
+    assert html.main_text(source) == text
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None), (3, "v", "<p>" + "long " * 50_000 + "</p>", "y")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
