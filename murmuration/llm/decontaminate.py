@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from murmuration.llm import shared
 from murmuration.llm.shared import U64
 
-#: Each mask marks 6 of 8 words; any substitution-free 8 words match all, any one replaced word in 8 spares at least one.
-MASKS = ((0, 1, 2, 5, 6, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 5, 7))
+#: Each mask marks 5 or 6 of 8 words. Together they hit every stretch that the rule accepts: with at most one inner word in five replaced, wherever, some
+#: 8 words of it have all differences at unmarked places (test_masks_hit_every_permitted_stretch goes through all patterns of 8 to 30 words).
+MASKS = ((0, 1, 2, 5, 6, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 5, 7), (2, 3, 4, 5, 6, 7), (0, 1, 2, 3, 4, 5), (0, 2, 4, 6, 7))
 SPAN = 8
 LEAST, EVERY = 13, 5
 FILTER_BITS = 22
+PROBES = (0, 21, 42)  # shifts at which a seed's slots are read
 _C = [U64(pow(0xD1342543DE82EF95, 2 * i + 1, 1 << 64) | 1) for i in range(SPAN)]
 _PLAIN = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
@@ -94,8 +96,9 @@ def item_seeds(known: DataFrame) -> DataFrame:
 
 
 def bitmap(found: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Which hash slots the benchmark's seeds fill: 2 ** bits bits, however many seeds there are."""
-    slots = found.select((F.col("seed").bitwiseAND((1 << bits) - 1) / 64).cast("long").alias("w"), F.col("seed").bitwiseAND(63).alias("b"))
+    """Which hash slots the benchmark's seeds fill, three a seed: 2 ** bits bits, however many seeds there are."""
+    slots = found.select(F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND((1 << bits) - 1) for s in PROBES])).alias("slot"))
+    slots = slots.select(F.shiftright("slot", 6).alias("w"), F.col("slot").bitwiseAND(63).alias("b"))
     words = slots.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v")).collect()
     out = np.zeros(1 << (bits - 6), np.int64)
     for r in words:
@@ -103,28 +106,41 @@ def bitmap(found: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(U64)
 
 
+def maybe(have: np.ndarray, seed: np.ndarray, bits: int) -> np.ndarray:
+    """Indexes of the seeds whose three slots are filled."""
+    hit = np.arange(len(seed))
+    for s in PROBES:
+        low = (seed[hit] >> U64(s)) & U64((1 << bits) - 1)
+        hit = hit[((have[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1)).astype(bool)]
+    return hit
+
+
 def document_hits(docs: DataFrame, filled, reach: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, seed, place, from, words) for the documents' seeds that may be the benchmark's: the words around each."""
+    """(doc_id, lo, around, seeds, places): the documents' seeds that may be the benchmark's, and the words around all of them from place lo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = filled.value
         for b in shared.small_batches(batches, "text"):
             h, first, count = word_hashes(shared.texts_of(b))
             ids = b.column("doc_id").to_pylist()
-            for at, owner, seed in seeds(h, first, count):
-                low = seed & U64((1 << bits) - 1)
-                hit = np.flatnonzero((have[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1))
-                if not len(hit):
-                    continue
-                at, owner, seed = at[hit], owner[hit], seed[hit]
-                lo = np.maximum(first[owner], at - reach)
-                hi = np.minimum(first[owner] + count[owner], at + SPAN + reach)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[o] for o in owner], pa.int64()), pa.array(seed.astype(np.int64)), pa.array((at - first[owner]).astype(np.int64)),
-                    pa.array((lo - first[owner]).astype(np.int64)), pa.array([h[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary()),
-                ], names=["doc_id", "seed", "at", "lo", "around"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, seed long, at long, lo long, around binary")
+            found = [(at[hit], owner[hit], seed[hit]) for at, owner, seed in seeds(h, first, count) if len(hit := maybe(have, seed, bits))]
+            if not found:
+                continue
+            at, owner, seed = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((at, owner))
+            at, owner, seed = at[order], owner[order], seed[order]
+            cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+            own = owner[cuts[:-1]]
+            lo = np.maximum(first[own], at[cuts[:-1]] - reach)
+            hi = np.minimum(first[own] + count[own], at[cuts[1:] - 1] + SPAN + reach)
+            offsets, whole = pa.array(cuts.astype(np.int32)), first[owner]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([ids[o] for o in own], pa.int64()), pa.array((lo - first[own]).astype(np.int64)), pa.array([h[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(seed.astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array((at - whole).astype(np.int64))),
+            ], names=["doc_id", "lo", "around", "seeds", "places"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, lo long, around binary, seeds array<long>, places array<long>")
 
 
 def best_stretch(same: np.ndarray, least: int, every: int) -> tuple[int, int]:
@@ -160,11 +176,11 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST, every: int =
     found = shared.materialize(item_seeds(known))
     widest = known.agg(F.max(F.octet_length("words"))).first()[0] or 0
     filled = docs.sparkSession.sparkContext.broadcast(bitmap(found))
-    hits = document_hits(docs, filled, int(widest) // 8).where("doc_id is not null")
-    met = hits.join(found, "seed").select("doc_id", "item_id", "at", "lo", "around", "place")
-    # one look at each diagonal of a document and an item
-    once = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.min_by(F.struct("at", "lo", "around", "place"), "at").alias("m"))
-    once = once.select("doc_id", "item_id", "m.*").join(known, "item_id")
+    hits = shared.materialize(document_hits(docs, filled, int(widest) // 8).withColumn("row", F.monotonically_increasing_id()))
+    # names and places meet by seed; the words join only what is left: one look at each diagonal of a document and an item
+    spots = hits.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    met = spots.join(found, "seed").groupBy("row", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.min_by(F.struct("at", "place"), "at").alias("m"))
+    once = met.select("row", "item_id", "m.*").join(hits.select("row", "doc_id", "lo", "around"), "row").join(known, "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

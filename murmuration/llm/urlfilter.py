@@ -44,35 +44,68 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def _resolve(base: Column, link: Column) -> Column:
-    """A link as an absolute url without its fragment: absolute, //host, or /path links; others are left out."""
+    """A link of any form against the url of its page, without its fragment; null for the page itself and for other schemes (mailto:, data:)."""
     plain = F.regexp_replace(F.trim(link), "#.*$", "")
     scheme, site = F.regexp_extract(base, r"^([^:/?#]+:)//", 1), F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*(/[^?#]*/|/)", 1)
     return (
         F.when(plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), plain)
+        .when((plain == "") | plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), F.lit(None))
         .when(plain.startswith("//"), F.concat(scheme, plain))
         .when(plain.startswith("/"), F.concat(site, plain))
+        .when(plain.startswith("?"), F.concat(page, plain))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), plain))
     )
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. steps."""
+    steps = F.split(path, "/")
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"),
+        lambda kept, step: F.when(step == "..", up(kept)).when(step == ".", kept).otherwise(F.concat(kept, F.array(step))),
+    )
+    kept = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What stands for a url in the graph: the url without fragment; null stays null."""
-    return F.regexp_replace(url, "#.*$", "")
+    """What stands for a url in the graph: scheme and host with A-Z lower-cased, path without . and .. steps, no fragment; null stays null."""
+    plain = F.regexp_replace(url, "#.*$", "")
+    site = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    rest = F.substring(plain, F.length(site) + 1, F.length(plain))
+    path = F.regexp_extract(rest, r"^([^?]*)", 1)
+    low = F.translate(site, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(site == "", plain).otherwise(F.concat(low, _without_dots(path), F.substring(rest, F.length(path) + 1, F.length(rest))))
+
 
+def _attribute(name: str) -> Column:
+    """Value of an attribute of the column `tag`, quoted or not; empty if there is none."""
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract("tag", pattern, i) for i in (1, 2, 3)])
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): canonical links and immediate redirects that pages declare."""
+
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", relative: bool = False) -> DataFrame:
+    """(src, dst): canonical links and immediate redirects that pages declare.
+
+    With `relative`, links relative to the page's path (page.html, ../x, ?id=3) are resolved too; the query asks for them.
+    """
     tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     found = pages.select(F.col(url).alias("base"), F.explode(tags).alias("tag"))
-    attribute = r"""(?is)\b{}\s*=\s*["']?([^"'\s>]+)"""
-    canonical = F.when(F.lower(F.regexp_extract("tag", attribute.format("rel"), 1)) == "canonical", F.regexp_extract("tag", attribute.format("href"), 1))
+    rels = F.split(F.lower(F.trim(_attribute("rel"))), r"\s+")
+    canonical = F.when(F.array_contains(rels, "canonical"), _attribute("href"))
     refresh = F.when(
-        F.lower(F.regexp_extract("tag", attribute.format("http-equiv"), 1)) == "refresh",
+        F.lower(F.trim(_attribute("http-equiv"))) == "refresh",
         F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d+\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1),
     )
-    link = F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&")
+    link = F.trim(F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&"))
+    if not relative:
+        link = F.when(link.rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]*://)"), link)
     return (
         found.where(F.col("tag").rlike(r"(?i)canonical|refresh"))
-        .select(node_of(F.col("base")).alias("src"), _resolve(F.col("base"), link).alias("dst"))
+        .select(node_of(F.col("base")).alias("src"), node_of(_resolve(F.col("base"), link)).alias("dst"))
         .where("src is not null and dst is not null and dst != '' and src != dst")
     )
 
@@ -85,6 +118,7 @@ def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_
     columns are left out; empty tables give an empty result. Only blocks that reach a
     component pass through the join, so a component of any size is no group in one task.
     """
+    links = links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     name, action = match_rule(F.col("host"), F.col("path"), rules)
@@ -105,5 +139,5 @@ def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = shared.table(spark, sf_dir, "pages")
-    links = shared.materialize(page_links(pages).distinct())
+    links = shared.materialize(page_links(pages, relative=True).distinct())
     return judge(pages, links).drop("component")

@@ -1,6 +1,7 @@
 """Each operator on small rows: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -331,6 +332,31 @@ def test_decontamination(spark):
     assert decontaminate.report(docs(spark, []), items).count() == 0
 
 
+def test_masks_hit_every_permitted_stretch():
+    span = decontaminate.SPAN
+    marks = [sum(1 << j for j in mask) for mask in decontaminate.MASKS]
+    for n in range(span, 31):
+        # fewer replaced words are hit wherever more are
+        places = np.array(list(itertools.combinations(range(1, n - 1), n // decontaminate.EVERY)), np.int64)
+        replaced = (1 << places).sum(1)
+        hit = np.zeros(len(replaced), bool)
+        for at in range(n - span + 1):
+            for m in marks:
+                hit |= (replaced >> at) & m == 0
+        assert hit.all(), (n, places[~hit][:5].tolist())
+
+
+def test_decontamination_of_close_replacements(spark):
+    cases = [(10, (3, 5)), (10, (2, 6)), (11, (3, 7)), (13, (5, 7)), (15, (1, 7, 9)), (16, (5, 7, 9)), (20, (5, 7, 9, 11))]
+    rows, items = [], []
+    for k, (n, places) in enumerate(cases):
+        own = [f"k{k}x{j}" for j in range(n)]
+        items.append((k, " ".join(own)))
+        rows.append((k, " ".join(["before", "it", *["other" if j in places else w for j, w in enumerate(own)], "and", "after"])))
+    got = decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.words, r.equal) for r in got} == {(k, k, n, n - len(p)) for k, (n, p) in enumerate(cases)}
+
+
 def test_best_stretch_against_all_pairs():
     rng = random.Random(0)
     for _ in range(300):
@@ -456,3 +482,22 @@ def test_page_links(spark):
     ]
     got = {tuple(r) for r in urlfilter.page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert got == {("http://a.org/x?1", "http://a.org/main"), ("http://b.org/", "https://c.org/p?a=1&b=2"), ("http://d.org/", "http://e.org/")}
+
+
+def test_page_links_of_every_form(spark):
+    base = "HTTP://Site.org/a/b/page.html?q=1#f"
+    hrefs = ["other.html", "../x", "../../../x/./y", "./", "..", "?id=3", "/main/../top", "//Other.ORG/Path", "HTTPS://Else.Net/Q?A=1", "sub/z?u=/../v", "#top", "", "mailto:a@b.c"]
+    rows = [(f"{base}{i}", f'<link data-rel=x rel="alternate Canonical" href="{h}">') for i, h in enumerate(hrefs)]
+    rows += [("http://bare.org", "<meta http-equiv=refresh content='0;url=in/side'>"), ("no scheme", "<link rel=canonical href=x>"), ("http://n.org/", "<link rel='canonicals not' href=/x>")]
+    got = {tuple(r) for r in urlfilter.page_links(spark.createDataFrame(rows, "url string, html string"), relative=True).collect()}
+    site = "http://site.org"
+    wanted = ["/a/b/other.html", "/a/x", "/x/y", "/a/b/", "/a/", "/a/b/page.html?id=3", "/top", "http://other.org/Path", "https://else.net/Q?A=1", "/a/b/sub/z?u=/../v"]
+    edges = {(f"{site}/a/b/page.html?q=1", w if "://" in w else site + w) for w in wanted}
+    assert got == edges | {("http://bare.org", "http://bare.org/in/side")}
+
+
+def test_alias_of_a_blocked_page_by_a_relative_link(spark):
+    rows = [(1, "http://a.net/fr/1", ""), (2, "http://A.net/other/2", '<link rel="alternate canonical" href="../fr/1">'), (3, "http://a.NET/other/2#x", None), (4, "http://a.net/other/4", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urlfilter.judge(pages, urlfilter.page_links(pages, relative=True)).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block", 4: "allow"}
