@@ -61,6 +61,12 @@ def best(ids: np.ndarray, got: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], ~got[near]))][:k]
 
 
+def greatest(ids: np.ndarray, got: np.ndarray) -> np.ndarray:
+    """Indexes of one row for each id, with its greatest score."""
+    order = np.lexsort((~got, ids))
+    return order[np.append(True, np.diff(ids[order]) != 0)] if len(ids) else order
+
+
 def fit_pivots(vectors: DataFrame, dim: int, pivots: int = PIVOTS, sample: int = SAMPLE, rounds: int = 5) -> np.ndarray:
     """Means of a few rounds of k-means over a bounded sample; rows are padded with zeros to dim."""
     got = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
@@ -116,7 +122,8 @@ def cut(index: DataFrame, dim: int, k: int, step: int, annulus: int = ANNULUS, q
     """Annuli of at most `annulus` vectors of a cell, and blocks of at most `queries` queries.
 
     Rows come sorted by (cell, dist, id) within each task, so copies of one vector spread over
-    as many annuli as they need. A query's bound is the k-th score within its own annulus.
+    as many annuli as they need. A query's bound is the k-th score within its own annulus, over
+    the greatest score of each id other than the query's.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +144,12 @@ def cut(index: DataFrame, dim: int, k: int, step: int, annulus: int = ANNULUS, q
         def annuli(cell, dist, ids, x):
             mine = np.flatnonzero(ids % step == 0)
             bounds = np.full(len(mine), np.iinfo(np.int64).min)
-            if len(ids) > k:
+            order = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+            names = ids[order][starts]
+            if len(names) > k:
                 for n, i in enumerate(mine):
-                    got = np.delete(scores(x[i : i + 1], x)[0], i)
+                    got = np.maximum.reduceat(scores(x[i : i + 1], x)[0][order], starts)[names != ids[i]]
                     bounds[n] = np.partition(got, len(got) - k)[len(got) - k]
             if len(mine):
                 asked.append((ids[mine], x[mine], dist[mine], bounds))
@@ -185,8 +195,11 @@ def search(pairs: DataFrame, pivots: np.ndarray, most: float, dim: int, k: int)
                 ask = np.flatnonzero(room >= bound.astype(np.float64))
                 out_q, out_v, out_s = [], [], []
                 got = scores(q[ask], x)
+                repeats = len(np.unique(ids)) < len(ids)
                 for n, i in enumerate(ask):
                     own = np.flatnonzero((got[n] >= bound[i]) & (ids != qid[i]))
+                    if repeats:
+                        own = own[greatest(ids[own], got[n][own])]
                     top = own[best(ids[own], got[n][own], k)]
                     out_q += [qid[i]] * len(top)
                     out_v += ids[top].tolist()

@@ -445,6 +445,16 @@ def test_top_k(spark, monkeypatch, annulus):
     assert {tuple(r) for r in got.collect()} == brute_top(rows)
 
 
+@pytest.mark.parametrize("annulus", [8, 1024])
+def test_top_k_of_ids_with_several_vectors(spark, monkeypatch, annulus):
+    rng = random.Random(7)
+    rows = [(rng.choice([0, 50, 50, 50, 100, *range(1, 12)]), [rng.gauss(0, 1) for _ in range(4)]) for _ in range(150)]
+    rows += [(50, [9.0, 9.0, 9.0, 9.0]), (50, [9.0, 9.0, 9.0, 8.0]), *[(20 + j, [3.0 - j / 8] * 4) for j in range(5)], *[(20, [3.0 + j / 64] * 4) for j in range(8)]]
+    monkeypatch.setattr(topk.cut, "__defaults__", (annulus, 16))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    assert {tuple(r) for r in got.collect()} == brute_top(rows)
+
+
 def test_top_k_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 256 * 5)]
