@@ -1,14 +1,13 @@
 """Main text of web pages by composite text density.
 
-A tolerant parser builds the element tree. Every node gets its characters per tag, adjusted
-by how many characters and tags belong to links and by the share of link text in the whole
-body; the density sum of a node is the sum of its children's densities. The node of the
-greatest density sum is taken, the least density on its path to the body is the threshold,
-and every node that reaches the threshold gives its own subtree of greatest sum. The text is
-that of the smallest element that holds them all, or of the article or main element that
-this lies in. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader
-comments are taken out of the tree before, by element, role, class and id. A class or id counts
-only as a whole: noise words, alone or with words of layout.
+A tolerant parser builds the element tree, in time proportional to the page. Every node gets its
+characters per tag, adjusted by how many characters and tags belong to links and by the share of
+link text in the whole body. A node's density sum adds the densities of its text-bearing children; the
+node of the greatest sum holds the text. From there the way leads up towards the body while a
+parent adds text or regions that reach the threshold, the least density on that path (see `Page.main`). Density alone finds the subtree, whatever elements and classes are called; what the
+contract names (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) is taken out by
+element, role, class and id, so that it neither counts nor shows. A class or id counts only as a
+whole: noise words, alone or with words of layout.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,21 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm import shared
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp|noframes)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*?>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[A-Za-z][^>]*>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+ATTRS = re.compile(r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+>""")
+RAW = frozenset("script style noscript template textarea title iframe svg math xmp noframes".split())
 HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-OUT = frozenset("nav footer aside form script style head button select option input textarea dialog menu label fieldset".split())
+HIDDEN = frozenset("head script style".split())
+OUT = frozenset("nav footer aside form button select option input textarea dialog menu label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status toolbar tablist".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay "
@@ -56,6 +52,9 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "a": ({"a"}, set(BLOCK)),
 }
+#: Elements that are text by their name, whatever their density.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p pre blockquote ul ol dl table figure b i em strong span a code".split())
+SHARE = 0.2
 CONTAINERS = frozenset("html body article main section div td th table blockquote aside nav footer header form ul ol dl figure li".split())
 
 
@@ -72,55 +71,100 @@ def noise_words(value: str) -> set[str]:
     return found
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closing, attributes) of every tag, and of markup without a name (comments, declarations, raw elements with their content).
+
+    Every character is looked at a fixed number of times: what has no end is read once, to the end of the page.
+    """
+    last, size, at = source.rfind(">"), len(source), 0
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else size
+            yield at, end, "", False, ""
+            at = end
+            continue
+        if at > last:
+            return
+        m = TAG.match(source, at)
+        if not m:
+            if source[at + 1 : at + 2] in ("!", "?", "/"):
+                end = source.find(">", at) + 1
+                yield at, end, "", False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        name = m[2].lower()
+        got = ATTRS.match(source, m.end())
+        end = got.end() if got else source.find(">", m.end()) + 1
+        if name in RAW and not m[1]:
+            close = re.compile(rf"</{name}\s*>", re.I).search(source, end)
+            end = close.end() if close else size
+            yield at, end, "", False, ""
+        else:
+            yield at, end, name, bool(m[1]), source[m.end() : end - 1]
+        at = end
+
+
 class Page:
     """The element tree as lists by node; `items` holds (node, text) in page order, and (node, None) where a block begins or ends."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, lists: bool = True):
         self.tag, self.parent, self.out = ["html"], [-1], [False]
-        self.said: dict[int, set[str]] = {}  # noise words of a node's class and id
+        self.lists = lists
         self.items: list[tuple[int, str | None]] = []
         self.span: list[list[int]] = [[0, 0]]
+        self._depths: dict[str, list[int]] = {"html": [0]}  # where on the stack each name is open
+        self._scopes = [0]  # and where a container is
+        self._open_words: Counter[str] = Counter()  # noise words of the open elements
+        self._said: dict[int, set[str]] = {}
         self._read(source)
         self.span[0][1] = len(self.items)
 
     def _open(self, name: str, top: int, attrs: str) -> int:
+        node = len(self.tag)
         self.tag.append(name)
         self.parent.append(top)
-        self.out.append(name in OUT or bool(attrs) and self._noise(name, attrs, top) or name == "header" and not self._within(top))
+        noise = name in HIDDEN or bool(attrs) and self._hidden(attrs)
+        if self.lists:
+            noise = noise or name in OUT or bool(attrs) and self._noise(node, name, attrs) or name == "header" and not self._within()
+        self.out.append(noise)
         self.span.append([len(self.items), -1])
-        return len(self.tag) - 1
+        return node
 
-    def _within(self, node: int) -> bool:
-        while node >= 0:
-            if self.tag[node] in ("article", "main"):
+    def _within(self) -> bool:
+        return bool(self._depths.get("article") or self._depths.get("main"))
+
+    def _hidden(self, attrs: str) -> bool:
+        for key, *values in HINT.findall(attrs):
+            key, value = key.lower(), next((v for v in values if v), "").lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            node = self.parent[node]
         return False
 
-    def _noise(self, name: str, attrs: str, top: int) -> bool:
+    def _noise(self, node: int, name: str, attrs: str) -> bool:
         if name in ("html", "body", "main"):
             return False
         for key, *values in HINT.findall(attrs):
             key, value = key.lower(), next((v for v in values if v), "").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            if key == "role" and value in ROLES and (value != "banner" or not self._within(top)):
+            if key == "role" and value in ROLES and (value != "banner" or not self._within()):
                 return True
             if key in ("class", "id"):
                 said = noise_words(value)
                 if said:
-                    self.said.setdefault(len(self.tag) - 1, set()).update(said)
-                if (said & WORDS or said & ONLY_PAGE and not self._within(top)) and (name != "article" or self._minor(said, top)):
+                    self._said.setdefault(node, set()).update(said)
+                if (said & WORDS or said & ONLY_PAGE and not self._within()) and (name != "article" or self._minor(said)):
                     return True
         return False
 
-    def _minor(self, said: set[str], node: int) -> bool:
+    def _minor(self, said: set[str]) -> bool:
         """Whether an article of these noise words lies in another article, among comments or in an element of the same noise."""
-        while node >= 0:
-            if self.tag[node] == "article" or self.said.get(node, set()) & (COMMENTS | said):
-                return True
-            node = self.parent[node]
-        return False
+        return bool(self._depths.get("article")) or any(self._open_words[w] for w in COMMENTS | said)
+
+    def _nearest(self, names) -> int:
+        """How deep on the stack the innermost open element of these names is; -1 if none."""
+        return max((d[-1] for n in names if (d := self._depths.get(n))), default=-1)
 
     def _read(self, source: str) -> None:
         stack, at, tag = [0], 0, self.tag
@@ -128,44 +172,38 @@ class Page:
         def pop(depth: int) -> None:
             while len(stack) > depth:
                 node = stack.pop()
-                if tag[node] in BLOCK:
+                name = tag[node]
+                self._depths[name].pop()
+                if self._scopes[-1] == len(stack):
+                    self._scopes.pop()
+                for w in self._said.get(node, ()):
+                    self._open_words[w] -= 1
+                if name in BLOCK:
                     self.items.append((node, None))
                 self.span[node][1] = len(self.items)
 
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self.items.append((stack[-1], source[at : m.start()]))
-            at = m.end()
-            name = m[3]
-            if name is None:
+        for begin, end, name, closing, attrs in tokens(source):
+            if begin > at:
+                self.items.append((stack[-1], source[at:begin]))
+            at = end
+            if not name:
                 continue
-            name = name.lower()
-            if m[2]:
-                for d in range(len(stack) - 1, 0, -1):
-                    open_ = tag[stack[d]]
-                    if open_ == name:
-                        pop(d)
-                        break
-                    if name not in CONTAINERS and open_ in CONTAINERS:
-                        break
+            if closing:
+                depth = self._nearest((name,))
+                if depth > 0 and (name in CONTAINERS or depth > self._scopes[-1]):
+                    pop(depth)
                 continue
-            if name in ("html", "body") and any(tag[n] == name for n in stack):
+            if name in ("html", "body") and self._depths.get(name):
                 continue
             if name in BLOCK:
-                for d in range(len(stack) - 1, 0, -1):
-                    if tag[stack[d]] == "p":
-                        pop(d)
-                        break
-                    if tag[stack[d]] in CONTAINERS:
-                        break
+                depth = self._nearest(("p",))
+                if depth > self._scopes[-1]:
+                    pop(depth)
             if name in CLOSES:
                 ends, stops = CLOSES[name]
-                for d in range(len(stack) - 1, 0, -1):
-                    if tag[stack[d]] in ends:
-                        pop(d)
-                        break
-                    if tag[stack[d]] in stops:
-                        break
+                depth = self._nearest(ends)
+                if depth > max(0, self._nearest(stops - ends)):
+                    pop(depth)
             if name == "body":
                 pop(1)
             if name == "br":
@@ -175,9 +213,14 @@ class Page:
                 if name == "hr":
                     self.items.append((stack[-1], None))
                 continue
-            node = self._open(name, stack[-1], m[4])
+            node = self._open(name, stack[-1], attrs)
             if name in BLOCK:
                 self.items.append((node, None))
+            self._depths.setdefault(name, []).append(len(stack))
+            if name in CONTAINERS:
+                self._scopes.append(len(stack))
+            for w in self._said.get(node, ()):
+                self._open_words[w] += 1
             stack.append(node)
         if at < len(source):
             self.items.append((stack[-1], source[at:]))
@@ -194,8 +237,8 @@ class Page:
                 self.out[n] = False
             self.out[n] = self.out[n] or self.out[self.parent[n]]
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density of every node, and the sum of its children's."""
+    def densities(self) -> list[float]:
+        """Composite density of every node: characters per tag, adjusted by how many of both belong to links."""
         n = len(self.tag)
         chars, tags, links, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
@@ -216,7 +259,7 @@ class Page:
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (self.tag[i] == "a")
         share = links[0] / max(1, chars[0])
-        density, total = [0.0] * n, [0.0] * n
+        density = [0.0] * n
         for i in range(n - 1, -1, -1):
             if self.out[i] or not chars[i]:
                 continue
@@ -224,48 +267,53 @@ class Page:
             # Link text lowers the logarithm and raises its base; without any link the base is e.
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             density[i] = c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / max(1.0, math.log(base))
-            if i:
-                total[self.parent[i]] += density[i]
-        return density, total
+        return density
 
     def main(self) -> int | None:
-        """The node whose text is the main text."""
+        """The node whose text is the main text: the one of the greatest density sum, and above it what body-path thresholds let in.
+
+        A node's sum counts the densities of what speaks for itself, its text-bearing children, so a body of
+        several regions doesn't gain from all of them. The threshold is the least density on the path from
+        the node of the greatest sum to the body. On the way up that path a parent is taken in if all it adds
+        is headings and other text elements, or regions that reach half the threshold or have a fair share of the sum.
+        """
         self.drop_noise()
-        density, total = self.densities()
-        n = len(self.tag)
-        if not any(text and not text.isspace() and not self.out[node] for node, text in self.items):
+        density = self.densities()
+        n, tag = len(self.tag), self.tag
+        kids: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            if not self.out[i] and density[i] > 0:
+                kids[self.parent[i]].append(i)
+        plain = [0] * n  # a node's own text
+        for node, text in self.items:
+            if text and not self.out[node] and not text.isspace():
+                plain[node] += len(text)
+        region = [t in CONTAINERS and any(tag[k] in BLOCK for k in kids[i]) for i, t in enumerate(tag)]
+        sums = [0.0] * n
+        for i in range(n):
+            own = [density[k] for k in kids[i] if not region[k]]
+            sums[i] = sum(own) + (plain[i] if tag[i] in BLOCK else 0) if own or plain[i] else 0.0
+        if not any(sums):
             return None
-        sums = [s if s else d for s, d in zip(total, density)]
+        top = list(sums)  # the greatest sum in each subtree
+        for i in range(n - 1, 0, -1):
+            if not self.out[i]:
+                top[self.parent[i]] = max(top[self.parent[i]], top[i])
         best = max(range(n), key=lambda i: (sums[i], -i))
-        path, limit, node = set(), density[best], best
+        body = next((i for i, t in enumerate(tag) if t == "body"), 0)
+        limit, root, node = density[best], best, best
         while node >= 0:
-            path.add(node)
             limit = min(limit, density[node])
             node = self.parent[node]
-        top = list(range(n))  # the node of the greatest sum in each subtree
-        for i in range(n - 1, 0, -1):
-            p = self.parent[i]
-            if not self.out[i] and sums[top[i]] > sums[top[p]]:
-                top[p] = top[i]
-        root = best
-        for i in range(1, n):
-            if not self.out[i] and density[i] >= limit and self.tag[i] in BLOCK:
-                root = self._common(root, top[i])
-        node = root
-        while node >= 0:
-            if self.tag[node] in ("article", "main"):
-                return node
-            node = self.parent[node]
+        while root not in (0, body):
+            up = self.parent[root]
+            more = [k for k in kids[up] if k != root]
+            same = all(tag[k] in TEXT or region[k] and (density[k] >= limit / 2 or top[k] >= SHARE * top[root]) for k in more)
+            if not same or up in (0, body) and more:
+                break
+            root = up
         return root
 
-    def _common(self, a: int, b: int) -> int:
-        while a != b:
-            if a > b:
-                a = self.parent[a]
-            else:
-                b = self.parent[b]
-        return a
-
     def text(self, node: int | None) -> str:
         if node is None:
             return ""

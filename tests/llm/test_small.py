@@ -89,6 +89,79 @@ def test_main_text_under_hyphenated_classes(source, text):
     assert html.main_text(source) == text
 
 
+def planted_page(rng):
+    """(page, blocks of the article): an article among menus, adverts, a sidebar and a footer, in wrappers."""
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    menu = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(n)) + "</ul>"
+    blocks = [words(6)]
+    body = [f"<h1>{blocks[0]}</h1>"]
+    for _ in range(rng.randrange(1, 5)):
+        part = []
+        if rng.random() < 0.5:
+            blocks.append(words(3))
+            part.append(f"<h2>{blocks[-1]}</h2>")
+        for _ in range(rng.randrange(2, 6)):
+            a, b = words(rng.randrange(15, 60)), words(3)
+            blocks.append(f"{a} {b}")
+            part.append(f"<p>{a} <a href='/x'>{b}</a></p>")
+        body.append(f"<section>{''.join(part)}</section>" if rng.random() < 0.5 else "".join(part))
+    core = f"<article>{''.join(body)}</article>"
+    for _ in range(rng.randrange(3)):
+        core = f"<div class='wrap'>{core}</div>"
+    page = f"<header class='site'><div>{words(3)}</div>{menu(5)}</header><nav>{menu(8)}</nav><div class='ad'>{words(9)}</div><main>{core}</main><aside><div>{words(3)}</div>{menu(9)}</aside><footer><div>{words(12)}</div>{menu(4)}</footer>"
+    return f"<html><head><title>{words(4)}</title></head><body>{page}</body></html>", blocks
+
+
+def test_density_alone_finds_the_article(spark):
+    """With every element that says what it is renamed to div and no class, only density is left."""
+    rng, hit, wrong, lost = random.Random(12), 0, 0, 0
+    for _ in range(150):
+        page, blocks = planted_page(rng)
+        bare = re.sub(r" class='[^']*'", lambda m: f" class='z{rng.randrange(99)}'", re.sub(r"<(/?)(?:article|main|nav|header|footer|aside)\b", r"<\1div", page))
+        p = html.Page(bare, lists=False)
+        got, want = Counter(p.text(p.main()).split("\n")), Counter(blocks)
+        hit, wrong, lost = hit + (got & want).total(), wrong + (got - want).total(), lost + (want - got).total()
+        assert html.main_text(page).split("\n") == blocks
+    assert hit / (hit + wrong) > 0.95 and hit / (hit + lost) > 0.95
+
+
+def test_densities_against_a_recursion():
+    from xml.etree import ElementTree
+
+    def tally(e, in_link=False):
+        """Characters, tags, characters in links, links of an element."""
+        in_link = in_link or e.tag == "a"
+        own = [x for x in [e.text, *(k.tail for k in e)] if x and not x.isspace()]
+        parts = [tally(k, in_link) for k in e]
+        c = sum(map(len, own)) + sum(p[0] for p in parts)
+        return c, sum(p[1] + 1 for p in parts), (sum(map(len, own)) if in_link else 0) + sum(p[2] for p in parts), sum(p[3] + (k.tag == "a") for p, k in zip(parts, e))
+
+    rng = random.Random(3)
+    for _ in range(25):
+        source, _ = planted_page(rng)
+        root = ElementTree.fromstring(re.sub("<head>.*</head>", "", source))
+        page = html.Page(source, lists=False)
+        got, all_ = page.densities(), tally(root)
+        nodes = [n for n in range(len(page.tag)) if not page.out[n]]
+        elements = [e for e in root.iter() if e.tag != "html"]
+        assert [page.tag[n] for n in nodes if page.tag[n] != "html"] == [e.tag for e in elements]
+        for n, e in zip([n for n in nodes if page.tag[n] != "html"], elements):
+            c, t, lc, lt = tally(e)
+            if e.tag in ("a", "li", "ul"):  # links above an element count for it too
+                continue
+            base = np.log(c / max(1, c - lc) * lc + all_[2] / max(1, all_[0]) * c + np.e)
+            assert got[n] == pytest.approx(c / max(1, t) * np.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / max(1, np.log(base)) if c else 0)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\"", "<div></section>", "<!-- ", "<b>", "</", "<p><a>x", "<script ", "<script>", "<textarea></b", "<li><ul>", "< ", '<b class="ad">'])
+def test_pages_take_time_in_proportion(piece):
+    import time
+
+    begin = time.process_time()
+    html.main_text("<p>text</p>" + piece * ((1 << 19) // len(piece)))
+    assert time.process_time() - begin < 6
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None), (3, "v", "<p>" + "long " * 50_000 + "</p>", "y")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -439,9 +512,11 @@ def test_top_k(spark, monkeypatch, annulus):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(160)]
     rows += [(200 + i, rows[0][1]) for i in range(60)]  # ties
-    rows += [(300, None), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (50, rows[50][1]), (350, [2.0] * 3)]
-    monkeypatch.setattr(topk.cut, "__defaults__", (annulus, 16))
-    got = topk.top_k(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3))
+    rows += [(300, None), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (50, rows[50][1]), (350, [2.0] * 3), (400, [0.0] * 6)]
+    monkeypatch.setattr(topk, "RING_ROWS", (annulus, 4 * annulus))
+    monkeypatch.setattr(topk, "PACK", 3)
+    monkeypatch.setattr(topk, "TILE", 1)
+    got = topk.top_k(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3), annulus=annulus, near=2)
     assert {tuple(r) for r in got.collect()} == brute_top(rows)
 
 
@@ -450,11 +525,45 @@ def test_top_k_of_ids_with_several_vectors(spark, monkeypatch, annulus):
     rng = random.Random(7)
     rows = [(rng.choice([0, 50, 50, 50, 100, *range(1, 12)]), [rng.gauss(0, 1) for _ in range(4)]) for _ in range(150)]
     rows += [(50, [9.0, 9.0, 9.0, 9.0]), (50, [9.0, 9.0, 9.0, 8.0]), *[(20 + j, [3.0 - j / 8] * 4) for j in range(5)], *[(20, [3.0 + j / 64] * 4) for j in range(8)]]
-    monkeypatch.setattr(topk.cut, "__defaults__", (annulus, 16))
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    monkeypatch.setattr(topk, "RING_ROWS", (annulus, 4 * annulus))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), annulus=annulus, near=2)
     assert {tuple(r) for r in got.collect()} == brute_top(rows)
 
 
+def test_top_k_with_a_sample_of_few(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) * (1 + i % 7) for _ in range(3)]) for i in range(120)] + [(i, [1.0, 1.0, 1.0]) for i in range(120, 180)]
+    monkeypatch.setattr(topk, "SAMPLE", 64)
+    monkeypatch.setattr(topk, "RING_ROWS", (8, 16))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), annulus=4, near=1, pivots=3)
+    assert {tuple(r) for r in got.collect()} == brute_top(rows)
+
+
+def rows_asked(spark, rows, k=5):
+    """The share of (query, row) pairs in the rings that a search over all rings would read, by the sample's bounds."""
+    vectors = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    index = topk.build(vectors)
+    asked = topk.queries_of(vectors, index, topk.F.col("id") % 50 == 0)
+    packs = topk.wanted(asked.withColumn("bound", topk.F.lit(None).cast("long")), index, k, 0, None)
+    size = dict(zip(index.ring.tolist(), index.size.tolist()))
+    read = sum(r.n * size[r.ring] for r in packs.select("ring", "n").collect())
+    return read / (asked.count() * len(rows))
+
+
+def test_rings_are_ruled_out_before_the_join(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(topk, "RING_ROWS", (64, 64))
+    centres = rng.normal(size=(20, 16)) * 10
+    tight = [(i, (centres[i % 20] + rng.normal(size=16) / 2).tolist()) for i in range(4000)]
+    assert rows_asked(spark, tight) < 0.2
+    got = topk.top_k(spark.createDataFrame(tight, "vec_id long, embedding array<double>").repartition(3)).collect()
+    x = np.floor(np.array([v for _, v in tight]) * 256)
+    for q in range(0, 4000, 50):
+        s = (x @ x[q]).astype(np.int64)
+        want = sorted((i for i in range(4000) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, s[i]) for i in want]
+
+
 def test_top_k_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 256 * 5)]
