@@ -27,7 +27,7 @@ from murmuration.llm.shared import U64
 MASKS = ((0, 1, 2, 5, 6, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 5, 7), (2, 3, 4, 5, 6, 7), (0, 1, 2, 3, 4, 5), (0, 2, 4, 6, 7))
 SPAN = 8
 LEAST, EVERY = 13, 5
-FILTER_BITS = 22
+FILTER_BITS, MOST_BITS = 22, 28  # a bitmap of 512 KB to 32 MB
 PROBES = (0, 21, 42)  # shifts at which a seed's slots are read
 _C = [U64(pow(0xD1342543DE82EF95, 2 * i + 1, 1 << 64) | 1) for i in range(SPAN)]
 _PLAIN = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -95,35 +95,51 @@ def item_seeds(known: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "seed long, item_id long, place long")
 
 
+def passes_for(seeds: int) -> tuple[int, int]:
+    """(bits, passes): a bitmap of which the benchmark's seeds fill an eighth at most, in as many passes over the documents as that takes."""
+    bits = min(MOST_BITS, max(FILTER_BITS, (8 * len(PROBES) * max(1, seeds) - 1).bit_length()))
+    return bits, -(-8 * len(PROBES) * seeds // (1 << bits)) or 1
+
+
 def bitmap(found: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Which hash slots the benchmark's seeds fill, three a seed: 2 ** bits bits, however many seeds there are."""
+    """Which hash slots the seeds fill, three a seed, as 2 ** bits bits. Tasks fill pieces of 32 KB, so the driver gets one row for each."""
+    size = 1 << min(18, bits)
     slots = found.select(F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND((1 << bits) - 1) for s in PROBES])).alias("slot"))
-    slots = slots.select(F.shiftright("slot", 6).alias("w"), F.col("slot").bitwiseAND(63).alias("b"))
-    words = slots.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v")).collect()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words:
-        out[r.w] = r.v
+
+    def fill(t: pa.Table) -> pa.Table:
+        slot = np.asarray(t.column("slot"))
+        have = np.zeros(size, np.uint8)
+        have[slot % size] = 1
+        return pa.Table.from_pydict({"piece": [int(slot[0]) // size], "have": [np.packbits(have, bitorder="little").tobytes()]})
+
+    pieces = slots.distinct().withColumn("piece", F.floor(F.col("slot") / size)).groupBy("piece").applyInArrow(fill, "piece long, have binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pieces.collect():
+        out[r.piece * size // 8 : (r.piece + 1) * size // 8] = np.frombuffer(r.have, np.uint8)
     return out.view(U64)
 
 
-def maybe(have: np.ndarray, seed: np.ndarray, bits: int) -> np.ndarray:
-    """Indexes of the seeds whose three slots are filled."""
-    hit = np.arange(len(seed))
+def maybe(have: np.ndarray, seed: np.ndarray, bits: int, turn: tuple[int, int] = (0, 1)) -> np.ndarray:
+    """Indexes of the pass's seeds whose three slots are filled."""
+    hit = np.arange(len(seed)) if turn[1] == 1 else np.flatnonzero((seed >> U64(1)) % U64(turn[1]) == turn[0])
     for s in PROBES:
         low = (seed[hit] >> U64(s)) & U64((1 << bits) - 1)
         hit = hit[((have[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1)).astype(bool)]
     return hit
 
 
-def document_hits(docs: DataFrame, filled, reach: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, lo, around, seeds, places): the documents' seeds that may be the benchmark's, and the words around all of them from place lo."""
+def document_hits(docs: DataFrame, filled, reach: int, bits: int = FILTER_BITS, turn: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(doc_id, lo, around, seeds, places): the documents' seeds that may be the benchmark's, and the words around all of them from place lo.
+
+    `turn` is (pass, passes): of several passes each looks at the seeds that are its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = filled.value
         for b in shared.small_batches(batches, "text"):
             h, first, count = word_hashes(shared.texts_of(b))
             ids = b.column("doc_id").to_pylist()
-            found = [(at[hit], owner[hit], seed[hit]) for at, owner, seed in seeds(h, first, count) if len(hit := maybe(have, seed, bits))]
+            found = [(at[hit], owner[hit], seed[hit]) for at, owner, seed in seeds(h, first, count) if len(hit := maybe(have, seed, bits, turn))]
             if not found:
                 continue
             at, owner, seed = (np.concatenate(x) for x in zip(*found))
@@ -170,16 +186,23 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST, every: int =
     """(doc_id, item_id, begin, end, item_begin, words, equal): verified overlaps, the longest of each document and item.
 
     begin and end count the document's words. Items shorter than a seed's span, nulls and empty texts
-    match nothing. Repeated items give a row each under their item_id; repeated documents one row.
+    match nothing. Repeated items give a row each under their item_id; repeated documents one row. Every
+    overlap that the rule accepts is found: the masks cover all its patterns of replaced words.
     """
     known = shared.materialize(item_words(items))
     found = shared.materialize(item_seeds(known))
     widest = known.agg(F.max(F.octet_length("words"))).first()[0] or 0
-    filled = docs.sparkSession.sparkContext.broadcast(bitmap(found))
-    hits = shared.materialize(document_hits(docs, filled, int(widest) // 8).withColumn("row", F.monotonically_increasing_id()))
+    bits, passes = passes_for(found.count())
+    own = F.shiftrightunsigned("seed", 1) % passes
+    hits = None
+    for turn in range(passes):
+        filled = docs.sparkSession.sparkContext.broadcast(bitmap(found if passes == 1 else found.where(own == turn), bits))
+        more = document_hits(docs, filled, int(widest) // 8, bits, (turn, passes))
+        hits = more if hits is None else hits.unionByName(more)
+    hits = shared.materialize(hits.withColumn("row", F.monotonically_increasing_id()))
     # names and places meet by seed; the words join only what is left: one look at each diagonal of a document and an item
     spots = hits.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
-    met = spots.join(found, "seed").groupBy("row", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.min_by(F.struct("at", "place"), "at").alias("m"))
+    met = shared.salted(spots, found, "seed").groupBy("row", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.min_by(F.struct("at", "place"), "at").alias("m"))
     once = met.select("row", "item_id", "m.*").join(hits.select("row", "doc_id", "lo", "around"), "row").join(known, "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,7 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def send(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
-    """The shingles of the sets, packed by part of the index: runs of one set, 40 bits for each shingle."""
+    """The shingles of the sets, packed by part of the index: runs of one set, 48 bits for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.small_batches(batches, "text"):
@@ -105,8 +105,8 @@ def send(docs: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
             begin = runs(part, owner)
             length = np.diff(np.append(begin, len(token))).astype(np.uint32)
             o = owner[begin]
-            cell = token >> U64(24)
-            low, high = (cell & U64(0xFFFFFFFF)).astype(np.uint32), (cell >> U64(32)).astype(np.uint8)
+            cell = token >> U64(16)
+            low, high = (cell & U64(0xFFFFFFFF)).astype(np.uint32), (cell >> U64(32)).astype(np.uint16)
             heads = runs(part[begin])
             rows = []
             for r0, r1 in zip(heads, np.append(heads[1:], len(begin))):
@@ -128,7 +128,7 @@ def give_back(lists: DataFrame, parts: int) -> DataFrame:
         counts = shared.unpack(t, "counts", np.uint32)
         sets = np.repeat(shared.unpack(t, "sets", U64), counts)
         sizes = np.repeat(shared.unpack(t, "sizes", np.uint32), counts)
-        cell = shared.unpack(t, "high", np.uint8).astype(U64) << U64(32) | shared.unpack(t, "low", np.uint32)
+        cell = shared.unpack(t, "high", np.uint16).astype(U64) << U64(32) | shared.unpack(t, "low", np.uint32)
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
         same = cell[1:] == cell[:-1]

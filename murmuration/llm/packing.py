@@ -32,8 +32,12 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> list[tuple[int, ...]]:
-    """(length, first rank, pieces, first bin, pieces per bin, start in bin, bin size) for ranges of equal pieces."""
+def bins_of(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> list[list]:
+    """Groups of equal bins, [first bin, bins, opened size, used, contents], where contents are (length, first rank, pieces per bin, start).
+
+    Bin for bin as if each piece were placed alone: bins are opened together only as long as as many pieces
+    are left as the longest bin holds, since the cost of opening one doesn't change before.
+    """
     sizes = tuple(sorted(sizes))
     left = dict(histogram)  # pieces still to place
     tokens_below = 0
@@ -97,15 +101,20 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: in
                     spaces.pop(at)
             else:
                 size = cheapest(n, count)
-                many = max(1, count // (size // n))
+                many = max(0, count - sizes[-1] // n) // (size // n) + 1
                 group = [bins, many, size, 0, []]
                 bins += many
             placed = fill(group, n, rank, count)
             rank += placed
             count -= placed
         left[n] = 0
-    out = []
-    for first, many, _, used, contents in [*done, *(g for gs in by_space.values() for g in gs)]:
+    return [*done, *(g for gs in by_space.values() for g in gs)]
+
+
+def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> list[tuple[int, ...]]:
+    """(length, first rank, pieces, first bin, pieces per bin, start in bin, bin size) for ranges of equal pieces; bins downsized."""
+    sizes, out = tuple(sorted(sizes)), []
+    for first, many, _, used, contents in bins_of(histogram, sizes, overhead):
         size = next(s for s in sizes if s >= used)
         out += [(n, rank, many * each, first, each, start, size) for n, rank, each, start in contents]
     return out

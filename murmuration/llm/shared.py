@@ -7,13 +7,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 U64 = np.uint64
@@ -22,24 +22,50 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("murmuration.scratch", None)
+    """The folder that driver and executors share (spark.checkpoint.dir). Without one, a temporary folder in local mode and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("murmuration.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="murmuration-")
         spark.conf.set("murmuration.scratch", found)
     return found
 
 
-def materialize(df: DataFrame, keep_order: bool = False) -> DataFrame:
+_MADE: list[list[str]] = []  # tables written within the open scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Removes at its end the tables that were written within it, but for those that the frames in `keep` read."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        made = _MADE.pop()
+        read = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
+        kept = [p for p in made if any(r.endswith(p.rsplit("/", 1)[1]) for r in read)]
+        for path in set(made) - set(kept):
+            _delete(spark, path)
+        if _MADE:
+            _MADE[-1] += kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back.
 
-    The shuffles behind the table are no longer needed, so their files are released.
+    The shuffles behind the table are no longer needed, so their files are released. A `scratch` scope removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _MADE:
+        _MADE[-1].append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
@@ -47,16 +73,12 @@ def materialize(df: DataFrame, keep_order: bool = False) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Remove the files of a materialized table that no later step reads."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; Arrow batches are bounded by bytes too, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """A table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,7 +94,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")) )
+        .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
     e = materialize(e)
@@ -103,23 +125,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---------------------------------------------------------------- dense ranks
 
 
-def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str = "slot", block: int = 4096) -> DataFrame:
-    """Gapless 0-based positions within keys, ordered by `order`, whose first column is an integer.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of the frame has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str = "slot") -> DataFrame:
+    """Gapless 0-based positions within keys, ordered by `order`; keys aren't null.
 
-    No task sees a whole key: rows are ranked within blocks of the first order column, and
-    only one count per block goes through the running sum.
+    Rows are dealt in ranges of (keys, order, place of reading), cut at sampled quantiles, so sparse, equal and
+    null values of the order spread over tasks like any others. A row's place within its task and one count
+    for each key and task give its position.
     """
-    at = df.withColumn("_block", F.floor(F.coalesce(F.col(order[0]), F.lit(0)) / block))
-    counts = at.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy(*keys, "_block").orderBy(*order)
-    return (
-        at.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(starts, [*keys, "_block"])
-        .withColumn(out, (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_block", "_rank", "_start")
-    )
+    tie, at, part, low, n, start = fresh(df, "tie", "at", "part", "low", "n", "start")
+    by = [*keys, *order, tie]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = materialize(ranged.withColumn(at, F.monotonically_increasing_id()).drop(tie)).withColumn(part, F.shiftright(at, 33))
+    counts = placed.groupBy(*keys, part).agg(F.min(at).alias(low), F.count("*").alias(n))
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(low)).drop(low, n)
+    return placed.join(starts, [*keys, part]).withColumn(out, F.col(start) + F.col(at)).drop(at, part, start)
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, limit: int = 200_000) -> DataFrame:
+    """Inner join on a key of which `left` may have very many rows: beyond `limit` they are dealt over copies of the right rows.
+
+    Counts are combined before they are shuffled; at most one row in `limit` is a hot key.
+    """
+    salts, salt = fresh(left.join(right, key), "salts", "salt")
+    hot = left.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias(salts)).where(F.col(salts) > 1)
+    many = F.coalesce(F.col(salts), F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*left.columns), many).cast("int")).drop(salts)
+    copied = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(salts)
+    return dealt.join(copied, [key, salt]).drop(salt)
 
 
 # ---------------------------------------------------------------- words
@@ -237,7 +282,3 @@ def parts_for(df: DataFrame, text: str, per_part: int) -> int:
     """How many groups of about `per_part` bytes of text there are: grows with the data, so a group doesn't."""
     total = df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     return int(max(8, -(-total // per_part)))
-
-
-def schema_of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)

@@ -4,7 +4,8 @@ Only places that can be part of a repeat reach a suffix array:
 
 1. Anchors. The anchor of a window of `length` bytes is its k-gram of least hash, so equal windows
    have equal anchors. Consecutive windows of one anchor make a run; a run's context is the
-   bytes that its windows cover. Runs meet by anchor. An anchor that occurs once can't be in a
+   bytes that its windows cover. Of equal runs that a task reads together all but the first are
+   repeats. The rest meet by anchor. An anchor that occurs once can't be in a
    repeat. Of runs with equal contexts all but the first are repeats as a whole.
 2. Suffix arrays. Where one anchor has several contexts, the first run of each sends its
    bytes. The suffixes of these contexts are sorted, neighbours give common-prefix lengths, and a
@@ -96,20 +97,36 @@ def anchors(docs: DataFrame, parts: int, length: int = LENGTH, gram: int = GRAM)
             if not got:
                 continue
             first, width, anchor, context = (np.concatenate(x) for x in zip(*got))
-            part = (anchor % U64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            first, width, anchor, context, part = first[order], width[order], anchor[order], context[order], part[order]
             owner = np.searchsorted(begins, first, side="right") - 1
+            # of equal runs of a batch only the first can be the first of all; the others are repeats and go where their documents do
+            by = np.argsort(context, kind="stable")
+            same = context[by][1:] == context[by][:-1]
+            several = by[np.append(False, same) | np.append(same, False)]
+            several = several[np.lexsort((first[several] - begins[owner[several]], ids[owner[several]], context[several]))]
+            keys = context[several], ids[owner[several]], first[several] - begins[owner[several]]
+            again, twice = np.zeros(len(context), bool), np.zeros(len(context), bool)
+            later = np.ones(len(several), bool)
+            later[runs(keys[0])] = False
+            again[several] = later
+            repeated = np.ones(len(several), bool)
+            repeated[runs(*keys)] = False
+            twice[several] = repeated  # repeated rows are one document
+            if twice.any():
+                first, width, anchor, context, owner, again = (x[~twice] for x in (first, width, anchor, context, owner, again))
+            part = np.where(again, ids[owner] % parts, (anchor % U64(parts)).astype(np.int64))
+            order = np.lexsort((again, part)) if again.any() else np.argsort(part.astype(np.uint16 if parts < 65536 else np.uint32), kind="stable")
+            first, width, anchor, context, part, owner, again = (x[order] for x in (first, width, anchor, context, part, owner, again))
             cell = (anchor >> U64(32)).astype(np.uint32)
-            begin = runs(part, owner)
+            begin = runs(part, again, owner)
             per_doc = np.diff(np.append(begin, len(part))).astype(np.uint32)
-            heads = runs(part[begin])
+            heads = runs(part[begin], again[begin])
             rows = []
             for r0, r1 in zip(heads, np.append(heads[1:], len(begin))):
                 t0, t1 = begin[r0], begin[r1] if r1 < len(begin) else len(part)
                 s = slice(t0, t1)
+                none = again[t0]  # a repeat's anchor and context are no longer needed
                 rows.append(dict(part=int(part[t0]), **shared.pack(
-                    anchor=cell[s], context=context[s], doc=ids[owner[begin[r0:r1]]], per_doc=per_doc[r0:r1],
+                    anchor=cell[s][: 0 if none else None], context=context[s][: 0 if none else None], doc=ids[owner[begin[r0:r1]]], per_doc=per_doc[r0:r1],
                     start=(first[s] - begins[owner[s]]).astype(np.uint32), width=width[s].astype(np.uint8))))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("anchor", "context", "doc", "per_doc", "start", "width")]))
 
@@ -133,8 +150,15 @@ MARK_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())] + [(c, pa
 def meet(entries: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     """Marks: removed runs (kind 0: start and bytes), and runs whose context a suffix array has to see (kind 1)."""
 
-    def run(t: pa.Table) -> pa.Table:
-        part = t.column("part")[0].as_py()
+    def run(whole: pa.Table) -> pa.Table:
+        part = whole.column("part")[0].as_py()
+        done = pa.compute.equal(pa.compute.binary_length(whole.column("anchor")), 0)
+        rows, t = [], whole.filter(done)
+        if t.num_rows:
+            d = np.repeat(shared.unpack(t, "doc", np.int64), shared.unpack(t, "per_doc", np.uint32))
+            s, w = shared.unpack(t, "start", np.uint32).astype(np.int64), shared.unpack(t, "width", np.uint8).astype(np.int64)
+            rows += packed_marks(d % parts, 0, d, s, w + length, np.zeros(len(d), np.int64))
+        t = whole.filter(pa.compute.invert(done))
         doc = np.repeat(shared.unpack(t, "doc", np.int64), shared.unpack(t, "per_doc", np.uint32))
         anchor, context = shared.unpack(t, "anchor", np.uint32), shared.unpack(t, "context", U64)
         start, width = shared.unpack(t, "start", np.uint32), shared.unpack(t, "width", np.uint8)
@@ -153,7 +177,6 @@ def meet(entries: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
         begin = runs(anchor)
         classes = np.add.reduceat(first.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
         several = np.repeat(classes > 1, np.diff(np.append(begin, len(anchor))))
-        rows = []
         for kind, chosen in ((0, ~first), (1, first & several)):
             d, s, w = doc[chosen], start[chosen].astype(np.int64), width[chosen].astype(np.int64)
             family = anchor[chosen].astype(np.int64) * parts + part
@@ -422,9 +445,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A span is narrowed to whole characters. Documents of which nothing is left stay, with an empty text.
     """
+    names = [c if c in ("doc_id", "text", "n_chars") else f"u{i}" for i, c in enumerate(docs.columns)]  # whatever the others are called
+    docs, given = docs.toDF(*names), docs.columns
     rows = numbered(docs)
-    met = rows.join(removed_spans(rows, length), "doc", "left").select(*docs.columns, F.col("spans").alias("_spans"))
-    names = docs.columns
+    met = rows.join(removed_spans(rows, length), "doc", "left").select(*names, F.col("spans").alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -444,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns.append(pa.array([x if was is not None else None for x, was in zip(out, old.to_pylist())], old.type) if c == "text" else pa.array([len(x) for x in out], old.type) if c == "n_chars" else old)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return met.mapInArrow(run, docs.schema)
+    return met.mapInArrow(run, docs.schema).toDF(*given)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ marginal; a document's score comes from the sum and the maximum of its marginals
 spans are runs of tokens whose marginal reaches one half.
 
 The field is fitted on a bounded sample of labelled rows (`toxic_rows`, `clean_rows`: those
-with the smallest hash of their id). Scoring reads whole texts of all documents.
+with the smallest hash of their id, of texts up to `longest` bytes). Scoring reads whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from murmuration.llm.shared import U64
 
 BITS = 18
 FLOOR = 0.05
-TOXIC_ROWS, CLEAN_ROWS = 600, 900
+TOXIC_ROWS, CLEAN_ROWS, LONGEST = 600, 900, 1 << 16
+BLOCK = 1024  # tokens that messages are stepped through one by one
 #: Token ends: every ASCII byte that is no letter and no digit.
 GAPS = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 HEADS, TAILS = (3, 4, 5, 6), (3, 4)
@@ -105,20 +106,65 @@ class Field:
         return sigmoid(np.hstack([np.ones((len(first), 1)), summary(p, first, count)]) @ self.scale), s, e, first, count, p
 
 
-def marginals(e: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _through(x: np.ndarray, place, alive: np.ndarray, step_of) -> np.ndarray:
+    """Products of the steps of every block, as 2 x 2 matrices on (odds, 1); steps go through all blocks at once."""
+    out = np.tile(np.eye(2), (int(alive[0]), 1, 1))
+    for t in range(len(alive) - 1):
+        n = alive[t]
+        out[:n] = step_of(x[place(t, n)], t, n) @ out[:n]
+        out[:n] /= out[:n].max((1, 2))[:, None, None]
+    return out
+
+
+def marginals(e: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """P(tag 1) of every token by forward-backward, and P(tag 1 at t and t + 1) sums per pair of tags (2, 2).
 
-    Messages are log-odds of the two tags, one number per text, stepped through all texts at once.
+    Messages are log-odds of the two tags, one number per block of at most `block` tokens, stepped through all
+    blocks at once. Of texts of several blocks, what a block does to a message is a product of matrices, which the
+    blocks hand on first. So a text of n tokens takes some 4 * block + 2 * n / block steps, not 2 * n.
     """
-    order = np.argsort(-count, kind="stable")
-    start, length = first[order], count[order]
+    parts = -(-count // block)
+    base = np.cumsum(parts) - parts
+    text = np.repeat(np.arange(len(count)), parts)
+    nth = np.arange(len(text)) - base[text]
+    size = np.minimum(block, count[text] - nth * block)
+    order = np.argsort(-size, kind="stable")
+    size, text, nth = size[order], text[order], nth[order]
+    start = first[text] + nth * block
+    most = int(size[0]) if len(size) else 0
+    alive = np.searchsorted(-size, -np.arange(most + 1), side="left")  # blocks longer than t
+    before, after = np.zeros(len(size)), np.zeros(len(size))  # messages that reach a block from the left and from the right
+    long_ = np.flatnonzero(parts > 1)
+    if len(long_):
+        (oo, ot), (to, tt) = np.exp(moves)
+        x = np.exp(np.clip(e, -300, 300))
+
+        def rightward(x: np.ndarray, t: int, n: int) -> np.ndarray:
+            m = np.array([[tt, ot], [to, oo]]) * np.stack([x, np.ones(n)], 1)[:, :, None]
+            if t == 0:  # the first token of a text has no move before it
+                m[nth[:n] == 0] = np.stack([x, np.zeros(n), np.zeros(n), np.ones(n)], 1).reshape(n, 2, 2)[nth[:n] == 0]
+            return m
+
+        right = _through(x, lambda t, n: start[:n] + t, alive, rightward)
+        left = _through(x, lambda t, n: start[:n] + size[:n] - 1 - t, alive, lambda x, t, n: np.array([[tt, to], [ot, oo]]) * np.stack([x, np.ones(n)], 1)[:, None, :])
+        at = np.empty(len(order), np.int64)
+        at[base[text] + nth] = np.arange(len(order))
+        for matrices, message, ks in ((right, before, range(int(parts.max()))), (left, after, range(int(parts.max()) - 1, 0, -1))):
+            u = np.ones((len(long_), 2))
+            for k in ks:
+                on = np.flatnonzero(parts[long_] > k)
+                i = at[base[long_[on]] + k]
+                if matrices is right:
+                    message[i] = np.log(u[on, 0]) - np.log(u[on, 1])
+                u[on] = (matrices[i] @ u[on][:, :, None])[:, :, 0]
+                u[on] /= u[on].max(1)[:, None]
+                if matrices is left:
+                    message[at[base[long_[on]] + k - 1]] = np.log(u[on, 0]) - np.log(u[on, 1])
     f, b = np.empty_like(e), np.zeros_like(e)
     (oo, ot), (to, tt) = moves
-    most = int(length[0]) if len(length) else 0
-    alive = np.searchsorted(-length, -np.arange(most + 1), side="left")  # texts longer than t
     if most:
-        now = start[: alive[0]]
-        f[now] = e[now]
+        f[start] = e[start] + np.where(nth > 0, np.logaddexp(before + tt, ot) - np.logaddexp(before + to, oo), 0.0)
+        b[start + size - 1] = after
     for t in range(1, most):
         at = start[: alive[t]] + t
         a = f[at - 1]
@@ -134,8 +180,8 @@ def marginals(e: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.nda
     pair = np.zeros((2, 2))
     if len(at):
         # joint log scores relative to each other: f is log-odds before the move, the rest after it
-        after = e[at + 1] + b[at + 1]
-        joint = np.stack([np.zeros(len(at)) + oo, ot + after, f[at] + to, f[at] + tt + after])
+        right_of = e[at + 1] + b[at + 1]
+        joint = np.stack([np.zeros(len(at)) + oo, ot + right_of, f[at] + to, f[at] + tt + right_of])
         joint -= joint.max(0)
         joint = np.exp(joint)
         pair = (joint / joint.sum(0)).sum(1).reshape(2, 2)
@@ -237,19 +283,23 @@ def fit(texts: list[bytes], toxic: list[bool], rounds: int = 25, rate: float = 0
     return field
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
-    """(text, toxic) of a bounded number of labelled rows that are not held out."""
+def sample_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, longest: int = LONGEST) -> DataFrame:
+    """(doc_id, text, toxic) of a bounded number of labelled documents that are not held out: at most toxic_rows and clean_rows, one text each.
+
+    An id with several labels is toxic if one says so; of several texts the least is taken. Texts of more than
+    `longest` bytes are left out of the sample, so it holds (toxic_rows + clean_rows) * longest bytes at most.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
     # At most toxic_rows + clean_rows ids of a few bytes: small enough to broadcast by construction.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, **sizes: int) -> Field:
-    rows = sample_labels(docs, labels, **sizes).collect()
-    rows = sorted({(r.doc_id, r.text or "", r.toxic) for r in rows})[: 2 * sum(sizes.values() or (TOXIC_ROWS, CLEAN_ROWS))]
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in sample_labels(docs, labels, **sizes).collect())
     return fit([t.encode("utf-8") for _, t, _ in rows], [y == 1 for _, _, y in rows])
 
 
