@@ -118,7 +118,9 @@ def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_
     columns are left out; empty tables give an empty result. Only blocks that reach a
     component pass through the join, so a component of any size is no group in one task.
     """
-    links = links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
+    # written first: the expressions that find links are long, and three steps below read them
+    links = shared.materialize(links.select("src", "dst").where("src is not null and dst is not null").distinct())
+    links = shared.materialize(links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     name, action = match_rule(F.col("host"), F.col("path"), rules)
@@ -139,5 +141,4 @@ def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = shared.table(spark, sf_dir, "pages")
-    links = shared.materialize(page_links(pages, relative=True).distinct())
-    return judge(pages, links).drop("component")
+    return judge(pages, page_links(pages, relative=True)).drop("component")
