@@ -14,9 +14,11 @@ def should_chunk(mode: Column, backend: Column, duration: Column, size_mb: Colum
     )
 
 
-def routing_key(lang: Column, switching: Column, phone: Column, snr: Column) -> Column:
-    """Language or `other`, then -phone, then -noisy under 10 dB (PRJ-12)."""
+def routing_key(lang: Column, switching: Column, phone: Column, snr: Column, override: Column | None = None) -> Column:
+    """Language or `other`, then -phone, then -noisy under 10 dB; an override replaces the language only (PRJ-12)."""
     base = F.when(lang.isin("en", "es") & ~switching, lang).otherwise("other")
+    if override is not None:
+        base = F.coalesce(override, base)
     return F.concat(base, F.when(phone, "-phone").otherwise(""), F.when(snr < 10, "-noisy").otherwise(""))
 
 
@@ -32,7 +34,15 @@ def slice_profile(slice_: Column) -> Column:
 def word_confidence(kind: Column, pa: Column, pb: Column) -> Column:
     """Confidence of an aligned slot (FN-11)."""
     known = F.when(pa.isNotNull() & pb.isNotNull(), (pa + pb) / 2).otherwise(F.coalesce(pa, pb))
-    return F.when(kind == "agree", F.coalesce(known, F.lit(0.9))).when(kind == "substitute", 0.3 * F.coalesce(F.greatest(pa, pb), F.lit(0.0))).otherwise(0.2)
+    return F.when(kind == "agree", F.coalesce(known, F.lit(0.9))).when(kind == "substitute", 0.3 * F.coalesce(F.greatest(pa, pb), F.lit(0.9))).otherwise(0.2)
+
+
+def window_reason(start: Column, end: Column, duration: Column, pad: float = 0.3) -> Column:
+    """Why a window can't be used, null if it can (FN-24)."""
+    return (
+        F.when(start.isNull() | end.isNull() | F.isnan(start) | F.isnan(end), "no time").when(end < start, "ends before it begins")
+        .when(F.least(duration, end + pad) <= F.greatest(F.lit(0.0), start - pad), "outside the file")
+    )
 
 
 def window_bounds(start: Column, end: Column, duration: Column, pad: float = 0.3, cap: float = 30.0) -> tuple[Column, Column]:
@@ -50,7 +60,7 @@ def decide(pick: Column, sa: Column, sb: Column, margin: Column, default: Column
 
     A picked side stands unless the other scores more than the margin above it. Without a pick the
     better score wins, unsure within the margin. A guarded empty side has to lead by twice the margin. Without
-    scores the pick or the default stands, unsure, but never the guarded empty side.
+    scores the pick or the default stands, unsure, but never the guarded empty side; without a pick the side is its own source.
     """
     picked = F.coalesce(pick.isin("a", "b"), F.lit(False))
     other = lambda side: F.when(side == "a", "b").otherwise("a")
@@ -64,12 +74,21 @@ def decide(pick: Column, sa: Column, sb: Column, margin: Column, default: Column
     scored = F.struct(side.alias("side"), source.alias("source"), unsure.alias("unclear"), F.when(unsure, 0.3).when(source == "pick", 0.7).otherwise(0.6).alias("confidence"))
     plain = F.when(picked, pick).otherwise(default)
     kept = F.when(F.coalesce(plain == guarded, F.lit(False)), other(plain)).otherwise(plain)
-    blind = F.struct(kept.alias("side"), F.lit("pick").alias("source"), F.lit(True).alias("unclear"), F.lit(0.3).alias("confidence"))
+    blind = F.struct(kept.alias("side"), F.when(picked, "pick").otherwise(kept).alias("source"), F.lit(True).alias("unclear"), F.lit(0.3).alias("confidence"))
     return F.when(sa.isNull() | sb.isNull(), blind).otherwise(scored)
 
 
-def trust_score(agreement: Column, unclear: Column, skipped: Column) -> tuple[Column, Column]:
-    """Estimated error rate from features and its level (FN-21): every skipped stage adds 0.05, and any lowers the level by one."""
-    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (1 - agreement) + unclear + 0.05 * skipped))
+def trust_score(agreement: Column, unclear: Column, skipped: Column, fitted: Column | None = None) -> tuple[Column, Column]:
+    """Estimated error rate from features and its level (FN-21): every skipped stage adds 0.05, and any lowers the level by one.
+
+    `fitted` is an intercept and weights applied to the features, where a profile has them.
+    """
+    plain = 0.5 * (1 - agreement) + unclear
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (plain if fitted is None else F.coalesce(fitted, plain)) + 0.05 * skipped))
     rank = F.when(raw < 0.08, 0).when(raw < 0.2, 1).otherwise(2) + F.when(skipped > 0, 1).otherwise(0)
     return raw, F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit("low")), rank + 1)
+
+
+def uncalibrated(spearman: Column, engines: Column, has_probs: Column) -> Column:
+    """Whether a trust score rests on nothing measured: no or a weak rank correlation, or one engine without probabilities (FN-21)."""
+    return spearman.isNull() | (spearman < 0.7) | ((engines < 2) & ~has_probs)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Hosts of the supported video platforms.
-PLATFORMS = {"youtube": ("youtube.com", "youtu.be"), "vimeo": ("vimeo.com",), "twitch": ("twitch.tv",), "dailymotion": ("dailymotion.com",)}
+PLATFORMS = {"youtube": ("youtube.com", "youtu.be"), "x": ("x.com", "twitter.com"), "instagram": ("instagram.com", "instagr.am")}
 SPACE = r"(?U)\s"
 
 
@@ -31,6 +31,11 @@ def strip_edges(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
+def letters(word: Column) -> Column:
+    """Lower-cased letters and digits of a word."""
+    return F.regexp_replace(F.lower(word), r"(?U)[^\p{L}\p{N}]+", "")
+
+
 def slug(name: Column) -> Column:
     """Runs outside A-Z a-z 0-9 . _ - become one underscore, edges lose . and _ (PRJ-10)."""
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
@@ -69,6 +74,18 @@ def assign_split(key: Column) -> Column:
     return F.when(F.conv(F.right(F.sha2(key, 256), F.lit(1)), 16, 10).cast("int") % 2 == 0, "dev").otherwise("test")
 
 
+def cache_slug(name: Column) -> Column:
+    """File name that can be undone: every UTF-8 byte outside A-Z a-z 0-9 . _ - as %XX (PRJ-10)."""
+    byte = lambda b: F.when(b.rlike("^(?:2D|2E|5F|3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])$"), F.char(F.conv(b, 16, 10).cast("long"))).otherwise(F.concat(F.lit("%"), b))
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(F.encode(name, "UTF-8")), F.lit("(..)"), F.lit(1)), byte), "")
+
+
+def watch_url(source: Column, seconds: Column) -> Column:
+    """A link to a second of a video on a known platform, else null (FN-26)."""
+    mark = F.when(F.instr(source, "?") > 0, "&t=").otherwise("?t=")
+    return F.when(platform(source) == "youtube", F.concat(source, mark, F.floor(seconds).cast("string"), F.lit("s")))
+
+
 def fingerprint(*parts: Column) -> Column:
     """SHA-256 of the parts joined by unit separators; a null part is marked (FN-23)."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
@@ -92,18 +109,3 @@ def srt_time(seconds: Column) -> Column:
     ms = F.greatest(F.lit(0), F.bround(seconds * 1000).cast("long"))
     part = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
     return F.concat(part(F.floor(ms / 3600000), 2), F.lit(":"), part(F.floor(ms / 60000) % 60, 2), F.lit(":"), part(F.floor(ms / 1000) % 60, 2), F.lit(","), part(ms % 1000, 3))
-
-
-def spanish_sound(text: Column) -> Column:
-    """Letters by sound: silent h, b = v, ll = y, soft c = z = s, qu = k, g before e and i = j (FN-12)."""
-    out = F.lower(text)
-    out = F.translate(out, "áéíóúü", "aeiouu")
-    for pattern, by in (("ch", "ç"), ("ll", "y"), ("qu", "k"), ("gu(?=[ei])", "g"), ("g(?=[ei])", "x"), ("j", "x"), ("c(?=[ei])", "s"), ("c", "k"), ("z", "s"), ("v", "b"), ("h", ""), ("rr", "r"), ("[^a-zñç]", "")):
-        out = F.regexp_replace(out, pattern, by)
-    return out
-
-
-def sound_distance(a: Column, b: Column) -> Column:
-    """Edits between two sound strings over the longer one's length, 0 for two empty ones."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)

@@ -37,7 +37,7 @@ FROM {lineitem}
 
 #: One record for each part of a system: pairs of systems on shared ids.
 PAIRED = """
-SELECT concat(l_partkey % 2000, '-', l_returnflag) AS id, l_returnflag AS slice, l_linestatus AS system, CAST(sum(l_linenumber) AS DOUBLE) / sum(CAST(l_quantity AS BIGINT)) AS wer
+SELECT concat(l_partkey, '-', l_returnflag) AS id, l_returnflag AS slice, l_linestatus AS system, CAST(sum(l_linenumber) AS DOUBLE) / sum(CAST(l_quantity AS BIGINT)) AS wer
 FROM {lineitem} GROUP BY 1, 2, 3
 """
 

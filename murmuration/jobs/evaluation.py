@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.functions import edits, rules
+from murmuration.functions import edits, normal, rules
 from murmuration.functions import text as T
 from murmuration.jobs.domain import ITEMS, PAIRED, RECORDS, duck_table, spark_table
 from murmuration.operators import corpus, metrics
@@ -26,16 +26,23 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def hypotheses(spark: SparkSession, d: str) -> DataFrame:
     """References and two systems' outputs of every document: words dropped and swapped at fixed places."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "lang", T.tokens(F.lower("text")).alias("ref"))
-    changed = lambda drop, swap: F.transform(F.filter("ref", lambda x, i: i % drop != drop - 1), lambda x, i: F.when(i % swap == swap - 1, F.reverse(x)).otherwise(x))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "lang", F.col("text").alias("ref"), T.tokens(F.col("text")).alias("_w"))
+    changed = lambda drop, swap: F.array_join(F.transform(F.filter("_w", lambda x, i: i % drop != drop - 1), lambda x, i: F.when(i % swap == swap - 1, F.reverse(x)).otherwise(x)), " ")
     both = F.array(F.struct(F.lit("one").alias("system"), changed(9, 7).alias("hyp")), F.struct(F.lit("two").alias("system"), changed(13, 5).alias("hyp")))
     return docs.select("id", "source", "lang", "ref", F.explode(both).alias("o")).select("id", "source", "lang", "ref", "o.*")
 
 
+def normal_words(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns as arrays of normalized words."""
+    for c in columns:
+        df = normal.normalized(df, c, "lang", "_n").withColumn(c, T.tokens(F.col("_n"))).drop("_n")
+    return df
+
+
 def wer_by_slice(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled word error rate by source and system over whole texts; long pairs are spread by size before alignment."""
-    pairs = hypotheses(spark, d).withColumn("_cost", F.size("ref"))
-    graded = edits.edit_counts(pairs.select("source", "system", "ref", "hyp")).drop("ref", "hyp")
+    """Pooled word error rate by source and system over whole, normalized texts. Rows are dealt by hash, so long texts don't follow each other."""
+    pairs = hypotheses(spark, d).select("source", "system", "lang", "ref", "hyp").repartition(F.xxhash64("ref", "system"))
+    graded = edits.edit_counts(normal_words(pairs, "ref", "hyp")).drop("ref", "hyp")
     sums = graded.groupBy("source", "system").agg(*[F.sum(c).alias(c) for c in ("sub", "del", "ins", "hits", "words")])
     return rounded(sums.withColumn("wer", metrics.share(F.col("sub") + F.col("del") + F.col("ins"), F.col("words"))), "wer")
 
@@ -45,7 +52,7 @@ def disagreement(spark: SparkSession, d: str) -> DataFrame:
     h = hypotheses(spark, d)
     one = h.where("system = 'one'").select("id", "lang", F.col("hyp").alias("ref"))
     two = h.where("system = 'two'").select("id", "hyp")
-    sums = edits.edit_counts(one.join(two, "id")).groupBy("lang").agg(F.sum(F.col("sub") + F.col("del") + F.col("ins")).alias("errors"), F.sum("words").alias("words"))
+    sums = edits.edit_counts(normal_words(one.join(two, "id"), "ref", "hyp")).groupBy("lang").agg(F.sum(F.col("sub") + F.col("del") + F.col("ins")).alias("errors"), F.sum("words").alias("words"))
     return rounded(sums.withColumn("rate", metrics.share(F.col("errors"), F.col("words"))), "rate")
 
 
@@ -53,7 +60,7 @@ def stage_effects(spark: SparkSession, d: str) -> DataFrame:
     """Help, harm and neutral edits between the two systems' outputs, by language (FN-8, AGG-7)."""
     h = hypotheses(spark, d)
     one, two = h.where("system = 'one'").select("id", "lang", "ref", F.col("hyp").alias("before")), h.where("system = 'two'").select("id", F.col("hyp").alias("after"))
-    return rounded(metrics.harm_rates(edits.edit_effects(one.join(two, "id")), "lang"), "harm_rate")
+    return rounded(metrics.harm_rates(edits.edit_effects(normal_words(one.join(two, "id"), "ref", "before", "after")), "lang"), "harm_rate")
 
 
 # ---------------------------------------------------------------- records
@@ -89,6 +96,13 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pair_records(p.where("system = 'F'"), p.where("system = 'O'"))
 
 
+def rises(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """How much more the second system's records harm, by split as stage, and insert where nothing is said."""
+    r = records(spark, d).withColumns({"stage": F.col("split"), "help": F.col("sub"), "harm": F.col("missed"), "neutral": F.col("ins")})
+    base, cand = r.where("system = 'F'"), r.where("system = 'O'")
+    return metrics.harm_rise(base, cand), metrics.insertion_rise(base, cand)
+
+
 def shared_ids(spark: SparkSession, d: str) -> DataFrame:
     p = spark_table(spark, d, PAIRED).withColumns({"skipped": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     return metrics.restricted(p, ["F", "O"]).groupBy("slice", "system").agg(F.count("*").alias("n"), F.round(F.avg("wer"), 6).alias("mean"))
@@ -142,6 +156,13 @@ def pending(spark: SparkSession, d: str) -> DataFrame:
 NOISE = [(k, s) for k in ("babble", "pink", "room") for s in (5, 10, 20)]
 NOISE_SQL = ", ".join(f"({i}, '{k}', {s})" for i, (k, s) in enumerate(NOISE))
 
+#: The greedy choice item by item: every slice's items from long to short, with the lead of dev carried along.
+BALANCED_SQL = f"""
+WITH RECURSIVE i AS (SELECT slice, CAST(duration AS DOUBLE) AS d, row_number() OVER (PARTITION BY slice ORDER BY duration DESC, id) AS n FROM {I}),
+g AS (SELECT slice, n, d, true AS to_dev, d AS lead FROM i WHERE n = 1 UNION ALL SELECT i.slice, i.n, i.d, g.lead <= 0, g.lead + CASE WHEN g.lead <= 0 THEN i.d ELSE -i.d END FROM g JOIN i ON i.slice = g.slice AND i.n = g.n + 1)
+SELECT slice, CASE WHEN to_dev THEN 'dev' ELSE 'test' END AS split, count(*) AS n, sum(d) AS seconds FROM g GROUP BY 1, 2
+"""
+
 JOBS = {
     "wer_by_slice": (wer_by_slice, None),
     "system_disagreement": (disagreement, None),
@@ -159,8 +180,17 @@ JOBS = {
         f"WITH p AS {P} SELECT coalesce(b.slice, c.slice) AS slice, count(*) FILTER (WHERE b.id IS NOT NULL AND c.id IS NOT NULL) AS shared, count(*) FILTER (WHERE c.id IS NULL) AS base_only, count(*) FILTER (WHERE b.id IS NULL) AS cand_only, round(avg(c.wer - b.wer), 6) AS mean_delta FROM (SELECT * FROM p WHERE system = 'F') b FULL JOIN (SELECT * FROM p WHERE system = 'O') c ON b.id = c.id GROUP BY 1",
     ),
     "paired_restrict": (shared_ids, f"WITH p AS {P} SELECT slice, system, count(*) AS n, round(avg(wer), 6) AS mean FROM p WHERE id IN (SELECT id FROM p GROUP BY id HAVING count(DISTINCT system) = 2) GROUP BY 1, 2"),
-    "bootstrap_ci": (lambda s, d: rounded(metrics.bootstrap(pairs(s, d).where("side = 'both'").select("slice", "id", (F.col("wer_c") - F.col("wer_b")).alias("d")), "d", "slice", n=500), "mean", "lo", "hi"), None),
-    "gate_verdict": (lambda s, d: metrics.gate(pairs(s, d)), None),
+    "bootstrap_ci": (lambda s, d: rounded(metrics.bootstrap(pairs(s, d).where("side = 'both'").select("slice", "id", (F.col("wer_c") - F.col("wer_b")).alias("d")), "d", "slice"), "mean", "lo", "hi"), None),
+    "gate_verdict": (lambda s, d: metrics.gate(pairs(s, d), *rises(s, d)), None),
+    "gate_slices": (lambda s, d: rounded(metrics.gate_slices(pairs(s, d)), "mean_delta", "lo", "hi"), None),
+    "harm_rise": (
+        lambda s, d: rounded(rises(s, d)[0], "base", "cand", "delta"),
+        f"WITH r AS (SELECT split AS stage, sum(missed) FILTER (WHERE system = 'F') / nullif(sum(sub + missed + ins) FILTER (WHERE system = 'F'), 0) AS base, sum(missed) FILTER (WHERE system = 'O') / nullif(sum(sub + missed + ins) FILTER (WHERE system = 'O'), 0) AS cand FROM {R} GROUP BY 1) SELECT stage, round(coalesce(base, 0), 6) AS base, round(coalesce(cand, 0), 6) AS cand, round(coalesce(cand, 0) - coalesce(base, 0), 6) AS delta FROM r",
+    ),
+    "insertion_rise": (
+        lambda s, d: rounded(rises(s, d)[1], "base", "cand", "delta"),
+        f"WITH r AS (SELECT sum(ins) FILTER (WHERE system = 'F') / (sum(duration) FILTER (WHERE system = 'F') / 60) AS base, sum(ins) FILTER (WHERE system = 'O') / (sum(duration) FILTER (WHERE system = 'O') / 60) AS cand FROM {R} WHERE empty_ref) SELECT round(base, 6) AS base, round(cand, 6) AS cand, round(cand - base, 6) AS delta FROM r",
+    ),
     "spearman": (
         rank_correlation,
         f"WITH x AS (SELECT slice, words AS a, char_errors + sub AS b FROM {R}), r AS (SELECT slice, rank() OVER (PARTITION BY slice ORDER BY a) + (count(*) OVER (PARTITION BY slice, a) - 1) / 2 AS p, rank() OVER (PARTITION BY slice ORDER BY b) + (count(*) OVER (PARTITION BY slice, b) - 1) / 2 AS q FROM x) SELECT slice, count(*) AS n, round(corr(p, q), 6) AS rho FROM r GROUP BY slice",
@@ -197,5 +227,5 @@ JOBS = {
         SELECT slice, id, 'duplicate' AS problem FROM i GROUP BY slice, id HAVING count(*) > 1 UNION ALL SELECT slice, id, 'split' FROM i WHERE split NOT IN ('dev', 'test') UNION ALL SELECT slice, id, 'long' FROM i WHERE duration > 600
         UNION ALL SELECT slice, id, 'empty' FROM i WHERE slice != 'nospeech' AND trim(coalesce(reference, '')) = '' UNION ALL SELECT slice, NULL, 'uneven' FROM g WHERE n >= 4 AND (least(nd, nt) < 2 OR least(dev, total - dev) / total < 0.35)""",
     ),
-    "balanced_split": (lambda s, d: corpus.balanced_split(items(s, d).withColumn("duration", F.col("duration").cast("double"))).groupBy("slice", "split").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds")), None),
+    "balanced_split": (lambda s, d: corpus.balanced_split(items(s, d).withColumn("duration", F.col("duration").cast("double"))).groupBy("slice", "split").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds")), BALANCED_SQL),
 }

@@ -48,12 +48,12 @@ SELECT file_id, span_id, min(chunk) AS chunk, min(pos) AS first, max(pos) AS las
 
 
 def sub_words(spark: SparkSession, d: str) -> DataFrame:
-    t = words(spark, d).select("file_id", F.floor(F.col("pos") / 40).alias("chunk"), "pos", F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise(""), F.substring("label", 1, 3)).alias("text"), "start", (F.col("start") + 1).alias("end"), F.when(F.col("event_id") % 4 != 0, F.col("prob")).alias("confidence"))
+    t = words(spark, d).select("file_id", F.floor(F.col("pos") / 40).alias("chunk"), "pos", F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise(""), F.col("label")).alias("text"), "start", (F.col("start") + 1).alias("end"), F.when(F.col("event_id") % 4 != 0, F.col("prob")).alias("confidence"))
     return islands.words_from_tokens(t).select("file_id", "chunk", "word", "text", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "prob")
 
 
 SUB_SQL = f"""
-WITH t AS (SELECT file_id, pos // 40 AS chunk, pos, concat(CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END, substr(label, 1, 3)) AS text, start, CASE WHEN event_id % 4 != 0 THEN prob END AS confidence FROM {Wd}),
+WITH t AS (SELECT file_id, pos // 40 AS chunk, pos, concat(CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END, label) AS text, start, CASE WHEN event_id % 4 != 0 THEN prob END AS confidence FROM {Wd}),
 i AS (SELECT *, CAST(sum(CASE WHEN starts_with(text, ' ') OR pos % 40 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, chunk ORDER BY pos) - 1 AS BIGINT) AS word FROM t)
 SELECT file_id, chunk, word, trim(string_agg(text, '' ORDER BY pos)) AS text, round(min(start), 3) AS start, round(max(start) + 1, 3) AS "end", min(confidence) AS prob FROM i GROUP BY 1, 2, 3
 """
@@ -84,7 +84,7 @@ z AS (SELECT *, CASE WHEN sa IS NULL THEN CASE WHEN picked THEN choice ELSE 'a'
   WHEN sa > sb THEN 'a' WHEN sb > sa THEN 'b' ELSE 'a' END AS win FROM y),
 q AS (SELECT *, win = 'b' AND guarded = 'b' AND (sa IS NULL OR sb - sa < 2 * margin) IS TRUE AS kept FROM z),
 r AS (SELECT *, CASE WHEN coalesce(kept, false) THEN 'a' ELSE win END AS side, CASE WHEN sa IS NULL THEN true ELSE NOT picked AND (abs(sa - sb) <= margin OR coalesce(kept, false)) END AS unclear FROM q),
-d AS (SELECT *, CASE WHEN sa IS NULL THEN 'pick' WHEN NOT unclear AND picked AND side = choice THEN 'pick' ELSE 'verify' END AS source FROM r),
+d AS (SELECT *, CASE WHEN sa IS NULL THEN CASE WHEN picked THEN 'pick' ELSE side END WHEN NOT unclear AND picked AND side = choice THEN 'pick' ELSE 'verify' END AS source FROM r),
 e AS (SELECT *, CASE WHEN unclear THEN 0.3 WHEN source = 'pick' THEN 0.7 ELSE 0.6 END AS confidence FROM d)
 """.replace("{w}", Wd)
 
@@ -164,7 +164,7 @@ SELECT file_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM x WH
 
 
 def speech_windows(spark: SparkSession, d: str) -> DataFrame:
-    speech = words(spark, d).where("label = 'click' and pos % 2 = 0").select("file_id", "start", (F.col("start") + 60).alias("end"))
+    speech = words(spark, d).where("label = 'click'").select("file_id", "start", (F.col("start") + 60).alias("end"))
     return intervals.speech_windows(intervals.merge_intervals(speech, ["file_id"]), 300.0).select("file_id", "window", F.round("start", 3).alias("start"))
 
 
@@ -198,7 +198,7 @@ JOBS = {
     ),
     "speech_windows": (
         speech_windows,
-        f"""WITH s AS (SELECT file_id, start, start + 60 AS e FROM {Wd} WHERE label = 'click' AND pos % 2 = 0), f AS (SELECT *, CASE WHEN start - max(e) OVER (PARTITION BY file_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0 THEN 0 ELSE 1 END AS fresh FROM s),
+        f"""WITH s AS (SELECT file_id, start, start + 60 AS e FROM {Wd} WHERE label = 'click'), f AS (SELECT *, CASE WHEN start - max(e) OVER (PARTITION BY file_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0 THEN 0 ELSE 1 END AS fresh FROM s),
         i AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY start, e) AS g FROM f), m AS (SELECT file_id, g, min(start) AS s, max(e) AS e FROM i GROUP BY 1, 2), c AS (SELECT *, e - s AS d, sum(e - s) OVER (PARTITION BY file_id ORDER BY s) - (e - s) AS cum, sum(e - s) OVER (PARTITION BY file_id) AS total FROM m),
         o AS (SELECT DISTINCT file_id, total, CASE WHEN total <= 300 THEN 1 ELSE least(5, ceil(total / 300)) END AS n FROM c), k AS (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS w FROM o)
         SELECT k.file_id, CAST(w AS INTEGER) AS "window", round(s + (CASE WHEN n = 1 THEN 0 ELSE w * (k.total - 300) / (n - 1) END) - cum, 3) AS start FROM k JOIN c ON c.file_id = k.file_id AND (CASE WHEN n = 1 THEN 0 ELSE w * (k.total - 300) / (n - 1) END) >= cum AND (CASE WHEN n = 1 THEN 0 ELSE w * (k.total - 300) / (n - 1) END) < cum + d""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.functions import rules
+from murmuration.functions import rules, sounds
 from murmuration.functions import text as T
 from murmuration.jobs.domain import SEGMENTS, WORDS, duck_table, spark_table
 from murmuration.operators import corpus, intervals, islands, metrics
@@ -27,15 +27,16 @@ def r3(*names: str) -> dict:
 
 
 def event_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth event of a user begins a segment, six hours long."""
-    return words(spark, d).where("pos % 5 = 0").select("file_id", "pos", "start", (F.col("start") + 21600).alias("end"), "label")
+    """Every event of a user begins a segment, six hours long."""
+    return words(spark, d).select("file_id", "pos", "start", (F.col("start") + 21600).alias("end"), "label")
 
 
-SPANS = f"(SELECT file_id, pos, start, start + 21600 AS \"end\", label FROM {Wd} WHERE pos % 5 = 0)"
+SPANS = f"(SELECT file_id, pos, start, start + 21600 AS \"end\", label FROM {Wd})"
 
 
 def word_asof(spark: SparkSession, d: str) -> DataFrame:
-    w = words(spark, d).where("pos % 5 != 0").select("file_id", "pos", "start")
+    """Every event half an hour later, and the segment that has begun by then."""
+    w = words(spark, d).select("file_id", "pos", (F.col("start") + 1800).alias("start"))
     return intervals.last_before(w, event_spans(spark, d), F.col("start") + intervals.SLACK, ["pos", "label"]).select("file_id", "pos", "span_pos", "span_label")
 
 
@@ -91,19 +92,30 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet")
 
 
+#: Beginnings of links, and what they are: platform and whether a video id follows.
+LINKS = (
+    ("https://www.youtube.com/watch?x=1&v=", "youtube", True), ("https://youtu.be/", "youtube", True), ("https://m.youtube.com/shorts/", "youtube", True), ("https://x.com/i/status/", "x", False),
+    ("http://mobile.twitter.com/i/status/", "x", False), ("https://www.instagram.com/p/", "instagram", False), ("https://instagr.am/p/", "instagram", False), ("https://player.vimeo.com/video/", None, False), ("http://notyoutube.com/go/", None, False),
+)
+
+
 def urls(spark: SparkSession, d: str) -> DataFrame:
-    """Page addresses turned into watch links of several shapes."""
-    shape = F.element_at(F.array(*map(F.lit, ("https://www.youtube.com/watch?x=1&v=", "https://youtu.be/", "https://m.youtube.com/shorts/", "https://player.vimeo.com/video/", "http://notyoutube.com/watch?v="))), (F.col("page_id") % 5 + 1).cast("int"))
+    """Page addresses turned into links of every platform and some of none."""
+    shape = F.element_at(F.array(*[F.lit(x) for x, _, _ in LINKS]), (F.col("page_id") % len(LINKS) + 1).cast("int"))
     link = F.concat(shape, F.lit("id"), F.col("page_id").cast("string"))
-    return pages(spark, d).select("page_id", T.host(F.col("url")).alias("host"), T.platform(link).alias("platform"), T.video_id(link).alias("video_id"), T.slug(F.col("url")).alias("slug"), T.unescape_url(F.concat(link, F.lit("\\?a\\=b"))).alias("plain"))
+    return pages(spark, d).select(
+        "page_id", T.host(F.col("url")).alias("host"), T.platform(link).alias("platform"), T.video_id(link).alias("video_id"), T.slug(F.col("url")).alias("slug"), T.unescape_url(F.concat(link, F.lit("\\?a\\=b"))).alias("plain"),
+        T.watch_url(link, F.col("page_id") + 0.7).alias("watch"),
+    )
 
 
 URLS_SQL = r"""
-WITH l AS (SELECT page_id, url, concat((['https://www.youtube.com/watch?x=1&v=', 'https://youtu.be/', 'https://m.youtube.com/shorts/', 'https://player.vimeo.com/video/', 'http://notyoutube.com/watch?v='])[page_id % 5 + 1], 'id', page_id) AS link FROM pages)
-SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, CASE page_id % 5 WHEN 3 THEN 'vimeo' WHEN 4 THEN NULL ELSE 'youtube' END AS platform, CASE WHEN page_id % 5 = 3 THEN NULL ELSE concat('id', page_id) END AS video_id,
-  regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS slug, concat(link, '?a=b') AS plain
+WITH k(n, head, platform, has_id) AS (VALUES {links}), l AS (SELECT page_id, url, concat(head, 'id', page_id) AS link, platform, has_id FROM pages JOIN k ON n = page_id % {count})
+SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, platform, CASE WHEN has_id THEN concat('id', page_id) END AS video_id,
+  regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS slug, concat(link, '?a=b') AS plain,
+  CASE WHEN platform = 'youtube' THEN concat(link, CASE WHEN contains(link, '?') THEN '&t=' ELSE '?t=' END, page_id, 's') END AS watch
 FROM l
-"""
+""".replace("{links}", ", ".join(f"({i}, '{a}', {'NULL' if b is None else repr(b)}, {str(c).lower()})" for i, (a, b, c) in enumerate(LINKS))).replace("{count}", str(len(LINKS)))
 
 
 def term_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -117,20 +129,21 @@ def gram_counts(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("role", F.size(F.split("gram", " ")).alias("n")).agg(F.count("*").alias("grams"), F.count_distinct("gram").alias("kinds"))
 
 
-def sounds(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", T.spanish_sound(F.col("p_name")).alias("sound"), T.spanish_sound(F.col("p_type")).alias("other"))
-    return p.withColumn("distance", F.round(T.sound_distance(F.col("sound"), F.col("other")), 6)).select("p_partkey", "sound", "distance")
+def phonetic(spark: SparkSession, d: str) -> DataFrame:
+    """Names and types of parts by Spanish sound, and how far they are apart."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", sounds.spanish(F.col("p_name")).alias("sound"), sounds.spanish(F.col("p_type")).alias("other"))
+    return p.withColumn("distance", F.round(sounds.sound_distance(F.col("sound"), F.col("other")), 6)).select("p_partkey", "sound", "distance")
 
 
 def _sound(c: str) -> str:
-    out = f"translate(lower({c}), 'áéíóúü', 'aeiouu')"
-    for a, b in (("ch", "ç"), ("ll", "y"), ("qu", "k")):
+    """The same in SQL without lookahead: a soft c or g is marked first."""
+    out = f"regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g')"
+    for a, b in (("ch", "C"), ("qu", "K"), ("q", "K")):
         out = f"replace({out}, '{a}', '{b}')"
-    out = f"regexp_replace(regexp_replace({out}, 'gu([ei])', 'g\\1', 'g'), 'g([ei])', 'x\\1', 'g')"
-    out = f"regexp_replace(replace({out}, 'j', 'x'), 'c([ei])', 's\\1', 'g')"
-    for a, b in (("c", "k"), ("z", "s"), ("v", "b"), ("h", ""), ("rr", "r")):
+    out = f"regexp_replace(regexp_replace(regexp_replace({out}, 'c([ei])', 'S\\1', 'g'), 'gu([ei])', 'G\\1', 'g'), 'g([ei])', 'X\\1', 'g')"
+    for a, b in (("c", "k"), ("j", "X"), ("ll", "y"), ("rr", "r"), ("z", "s"), ("v", "b"), ("x", "ks"), ("h", "")):
         out = f"replace({out}, '{a}', '{b}')"
-    return f"regexp_replace({out}, '[^a-zñç]', '', 'g')"
+    return f"translate({out}, 'KSGX', 'ksgx')"
 
 
 def hints(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +196,7 @@ JOBS = {
         m AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY file_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0 THEN 0 ELSE 1 END AS fresh FROM k), i AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY start, "end") AS island FROM m),
         t AS (SELECT file_id, sum(e - s) AS speech FROM (SELECT file_id, island, min(start) AS s, max("end") AS e FROM i GROUP BY 1, 2) GROUP BY 1) SELECT c_custkey AS file_id, round(coalesce(speech, 0), 3) AS speech, round(coalesce(speech, 0) / 2000000.0, 6) AS ratio FROM customer LEFT JOIN t ON t.file_id = c_custkey""",
     ),
-    "word_to_segment_asof": (word_asof, f"SELECT w.file_id, w.pos, t.pos AS span_pos, t.label AS span_label FROM (SELECT * FROM {Wd} WHERE pos % 5 != 0) w ASOF JOIN {SPANS} t ON w.file_id = t.file_id AND w.start + 1e-6 >= t.start"),
+    "word_to_segment_asof": (word_asof, f"SELECT w.file_id, w.pos, t.pos AS span_pos, t.label AS span_label FROM {Wd} w ASOF JOIN {SPANS} t ON w.file_id = t.file_id AND w.start + 1800 + 1e-6 >= t.start"),
     "speaker_assign": (speakers, SPEAKERS_SQL),
     "chunk_speech": (lambda s, d: intervals.overlap_flags(chunks_of(s, d), speech(s, d), 7200.0).select("file_id", "chunk", "speech"), f"SELECT file_id, pos AS chunk, EXISTS (SELECT 1 FROM {SPEECH} s WHERE s.file_id = w.file_id AND s.\"end\" > w.start AND s.start < w.start + 1800) AS speech FROM {Wd} w WHERE label = 'purchase'"),
     "outside_speech": (lambda s, d: intervals.outside_speech(points(s, d), speech(s, d), width=7200.0).select("file_id", "pos"), f"SELECT file_id, pos FROM {Wd} w WHERE label NOT IN ('click', 'view') AND NOT EXISTS (SELECT 1 FROM {SPEECH} s WHERE s.file_id = w.file_id AND s.\"end\" + 0.25 > w.start AND s.start - 0.25 < w.start + 60)"),
@@ -238,7 +251,7 @@ JOBS = {
     "top_uncertain": (
         hints,
         f"""WITH a AS (SELECT file_id, pos // 10 AS segment, start, text, score, row_number() OVER (PARTITION BY file_id ORDER BY score) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM {Wd}), q AS (SELECT file_id, score AS threshold FROM a WHERE r = floor(0.1 * (n - 1)) + 1),
-        l AS (SELECT a.*, row_number() OVER (PARTITION BY a.file_id, segment ORDER BY score, start, text) AS k FROM a JOIN q ON a.file_id = q.file_id AND score <= threshold) SELECT file_id, segment, string_agg(text, ',' ORDER BY start, text) AS hints FROM l WHERE k <= 3 GROUP BY 1, 2""",
+        l AS (SELECT a.*, row_number() OVER (PARTITION BY a.file_id, segment ORDER BY score, start, text) AS k FROM a JOIN q ON a.file_id = q.file_id AND score <= threshold) SELECT file_id, segment, string_agg(regexp_replace(text, '[.]$', ''), ',' ORDER BY start, text) AS hints FROM l WHERE k <= 3 GROUP BY 1, 2""",
     ),
     "majority_language": (
         votes,
@@ -247,8 +260,8 @@ JOBS = {
     "decision_tables": (decisions, DECISIONS_SQL),
     "urls": (urls, URLS_SQL),
     "markup_counts": (
-        lambda s, d: pages(s, d).groupBy(T.host(F.col("url")).alias("host")).agg(F.count_if(T.has_markup(F.col("html"))).alias("dropped"), F.count_if(T.has_markup(F.regexp_replace("html", "<", ""))).alias("kept_marked"), F.sum(F.length(T.squeeze(F.col("url")))).alias("chars")),
-        "SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, count(*) FILTER (WHERE regexp_matches(html, '<[^<>\\s][^<>]*>')) AS dropped, 0 AS kept_marked, CAST(sum(length(trim(regexp_replace(url, '\\s+', ' ', 'g')))) AS BIGINT) AS chars FROM pages GROUP BY 1",
+        lambda s, d: pages(s, d).groupBy(T.host(F.col("url")).alias("host")).agg(F.count_if(T.has_markup(F.col("html"))).alias("dropped"), F.count_if(T.has_markup(F.regexp_replace("html", "<([a-z])", "< $1"))).alias("spaced_marked"), F.sum(F.length(T.squeeze(F.col("url")))).alias("chars")),
+        "SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, count(*) FILTER (WHERE regexp_matches(html, '<[^<>\\s][^<>]*>')) AS dropped, count(*) FILTER (WHERE regexp_matches(regexp_replace(html, '<([a-z])', '< \\1', 'g'), '<[^<>\\s][^<>]*>')) AS spaced_marked, CAST(sum(length(trim(regexp_replace(url, '\\s+', ' ', 'g')))) AS BIGINT) AS chars FROM pages GROUP BY 1",
     ),
     "render_srt": (
         lambda s, d: render.srt(segments(s, d)),
@@ -270,5 +283,5 @@ JOBS = {
         gram_counts,
         f"WITH a AS (SELECT speaker AS role, string_split(text, ' ') AS w FROM {S}), g AS (SELECT role, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM a, (VALUES (1), (2), (3)) k(n)) SELECT role, n, count(*) AS grams, count(DISTINCT gram) AS kinds FROM g GROUP BY 1, 2",
     ),
-    "phonetic_es": (sounds, f"SELECT p_partkey, {_sound('p_name')} AS sound, round(levenshtein({_sound('p_name')}, {_sound('p_type')}) / greatest(length({_sound('p_name')}), length({_sound('p_type')})), 6) AS distance FROM part"),
+    "phonetic_es": (phonetic, f"WITH s AS (SELECT p_partkey, {_sound('p_name')} AS sound, replace({_sound('p_name')}, ' ', '') AS a, replace({_sound('p_type')}, ' ', '') AS b FROM part) SELECT p_partkey, sound, round(levenshtein(a, b) / greatest(length(a), length(b)), 6) AS distance FROM s"),
 }

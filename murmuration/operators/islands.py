@@ -32,19 +32,27 @@ def unclear_runs(words: DataFrame) -> DataFrame:
     return runs.select("file_id", F.col("first").alias("start_idx"), (F.col("last") + 1).alias("end_idx"))
 
 
-def group_spans(slots: DataFrame, least: float = 0.5) -> DataFrame:
-    """Spans of slots (WIN-9): every solid slot alone, neighbours that aren't solid together.
+def mark_spans(slots: DataFrame, least: float = 0.5, forced: bool = False) -> DataFrame:
+    """Slots with the span that they are in and its tier (WIN-9): every solid slot alone, neighbours that aren't solid together.
 
-    Solid: both engines agree and no known probability is under `least`. Tier disputed with any substitute
-    or unsure agreement, else missing. Ids count over the file by (chunk, pos).
+    Solid: both engines agree and no known probability is under `least`; a blank always. Tier disputed with any substitute
+    or unsure agreement, or `forced` (one engine, WIN-11), else missing. Ids count over the file by (chunk, pos).
     """
     low = F.least(F.coalesce("pa", F.lit(1.0)), F.coalesce("pb", F.lit(1.0))) < least
-    s = slots.withColumn("solid", (F.col("kind") == "agree") & ~low).withColumn("disputed", (F.col("kind") == "substitute") | ((F.col("kind") == "agree") & low))
+    if "blank" in slots.columns:
+        low = low & ~F.col("blank")
+    s = slots.withColumn("solid", (F.col("kind") == "agree") & ~low).withColumn("disputed", (F.col("kind") == "substitute") | ((F.col("kind") == "agree") & low) | F.lit(forced))
     w = W.partitionBy("file_id").orderBy("chunk", "pos")
     new = F.col("solid") | F.lag("solid").over(w) | (F.col("chunk") != F.lag("chunk").over(w))
     marked = islands(s, ["file_id"], ["chunk", "pos"], new, "span_id")
-    tier = F.when(F.bool_or("solid"), "solid").when(F.bool_or("disputed"), "disputed").otherwise("missing")
-    return marked.groupBy("file_id", "span_id").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("first"), F.max("pos").alias("last"), tier.alias("tier"))
+    own = W.partitionBy("file_id", "span_id")
+    tier = F.when(F.bool_or("solid").over(own), "solid").when(F.bool_or("disputed").over(own), "disputed").otherwise("missing")
+    return marked.withColumn("tier", tier).drop("solid", "disputed")
+
+
+def group_spans(slots: DataFrame, least: float = 0.5, forced: bool = False) -> DataFrame:
+    """Spans of slots, with their chunk, places and tier (WIN-9, WIN-11)."""
+    return mark_spans(slots, least, forced).groupBy("file_id", "span_id").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("tier").alias("tier"))
 
 
 def context(words: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
@@ -54,6 +62,17 @@ def context(words: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
     return words.withColumns({"left_context": around(-k, -1), "right_context": around(1, k)})
 
 
+def span_contexts(marked: DataFrame, k: int = 8) -> DataFrame:
+    """Contexts of every span within its chunk: up to k words each side, where the first timed one begins and the last ends (WIN-10)."""
+    word = F.struct(F.coalesce("a", "b").alias("t"), F.coalesce("a_start", "b_start").alias("s"), F.coalesce("a_end", "b_end").alias("e"))
+    w = W.partitionBy("file_id", "chunk").orderBy("pos")
+    near = marked.withColumns({"_l": F.collect_list(word).over(w.rowsBetween(-k, -1)), "_r": F.collect_list(word).over(w.rowsBetween(1, k))})
+    ends = near.groupBy("file_id", "span_id").agg(F.min_by("_l", "pos").alias("l"), F.max_by("_r", "pos").alias("r"))
+    texts = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), " ")
+    timed = lambda c, f: F.filter(F.transform(c, lambda x: x[f]), lambda x: x.isNotNull())
+    return ends.select("file_id", "span_id", texts("l").alias("left_context"), texts("r").alias("right_context"), F.try_element_at(timed("l", "s"), F.lit(1)).alias("left_start"), F.try_element_at(timed("r", "e"), F.lit(-1)).alias("right_end"))
+
+
 def words_to_segments(words: DataFrame, most: int = 14, gap: float = 1.0, tail: float = 0.5) -> DataFrame:
     """Segments of words (WIN-7): broken by a pause between starts, after . or ?, and at `most` words.
 

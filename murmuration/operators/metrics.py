@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from murmuration.operators.intervals import merge_intervals  # noqa: F401  re-exported for jobs on turns
-
 
 def share(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
@@ -91,49 +92,119 @@ def restricted(records: DataFrame, systems: list[str]) -> DataFrame:
     return done.join(full, "id", "left_semi")
 
 
-def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 2) -> DataFrame:
-    """Rank correlation with average ranks (AGG-15): 0 for a constant side, null under `least` rows."""
-    rank = lambda c: F.rank().over(W.partitionBy(*keys).orderBy(c)) + (F.count("*").over(W.partitionBy(*keys, c)) - 1) / 2
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, rank(x).alias("_x"), rank(y).alias("_y"))
-    r = F.when(F.count("*") < least, None).otherwise(F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")), F.lit(0.0)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r.alias("rho"))
+def average_ranks(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, value, _rank) of the distinct values, ties at their average rank; rows may carry how often they occur as _n.
+
+    Only counts of distinct values are ordered: rows of one value are one row before the sort.
+    """
+    counts = df.groupBy(*keys, value).agg((F.sum("_n") if "_n" in df.columns else F.count("*")).alias("_n"))
+    w = W.partitionBy(*keys).orderBy(value)
+    below = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(*keys, value, (below + (F.col("_n") + 1) / 2).alias("_rank"))
+
 
+def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 2) -> DataFrame:
+    """Rank correlation with average ranks (AGG-15): 0 for a constant side, null under `least` rows.
 
-def bootstrap(df: DataFrame, value: str, *keys: str, n: int = 2000, blocks: int = 64) -> DataFrame:
+    Equal pairs are counted first; ranks come from the counts of distinct values and are joined back.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    ranks = lambda c, out: average_ranks(pairs.select(*keys, c, "_n"), c, *keys).withColumnRenamed("_rank", out)
+    met = pairs.join(ranks("_x", "_a"), [*keys, "_x"]).join(ranks("_y", "_b"), [*keys, "_y"])
+    n, total = F.col("_n"), F.sum("_n")
+    sums = met.groupBy(*keys).agg(total.alias("n"), *[F.sum(n * e).alias(f"_{i}") for i, e in enumerate((F.col("_a"), F.col("_b"), F.col("_a") * F.col("_b"), F.col("_a") ** 2, F.col("_b") ** 2))])
+    cov = F.col("_2") - F.col("_0") * F.col("_1") / F.col("n")
+    spread = (F.col("_3") - F.col("_0") ** 2 / F.col("n")) * (F.col("_4") - F.col("_1") ** 2 / F.col("n"))
+    r = F.when(F.col("n") < least, None).when(spread <= 0, 0.0).otherwise(cov / F.sqrt(F.when(spread > 0, spread)))
+    return sums.select(*keys, "n", r.alias("rho"))
+
+
+def bootstrap(df: DataFrame, value: str, *keys: str, n: int = 2000) -> DataFrame:
     """Mean and 95 % interval of resampled means (AGG-16) by a Poisson bootstrap.
 
-    Each row's weight in resample r is Poisson(1), drawn from a hash of the row and r, so partial sums of
-    (value * weight, weight) per block of rows add up: a group of any size is never in one task. An
-    interval is statistically that of drawing with replacement. Nulls are left out.
+    Each row's weight in resample r is Poisson(1), drawn from a generator seeded by a hash of the row, so sums of (value * weight,
+    weight) over any batches of rows add up: partial sums leave a task as one row for each key and batch, and a group of any size is
+    never in one task. An interval is statistically that of drawing with replacement. Nulls are left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_h"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema), "s array<double>", "w array<double>", "t double", "c long"])
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, w = np.zeros(n), np.zeros(n)
-        for h, v in zip(pdf["_h"].to_numpy(), pdf["_v"].to_numpy()):
-            k = np.random.default_rng(int(h) & 0xFFFFFFFFFFFFFFFF).poisson(1.0, n)
-            s += v * k
-            w += k
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "s": [s], "w": [w], "t": [float(pdf["_v"].sum())], "c": [len(pdf)]})
-
-    parts = rows.withColumn("_b", F.pmod("_h", F.lit(blocks))).groupBy(*keys, "_b").applyInPandas(partial, schema)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, groups = np.zeros(b.num_rows, np.int64), [()]
+            if keys:
+                names: dict = {}
+                codes = np.array([names.setdefault(k, len(names)) for k in zip(*(b.column(k).to_pylist() for k in keys))], np.int64)
+                groups = list(names)
+            v, h = np.asarray(b.column("_v")), np.asarray(b.column("_h")).view(np.uint64)
+            s, w = np.zeros((len(groups), n)), np.zeros((len(groups), n))
+            for at in range(0, len(v), 256):
+                i = slice(at, at + 256)
+                k = poisson(h[i], n)
+                one = np.zeros((len(groups), len(k)))
+                one[codes[i], np.arange(len(k))] = 1
+                w += one @ k
+                s += (one * v[i]) @ k
+            t, c = np.bincount(codes, v, len(groups)), np.bincount(codes, minlength=len(groups))
+            columns = [pa.array(list(x), b.column(k).type) for k, x in zip(keys, zip(*groups))] if b.num_rows else [b.column(k) for k in keys]
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(s), pa.list_(pa.float64())), pa.array(list(w), pa.list_(pa.float64())), pa.array(t), pa.array(c, pa.int64())], names=[*keys, "s", "w", "t", "c"])
+
+    parts = rows.mapInArrow(partial, ", ".join([*kinds, "s array<double>", "w array<double>", "t double", "c long"]))
     long_ = parts.select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("r", "x")).groupBy(*keys, "r").agg(share(F.sum("x.s"), F.sum("x.w")).alias("m"))
     ends = long_.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     mean = parts.groupBy(*keys).agg((F.sum("t") / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
     return mean.join(ends, list(keys)) if keys else mean.crossJoin(ends)
 
 
-def gate(pairs: DataFrame, harm_rise: float = 0.0, insertion_rise: float = 0.0) -> DataFrame:
-    """Reasons why a change is refused (AGG-21): a worse slice, ids that only the base has, more harm, more insertions."""
-    ci = bootstrap(pairs.where("side = 'both'").select("slice", "id", (F.col("wer_c") - F.col("wer_b")).alias("d")), "d", "slice")
-    worse = ci.where("lo > 0").select("slice", F.lit("worse").alias("reason"))
-    gone = pairs.where("side = 'base_only'").select("slice", F.lit("missing").alias("reason")).distinct()
-    out = worse.unionByName(gone)
-    spark = pairs.sparkSession
-    more = [("*", "harm")] * (harm_rise > 0.01 + 1e-9) + [("*", "insertions")] * (insertion_rise > 1e-9)
-    return out.unionByName(spark.createDataFrame(more, "slice string, reason string")) if more else out
+POISSON = np.cumsum([1 / math.e / math.factorial(k) for k in range(18)])
+
+
+def poisson(seed: np.ndarray, n: int) -> np.ndarray:
+    """n draws of Poisson(1) for each seed, by a counter-based generator."""
+    x = seed[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(POISSON, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
+
+
+def gate_slices(pairs: DataFrame, n: int = 2000) -> DataFrame:
+    """Per slice: shared and one-sided ids, mean change with its interval, and whether the change is for the worse (AGG-21)."""
+    ci = bootstrap(pairs.where("side = 'both'").select("slice", "id", (F.col("wer_c") - F.col("wer_b")).alias("d")), "d", "slice", n=n).drop("n", "mean")
+    return pair_counts(pairs).join(ci, "slice", "left").withColumn("worse", F.coalesce(F.col("lo") > 0, F.lit(False)))
+
+
+def harm_rise(base: DataFrame, cand: DataFrame) -> DataFrame:
+    """Harm rates of both sides for every stage that either has, a missing one 0 (AGG-7, SET-3); rows are (stage, help, harm, neutral)."""
+    rate = lambda df, out: harm_rates(df, "stage").select("stage", F.coalesce("harm_rate", F.lit(0.0)).alias(out))
+    both = rate(base, "base").join(rate(cand, "cand"), "stage", "full_outer").na.fill(0.0, ["base", "cand"])
+    return both.withColumn("delta", F.col("cand") - F.col("base"))
+
+
+def insertion_rise(base: DataFrame, cand: DataFrame) -> DataFrame:
+    """Insertions per minute over empty references of both sides, as one row (AGG-5); null without any."""
+    rate = lambda df, out: df.where("empty_ref").agg(share(F.sum("ins"), F.sum("duration") / 60).alias(out))
+    return rate(base, "base").crossJoin(rate(cand, "cand")).withColumn("delta", F.col("cand") - F.col("base"))  # one row each
+
+
+def gate(pairs: DataFrame, harm: DataFrame | None = None, insertions: DataFrame | None = None, n: int = 2000) -> DataFrame:
+    """Reasons why a change is refused (AGG-21), as (slice, reason, delta): a worse slice, ids that only the base has, a stage
+    whose harm rate rises by more than a point, more insertions where nothing is said. No rows: it passes."""
+    slices = gate_slices(pairs, n)
+    out = slices.where("worse").select("slice", F.lit("worse").alias("reason"), F.col("mean_delta").alias("delta"))
+    out = out.unionByName(slices.where("base_only > 0").select("slice", F.lit("missing").alias("reason"), F.col("base_only").cast("double").alias("delta")))
+    if harm is not None:
+        out = out.unionByName(harm.where("delta > 0.01 + 1e-9").select(F.concat(F.lit("stage "), "stage").alias("slice"), F.lit("harm").alias("reason"), "delta"))
+    if insertions is not None:
+        out = out.unionByName(insertions.where("delta > 1e-9").select(F.lit("*").alias("slice"), F.lit("insertions").alias("reason"), "delta"))
+    return out
+
+
+def one_system(records: DataFrame) -> DataFrame:
+    """The records, or an error where they are of several systems (J-6)."""
+    checked = records.agg(F.when(F.count_distinct("system") > 1, F.raise_error(F.lit("records of several systems: name one"))).cast("boolean").alias("_several"))
+    return records.crossJoin(checked).drop("_several")  # one row
 
 
 def majority(votes: DataFrame, key: str, value: str, weight: str) -> DataFrame:
@@ -143,6 +214,12 @@ def majority(votes: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     return top.select(key, "winner", (F.col("_all") - F.col("_own")).alias("dissent"), (F.col("_all") - F.col("_own") >= 2).alias("switching"))
 
 
+def first_majority(votes: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The most common value, of equal ones the one seen first (AGG-12)."""
+    per = votes.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("at"))
+    return per.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("at"))).alias("winner"))
+
+
 def low_quantile(df: DataFrame, value: str, key: str, q: float = 0.1) -> DataFrame:
     """The value at place floor(q * (n - 1)) of the sorted values (AGG-14)."""
     w = W.partitionBy(key)
@@ -150,12 +227,17 @@ def low_quantile(df: DataFrame, value: str, key: str, q: float = 0.1) -> DataFra
     return ranked.where(F.col("_r") == F.floor(q * (F.col("_n") - 1)) + 1).select(key, F.col(value).alias("threshold"))
 
 
+def edges(word: Column) -> Column:
+    """The word without punctuation at its edges."""
+    return F.regexp_replace(word, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def uncertain_hints(words: DataFrame, k: int = 3) -> DataFrame:
     """Words at or under the file's low quantile, the lowest k of each segment, in order of time (TOP-1)."""
     low = words.join(low_quantile(words, "score", "file_id"), "file_id").where("score <= threshold")
     ranked = low.withColumn("_r", F.row_number().over(W.partitionBy("file_id", "segment").orderBy("score", "start", "text"))).where(F.col("_r") <= k)
     listed = F.array_sort(F.collect_list(F.struct("start", "text")))
-    return ranked.groupBy("file_id", "segment").agg(F.array_join(F.transform(listed, lambda x: x["text"]), ",").alias("hints"))
+    return ranked.groupBy("file_id", "segment").agg(F.array_join(F.transform(listed, lambda x: edges(x["text"])), ",").alias("hints"))
 
 
 def least_squares(df: DataFrame, y: str, features: list[str], ridge: float = 0.0) -> tuple[float, dict[str, float]] | None:

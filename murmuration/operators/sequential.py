@@ -9,7 +9,6 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -83,25 +82,38 @@ def split_long(spans: DataFrame, energy: DataFrame, longest: float = 30.0, searc
 
 
 def best_mapping(overlap: np.ndarray) -> float:
-    """Greatest total overlap of a one-to-one mapping: exact up to 12 speakers on the shorter side, greedy above."""
-    if overlap.shape[0] > overlap.shape[1]:
-        overlap = overlap.T
-    rows, cols = overlap.shape
-    if cols > 12:
-        total, work = 0.0, overlap.astype(float).copy()
-        for _ in range(rows):
-            i, j = np.unravel_index(np.argmax(work), work.shape)
-            total += max(0.0, work[i, j])
-            work[i], work[:, j] = -1, -1
-        return total
-
-    @cache
-    def best(row: int, used: int) -> float:
-        if row == rows:
-            return 0.0
-        return max([best(row + 1, used), *(overlap[row, c] + best(row + 1, used | 1 << c) for c in range(cols) if not used >> c & 1)])
-
-    return best(0, 0)
+    """Greatest total overlap of a one-to-one mapping of rows to columns, exact at every size.
+
+    Rows are added one by one along the cheapest path of changes, with prices on rows and columns that keep every path's cost
+    in view (the Hungarian method); the columns of a step are compared as one vector.
+    """
+    gain = overlap if overlap.shape[0] <= overlap.shape[1] else overlap.T
+    rows, cols = gain.shape
+    cost = gain.max(initial=0.0) - gain
+    price_row, price_col = np.zeros(rows), np.zeros(cols)
+    owner = np.full(cols, -1)
+    for new in range(rows):
+        reach, came = np.full(cols, np.inf), np.full(cols, -1)
+        seen = np.zeros(cols, bool)
+        row, last, spent = new, -1, 0.0
+        while True:
+            step = spent + cost[row] - price_row[row] - price_col
+            better = ~seen & (step < reach)
+            reach[better], came[better] = step[better], last
+            last = int(np.where(seen, np.inf, reach).argmin())
+            spent, seen[last] = reach[last], True
+            if owner[last] < 0:
+                break
+            row = owner[last]
+        price_row[new] += spent
+        others = np.flatnonzero(seen & (owner >= 0))
+        price_row[owner[others]] += spent - reach[others]
+        price_col[seen] -= spent - reach[seen]
+        while last >= 0:
+            owner[last] = owner[came[last]] if came[last] >= 0 else new
+            last = came[last]
+    used = np.flatnonzero(owner >= 0)
+    return float(gain[owner[used], used].sum())
 
 
 def diarization_error(turns: DataFrame, collar: float = 0.25) -> DataFrame:
@@ -145,12 +157,18 @@ def diarization_error(turns: DataFrame, collar: float = 0.25) -> DataFrame:
     return turns.groupBy("item").applyInPandas(run, f"item {turns.schema['item'].dataType.simpleString()}, der double")
 
 
-def diverges(old: str, new: str, words: int = 4, word_ratio: float = 0.5, char_ratio: float = 0.4) -> bool:
-    """Whether a rewrite is too far from its original (FN-16): by words from `words` on, else by characters."""
-    a, b = re.findall(r"\w+", old.lower()), re.findall(r"\w+", new.lower())
-    if len(a) >= words:
-        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() < word_ratio
-    return difflib.SequenceMatcher(None, " ".join(a), " ".join(b), autojunk=False).ratio() < char_ratio
+def likeness(a: list[str] | str, b: list[str] | str) -> float:
+    """Twice the matching blocks' length over both lengths; 1 for two empty sides."""
+    both = len(a) + len(b)
+    matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    return 2 * matched / both if both else 1.0
+
+
+def diverges(old: str, new: str, least_words: int = 4, words_alike: float = 0.5, chars_alike: float = 0.4) -> bool:
+    """Whether a rewrite is too far from its original (FN-16): judged by words if that has `least_words` or more, else by the characters of the words."""
+    said, now = (re.findall(r"\w+", x.lower()) for x in (old, new))
+    short = len(said) < least_words
+    return likeness(" ".join(said), " ".join(now)) < chars_alike if short else likeness(said, now) < words_alike
 
 
 def apply_refined(segments: DataFrame, refined: DataFrame) -> DataFrame:

@@ -16,9 +16,14 @@ def rms(x: Column) -> Column:
     return F.sqrt(power(x))
 
 
+def to_dbfs(level: Column) -> Column:
+    """20 log10 of a level, not below 1e-12; null stays null."""
+    return 20 * F.log10(F.when(level.isNotNull(), F.greatest(level, F.lit(1e-12))))
+
+
 def dbfs(x: Column) -> Column:
     """20 log10 of the RMS, not below 1e-12 (SIG-1)."""
-    return 20 * F.log10(F.greatest(rms(x), F.lit(1e-12)))
+    return to_dbfs(F.coalesce(rms(x), F.lit(0.0)))
 
 
 def snr_db(speech: Column, rest: Column) -> Column:
