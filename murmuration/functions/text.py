@@ -20,6 +20,11 @@ def has_markup(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"<[^<>\s][^<>]*>")
 
 
+def unusable(text: Column, marker: str = "IGNORE_TIME_SEGMENT") -> Column:
+    """Why a reference can't be used, null if it can: markup, the ignore marker, or nothing left (PRJ-2)."""
+    return F.when(has_markup(text), "markup").when(F.instr(F.coalesce(text, F.lit("")), marker) > 0, "ignored").when(squeeze(text) == "", "empty")
+
+
 def tokens(text: Column) -> Column:
     """Words of the squeezed text, none for an empty one."""
     clean = squeeze(text)

@@ -193,7 +193,7 @@ JOBS = {
         f"WITH c AS (SELECT *, CASE WHEN p IS NOT NULL AND list_sum(list_transform(range(1, len(thumb) + 1), lambda i: CASE WHEN abs(thumb[i] - p[i]) > 4 THEN 1 ELSE 0 END)) / len(thumb) <= 0.6 THEN 0 ELSE 1 END AS cut FROM {CHANGED}), s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY video_id ORDER BY second) AS BIGINT) AS shot FROM c) SELECT video_id, shot, min(second) AS first, max(second) AS last, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 2",
     ),
     "motion": (
-        lambda s, d: rounded(signal.motion(frames(s, d), 4.0), "rate"),
+        lambda s, d: rounded(signal.motion(frames(s, d), 4.0, 4.0), "rate").drop("soft_rate", "periods"),
         f"WITH c AS (SELECT video_id, unnest(list_filter(list_transform(range(0, len(thumb)), lambda i: CASE WHEN abs(thumb[i + 1] - p[i + 1]) > 4 THEN i END), lambda x: x IS NOT NULL)) AS pixel FROM {CHANGED} WHERE p IS NOT NULL), n AS (SELECT video_id, count(*) - 1 AS n FROM {FRAMES} GROUP BY 1) SELECT video_id, CAST(pixel AS INTEGER) AS pixel, round(count(*) / any_value(n), 6) AS rate FROM c JOIN n USING (video_id) GROUP BY 1, 2",
     ),
     "speech_windows": (

@@ -10,7 +10,7 @@ from murmuration.functions import text as T
 from murmuration.jobs.domain import SEGMENTS, WORDS, duck_table, spark_table
 from murmuration.jobs.evaluation import hypotheses, rounded
 from murmuration.jobs.fusion import engines
-from murmuration.operators import corpus, fusion, guards, islands, metrics, profiles, refining, scoring, selection
+from murmuration.operators import corpus, fusion, guards, intervals, islands, metrics, profiles, refining, scoring, selection
 
 S, Wd = duck_table(SEGMENTS), duck_table(WORDS)
 
@@ -273,7 +273,51 @@ def talks(spark: SparkSession, d: str) -> DataFrame:
     return selection.talk_length(selection.select_items(docs, "dev")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+def on_slides(spark: SparkSession, d: str) -> DataFrame:
+    """What was said on each slide; every third turn of a conversation shows the next one, the first slide late (J-3)."""
+    s = segments(spark, d)
+    spans = s.where("pos % 3 = 1").select("file_id", F.col("pos").alias("slide"), (F.col("start") + 0.3).alias("start"))
+    return intervals.slide_texts(s, spans).select("file_id", "slide", F.size("texts").alias("n"), F.array_join("texts", "|").alias("said"))
+
+
+SLIDES_SQL = f"""
+WITH s AS (SELECT *, (start + "end") / 2 AS mid FROM {S} WHERE trim(text) != ''), p AS (SELECT file_id, pos AS slide, start + 0.3 AS t FROM {S} WHERE pos % 3 = 1), f AS (SELECT file_id, min(slide) AS first FROM p GROUP BY 1),
+a AS (SELECT s.file_id, s.pos, s.text, max(slide) AS slide FROM s LEFT JOIN p ON p.file_id = s.file_id AND p.t <= s.mid GROUP BY ALL)
+SELECT a.file_id, coalesce(slide, first) AS slide, CAST(count(*) AS INTEGER) AS n, string_agg(trim(text), '|' ORDER BY pos) AS said FROM a JOIN f ON f.file_id = a.file_id GROUP BY 1, 2
+"""
+
+
+def frame_words(spark: SparkSession, d: str) -> DataFrame:
+    """Events as label frames of a user: labels in turn, a blank and a repeat label among them (WIN-5)."""
+    w = words(spark, d)
+    label = F.when(F.col("event_id") % 7 == 0, -1).when(F.col("event_id") % 11 == 0, 99).otherwise((F.col("event_id") % 2).cast("int"))
+    frames = w.select("file_id", F.col("pos").cast("long").alias("frame"), label.alias("label"), F.col("prob").alias("margin"))
+    vocab = spark.read.parquet(f"{d}/region.parquet").where("r_regionkey < 2").select(F.col("r_regionkey").cast("int").alias("label"), F.col("r_name").alias("text"))
+    return rounded(islands.collapse_labels(frames, vocab, 99), "start", "end", "score")
+
+
+FRAMES_SQL = f"""
+WITH f AS (SELECT file_id, pos AS frame, CASE WHEN event_id % 7 = 0 THEN -1 WHEN event_id % 11 = 0 THEN 99 ELSE event_id % 2 END AS label, prob FROM {Wd}),
+g AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY file_id ORDER BY frame) THEN 0 ELSE 1 END AS fresh FROM f), r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY file_id ORDER BY frame) - 1 AS BIGINT) AS run FROM g),
+k AS (SELECT file_id, run, label, min(frame) AS a, max(frame) + 1 AS z, avg(prob) AS score FROM r GROUP BY 1, 2, 3), n AS (SELECT k.*, r_name FROM k LEFT JOIN region ON r_regionkey = label AND label IN (0, 1)),
+t AS (SELECT *, CASE WHEN label = 99 THEN last_value(r_name IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY run) ELSE r_name END AS text FROM n)
+SELECT file_id, run, text, round(a * 0.02, 6) AS start, round(z * 0.02, 6) AS "end", round(score, 6) AS score FROM t WHERE text IS NOT NULL
+"""
+
+
+def unusable(spark: SparkSession, d: str) -> DataFrame:
+    """Why references of each language can't be used, and how many can (PRJ-2)."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" <noise>"))).when(F.col("doc_id") % 9 == 1, F.concat("text", F.lit(" IGNORE_TIME_SEGMENT"))).when(F.col("doc_id") % 9 == 2, " ").otherwise(F.col("text")).alias("text"))
+    return docs.groupBy("lang", T.unusable(F.col("text")).alias("dropped")).agg(F.count("*").alias("n"))
+
+
+UNUSABLE_SQL = r"SELECT lang, CASE WHEN doc_id % 9 = 0 OR (doc_id % 9 != 2 AND regexp_matches(text, '<[^<>\s][^<>]*>')) THEN 'markup' WHEN doc_id % 9 = 1 THEN 'ignored' WHEN doc_id % 9 = 2 OR trim(coalesce(text, '')) = '' THEN 'empty' END AS dropped, count(*) AS n FROM documents GROUP BY 1, 2"
+
+
 JOBS = {
+    "slide_texts": (on_slides, SLIDES_SQL),
+    "frame_words": (frame_words, FRAMES_SQL),
+    "unusable_references": (unusable, UNUSABLE_SQL),
     "score_items": (score_items, None),
     "skipped_languages": (skipped_languages, "SELECT r_name AS system, lang, count(*) AS items, count(*) FILTER (WHERE r_regionkey % 2 = 0 AND lang NOT IN ('en', 'es')) AS skipped FROM documents, region GROUP BY 1, 2"),
     "stage_changes": (stage_changes, STAGES_SQL),

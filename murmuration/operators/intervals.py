@@ -52,6 +52,27 @@ def last_before(points: DataFrame, spans: DataFrame, at: Column, keep: list[str]
     return held.select("_point.*", *[F.col("_held")[c].alias(f"span_{c}") for c in keep])
 
 
+def ordered_files(spans: DataFrame) -> DataFrame:
+    """Files whose spans all have a start and come in order of time; the others get no hints (J-1)."""
+    w = W.partitionBy("file_id").orderBy("pos")
+    odd = spans.withColumn("_p", F.lag("start").over(w)).where(F.col("start").isNull() | (F.col("start") < F.col("_p")))
+    return spans.select("file_id").distinct().join(odd.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def slide_texts(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """(file_id, slide, texts): what was said on each slide (J-3): the slide on screen at a segment's midpoint, before the first span the earliest slide.
+
+    Segments without text or times are left out; of spans that begin together the highest slide holds.
+    """
+    said = segments.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    points = said.select("file_id", "pos", F.trim("text").alias("text"), ((F.col("start") + F.col("end")) / 2).alias("mid"))
+    on = last_before(points, spans, F.col("mid"), ["slide"], order="slide")
+    first = spans.groupBy("file_id").agg(F.min_by("slide", F.struct("start", "slide")).alias("first"))
+    met = points.join(on.select("file_id", "pos", "span_slide"), ["file_id", "pos"], "left").join(first, "file_id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    return met.groupBy("file_id", F.coalesce("span_slide", "first").alias("slide")).agg(listed.alias("texts"))
+
+
 def assign_speakers(words: DataFrame, turns: DataFrame, width: float = 60.0) -> DataFrame:
     """Speaker of the turn that overlaps a word most, else of the nearest turn; ties to the first turn; no turns: 1 (J-2)."""
     w = binned(words.select("file_id", "pos", "start", "end"), "start", "end", width)

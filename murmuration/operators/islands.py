@@ -26,6 +26,22 @@ def collapse_runs(df: DataFrame, keys: list[str], order: list[str], label: str,
     return marked.groupBy(*keys, "run", label).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
 
 
+def collapse_labels(frames: DataFrame, vocab: DataFrame, repeat: int, blank: int = -1, seconds: float = 0.02) -> DataFrame:
+    """Words of frame labels (WIN-5): a word for each run of one label, from its first frame to where the label changes, scored by the mean margin.
+
+    Blank runs give none. The repeat label says the last word again, or nothing if there was none. `frames` holds (file_id, frame,
+    label, margin), `vocab` (label, text).
+    """
+    w = W.partitionBy("file_id").orderBy("frame")
+    marked = islands(frames, ["file_id"], ["frame"], F.col("label") != F.lag("label").over(w), "run")
+    runs = marked.groupBy("file_id", "run", "label").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("z"), F.avg("margin").alias("score"))
+    named = runs.join(F.broadcast(vocab.select("label", "text")), "label", "left")  # a fixed vocabulary of some thousand words
+    said = F.when((F.col("label") != repeat) & (F.col("label") != blank), F.col("text"))
+    last = F.last(said, ignorenulls=True).over(W.partitionBy("file_id").orderBy("run"))
+    out = named.withColumn("text", F.when(F.col("label") == repeat, last).otherwise(said)).where(F.col("text").isNotNull())
+    return out.select("file_id", "run", "text", (F.col("a") * seconds).alias("start"), (F.col("z") * seconds).alias("end"), "score")
+
+
 def unclear_runs(words: DataFrame) -> DataFrame:
     """Maximal runs of unclear words as (start_idx, end_idx exclusive) (WIN-12)."""
     runs = collapse_runs(words, ["file_id"], ["pos"], "unclear", "pos").where("unclear")
@@ -141,12 +157,28 @@ def longform(utterances: DataFrame, target: float, gap: float = 0.6) -> DataFram
     return placed.where(F.col("start") < target).withColumn("end", F.col("start") + F.col("seconds"))
 
 
-def conversation_blocks(utts: DataFrame) -> DataFrame:
-    """Runs of one conversation and the seconds from each utterance to its run's end (WIN-18)."""
+def longform_references(placed: DataFrame) -> DataFrame:
+    """(group_id, reference, duration) of placed utterances: their texts without doubled spaces, in order (WIN-16)."""
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
+    listed = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda x: x["t"] != ""), lambda x: x["t"])
+    return placed.groupBy("group_id").agg(F.array_join(listed, " ").alias("reference"), F.bround(F.max("end"), 3).alias("duration"))
+
+
+def conversation_blocks(utts: DataFrame, target: float | None = None) -> DataFrame:
+    """Runs of one conversation and the seconds from each utterance to its run's end (WIN-18).
+
+    Without `block_key` the first nine characters of the speaker name the conversation; without `seconds` they are
+    estimated from the text, none for marked rows. With `target` a row is a valid start if 1.3 times it lies ahead.
+    """
+    if "block_key" not in utts.columns:
+        utts = utts.withColumn("block_key", F.substring("speaker", 1, 9))
+    if "seconds" not in utts.columns:
+        utts = utts.withColumn("seconds", F.when(F.instr("text", "IGNORE_TIME_SEGMENT") > 0, 0.0).otherwise(F.length("text") / 14 + 0.4))
     w = W.partitionBy("corpus").orderBy("rn")
     marked = islands(utts, ["corpus"], ["rn"], F.col("block_key") != F.lag("block_key").over(w), "block")
     ahead = W.partitionBy("corpus", "block").orderBy(F.desc("rn")).rowsBetween(W.unboundedPreceding, 0)
-    return marked.withColumn("ahead", F.sum("seconds").over(ahead))
+    out = marked.withColumn("ahead", F.sum("seconds").over(ahead))
+    return out if target is None else out.withColumn("valid_start", F.col("ahead") >= 1.3 * target)
 
 
 def ghosts_at_end(words: DataFrame, least: float = 0.15) -> DataFrame:

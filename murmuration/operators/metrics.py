@@ -51,6 +51,21 @@ def report(records: DataFrame) -> DataFrame:
     return records.select(*need).groupingSets(sets, "slice", "system", "split").agg(F.grouping_id().alias("level"), *pooled(records))
 
 
+def macro(records: DataFrame) -> DataFrame:
+    """Per system the mean of slices' error rates, the median and worst item, seconds per hour of audio, and the worst slice (AGG-24, TOP-8)."""
+    slices = by_keys(records, "slice", "system").groupBy("system").agg(F.avg("wer").alias("mean_wer"), F.max_by("slice", "wer").alias("worst_slice"))
+    done = records.where(ran())
+    wer = F.when(~F.col("empty_ref"), share(F.col("sub") + F.col("del") + F.col("ins"), F.col("words")))
+    items = done.groupBy("system").agg(F.percentile(wer, 0.5).alias("median_item"), F.max(wer).alias("worst_item"), share(F.sum("seconds"), F.sum("duration") / 3600).alias("seconds_per_hour"))
+    return slices.join(items, "system")
+
+
+def slice_ranking(records: DataFrame) -> DataFrame:
+    """Slices by their best system's error rate, the worst first (TOP-8)."""
+    best = by_keys(records, "slice", "system").where("wer is not null").groupBy("slice").agg(F.min_by("system", F.struct("wer", "system")).alias("best"), F.min("wer").alias("wer"))
+    return best.orderBy(F.desc("wer"), "slice")
+
+
 def harm_rates(effects: DataFrame, *keys: str) -> DataFrame:
     """Help, harm and neutral edits and the share of harm (AGG-7)."""
     sums = effects.groupBy(*keys).agg(F.sum("help").alias("help"), F.sum("harm").alias("harm"), F.sum("neutral").alias("neutral"))
@@ -204,7 +219,7 @@ def gate(pairs: DataFrame, harm: DataFrame | None = None, insertions: DataFrame
 def one_system(records: DataFrame) -> DataFrame:
     """The records, or an error where they are of several systems (J-6)."""
     checked = records.agg(F.when(F.count_distinct("system") > 1, F.raise_error(F.lit("records of several systems: name one"))).cast("boolean").alias("_several"))
-    return records.crossJoin(checked).drop("_several")  # one row
+    return records.crossJoin(checked).where(F.col("_several").isNull()).drop("_several")  # one row
 
 
 def majority(votes: DataFrame, key: str, value: str, weight: str) -> DataFrame:

@@ -70,10 +70,18 @@ def shots(frames: DataFrame, changed: float = 0.002, least: int = 2, pixel: floa
     return marked.groupBy("video_id", "shot").agg(F.min("second").alias("first"), F.max("second").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def motion(frames: DataFrame, pixel: float = 40.0) -> DataFrame:
-    """Per pixel the share of seconds in which it changed (SIG-6): changes are listed, not frames."""
+def motion(frames: DataFrame, pixel: float = 40.0, soft: float = 10.0, periods: int = 20) -> DataFrame:
+    """Per pixel the share of seconds in which it changed by more than `pixel` (SIG-6): changes are listed, not frames.
+
+    Also the share of changes by more than `soft`, and in how many of `periods` equal periods there was a strong one.
+    """
     w = W.partitionBy("video_id").orderBy("second")
-    both = frames.withColumn("_p", F.lag("thumb").over(w)).where("_p is not null")
-    moved = both.select("video_id", F.explode(F.filter(F.transform(F.zip_with("thumb", "_p", lambda a, b: F.abs(a - b) > pixel), lambda v, i: F.when(v, i)), lambda i: i.isNotNull())).alias("pixel"))
+    both = frames.withColumns({"_p": F.lag("thumb").over(w), "_i": F.row_number().over(w) - 2}).where("_p is not null")
     total = both.groupBy("video_id").agg(F.count("*").alias("_n"))
-    return moved.groupBy("video_id", "pixel").agg(F.count("*").alias("_c")).join(total, "video_id").select("video_id", "pixel", (F.col("_c") / F.col("_n")).alias("rate"))
+    delta = F.zip_with("thumb", "_p", lambda a, b: F.abs(a - b))
+    listed = F.filter(F.transform(delta, lambda v, i: F.struct(F.when(v > soft, i).alias("pixel"), (v > pixel).alias("strong"))), lambda x: x["pixel"].isNotNull())
+    moved = both.select("video_id", "_i", F.explode(listed).alias("m")).select("video_id", "_i", "m.*").join(total, "video_id")
+    period = F.floor(F.col("_i") * F.least(F.lit(periods), "_n") / F.col("_n"))
+    return moved.groupBy("video_id", "pixel").agg(
+        (F.count_if("strong") / F.max("_n")).alias("rate"), (F.count("*") / F.max("_n")).alias("soft_rate"), F.count_distinct(F.when(F.col("strong"), period)).alias("periods"),
+    )
