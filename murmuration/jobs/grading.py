@@ -301,7 +301,7 @@ WITH f AS (SELECT file_id, pos AS frame, CASE WHEN event_id % 7 = 0 THEN -1 WHEN
 g AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY file_id ORDER BY frame) THEN 0 ELSE 1 END AS fresh FROM f), r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY file_id ORDER BY frame) - 1 AS BIGINT) AS run FROM g),
 k AS (SELECT file_id, run, label, min(frame) AS a, max(frame) + 1 AS z, avg(prob) AS score FROM r GROUP BY 1, 2, 3), n AS (SELECT k.*, r_name FROM k LEFT JOIN region ON r_regionkey = label AND label IN (0, 1)),
 t AS (SELECT *, CASE WHEN label = 99 THEN last_value(r_name IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY run) ELSE r_name END AS text FROM n)
-SELECT file_id, run, text, round(a * 0.02, 6) AS start, round(z * 0.02, 6) AS "end", round(score, 6) AS score FROM t WHERE text IS NOT NULL
+SELECT file_id, run, text, round(a * 0.02::DOUBLE, 6) AS start, round(z * 0.02::DOUBLE, 6) AS "end", round(score, 6) AS score FROM t WHERE text IS NOT NULL
 """
 
 
