@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontaminate, html, ngram_join, packing, sharding, suffix_repeats, topk, toxicity, urlfilter, warc
+from murmuration.llm import decontaminate, html, ngram_join, packing, sharding, shared, suffix_repeats, topk, toxicity, urlfilter, warc
 
 OP5_SQL = """
 WITH RECURSIVE keyed AS (
@@ -117,8 +117,16 @@ FROM scored QUALIFY rank <= 5
 """
 
 
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shared.prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_html_text": html.query,
         "op2_toxicity_crf": toxicity.query,
         "op3_ngram_jaccard": ngram_join.query,
@@ -130,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_topk": topk.query,
         "op10_url_filter": urlfilter.query,
     }
+    return {name: _prepared(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

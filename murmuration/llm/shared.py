@@ -77,6 +77,17 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+BATCH_BYTES = 32 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """The session setting that queries over texts run with: Arrow batches of at most 32 MB, where the default is 64.
+
+    A batch stands in memory several times over, in the JVM and in the worker. Operators work with any value.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,6 +29,7 @@ from murmuration.llm.shared import U64
 BITS = 18
 FLOOR = 0.05
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 600, 900, 1 << 16
+STEP = 2 << 20  # bytes of texts whose tokens and features are held at once; a longer text comes alone
 BLOCK = 1024  # tokens that messages are stepped through one by one
 #: Token ends: every ASCII byte that is no letter and no digit.
 GAPS = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
@@ -314,7 +315,7 @@ def tag(docs: DataFrame, field: Field, keep_spans: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fld = shown.value
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-        for b in shared.small_batches(batches, "text", 8 << 20):
+        for b in shared.small_batches(batches, "text", STEP):
             score, s, e, first, count, p = fld.score(shared.texts_of(b))
             ids = b.column("doc_id").to_pylist()
             held = [zlib.crc32(str(i).encode()) % 5 == 0 if i is not None else True for i in ids]
@@ -344,7 +345,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fld = shown.value
-        for b in shared.small_batches(batches, "text", 8 << 20):
+        for b in shared.small_batches(batches, "text", STEP):
             score = fld.score(shared.texts_of(b))[0]
             yield b.filter(pa.array(score < 0.5))
 
