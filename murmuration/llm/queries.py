@@ -79,7 +79,7 @@ ruled AS (
   SELECT o.*, (SELECT max_by(struct_pack(rule := h || p, action := action), length(h || p)) FROM rules
     WHERE (o.host = h OR ends_with(o.host, '.' || h)) AND starts_with(o.path, p)) AS r
   FROM own o),
-tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<(?:link|meta)\b[^>]*>)', 1)) AS tag FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|$)', ' ', 'g'), '(?is)(<(?:link|meta)\b[^>]*>)', 1)) AS tag FROM pages),
 found AS (
   SELECT regexp_replace(url, '#.*$', '', 's') AS src, url, regexp_replace(trim(replace(CASE
     WHEN lower(regexp_extract(tag, '(?is)\brel\s*=\s*["'']?([^"''\s>]+)', 1)) = 'canonical' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)

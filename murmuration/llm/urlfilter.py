@@ -92,22 +92,22 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", relative:
 
     With `relative`, links relative to the page's path (page.html, ../x, ?id=3) are resolved too; the query asks for them.
     """
-    tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    found = pages.select(F.col(url).alias("base"), F.explode(tags).alias("tag"))
+    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?s)<!--.*?(?:-->|$)", " ")  # a tag in a comment says nothing
+    tags = F.regexp_extract_all(bare, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
+    found = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("base"), F.explode(tags).alias("tag")).where(F.col("tag").rlike(r"(?i)canonical|refresh"))
     rels = F.split(F.lower(F.trim(_attribute("rel"))), r"\s+")
     canonical = F.when(F.array_contains(rels, "canonical"), _attribute("href"))
     refresh = F.when(
         F.lower(F.trim(_attribute("http-equiv"))) == "refresh",
         F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d+\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1),
     )
-    link = F.trim(F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&"))
+    # each step is written before the next reads it: its expression would stand in the next one several times over
+    links = shared.materialize(found.select("base", F.trim(F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&")).alias("link")))
     if not relative:
-        link = F.when(link.rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]*://)"), link)
-    return (
-        found.where(F.col("tag").rlike(r"(?i)canonical|refresh"))
-        .select(node_of(F.col("base")).alias("src"), node_of(_resolve(F.col("base"), link)).alias("dst"))
-        .where("src is not null and dst is not null and dst != '' and src != dst")
-    )
+        links = links.where(F.col("link").rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]*://)"))
+    resolved = shared.materialize(links.select("base", _resolve(F.col("base"), F.col("link")).alias("dst")))
+    nodes = shared.materialize(resolved.select(node_of(F.col("base")).alias("src"), node_of(F.col("dst")).alias("dst")))
+    return nodes.where("src is not null and dst is not null and dst != '' and src != dst")
 
 
 def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -118,8 +118,6 @@ def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_
     columns are left out; empty tables give an empty result. Only blocks that reach a
     component pass through the join, so a component of any size is no group in one task.
     """
-    # written first: the expressions that find links are long, and three steps below read them
-    links = shared.materialize(links.select("src", "dst").where("src is not null and dst is not null").distinct())
     links = shared.materialize(links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))

@@ -729,6 +729,7 @@ def test_page_links(spark):
     rows = [
         ("http://a.org/x?1#f", "<LINK href='/main' rel='canonical'><link rel=stylesheet href=/s.css>"), ("http://b.org/", '<meta http-equiv="Refresh" content="0; url=https://c.org/p?a=1&amp;b=2">'),
         ("http://d.org/", '<link rel="canonical" href="//e.org/#top">'), ("http://f.org/", '<link rel="canonical" href="relative">'), (None, '<link rel="canonical" href="/x">'), ("http://g.org/", None),
+        ("http://h.org/", '<!-- <link rel="canonical" href="/no"> --><p>refresh</p>'),
     ]
     got = {tuple(r) for r in urlfilter.page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert got == {("http://a.org/x?1", "http://a.org/main"), ("http://b.org/", "https://c.org/p?a=1&b=2"), ("http://d.org/", "http://e.org/")}
