@@ -9,6 +9,7 @@ Payloads that occur more than once are stored once; later records are revisits.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -99,6 +100,32 @@ def write_archives(records: DataFrame, roll: int = 8 << 20) -> DataFrame:
     return records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, ARCHIVES)
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes every archive as a .warc.gz file into a folder that the executors share, and returns (archive, bytes, path).
+
+    A file appears under its name only when it is whole, so a task that runs again replaces it. Read back with
+    `spark.read.format("binaryFile")` by `saved_archives`.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
+                path, part = os.path.join(folder, name), os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(content.as_buffer())
+                os.replace(part, path)
+                yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": [os.path.getsize(path)], "path": [path]})
+
+    return archives.select("archive", "content").mapInArrow(save, "archive string, bytes long, path string")
+
+
+def saved_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive, content) of the .warc.gz files of a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+
+
 def members(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, fields, block) of every record, one gzip member after the other, inflated in steps.
 
@@ -126,7 +153,7 @@ def members(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of archives given as (archive, content), for instance from Spark's binaryFile source.
+    """The records of archives given as (archive, content), for instance from `saved_archives`.
 
     A response's payload is what follows the HTTP header. A revisit has no payload; its length is
     the one that its HTTP header declares. `digest_ok`: the digests agree with what was read.

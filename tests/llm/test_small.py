@@ -425,6 +425,18 @@ def test_warc_round_trip(spark):
     assert {bytes(r.payload) for r in got if r.page_id == 6} == {big.encode()}
 
 
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 3}" + "x" * 200) for i in range(30)], "page_id long, url string, html string").repartition(3)
+    archives = shared.materialize(warc.write_archives(warc.plan_records(pages), roll=2000))
+    told = warc.save_archives(archives, f"{tmp_path}/w").collect()
+    assert {r.archive: r.bytes for r in told} == {p.name: p.stat().st_size for p in (tmp_path / "w").iterdir()} and len(told) > 1
+    assert all(gzip.decompress((tmp_path / "w" / r.archive).read_bytes()).startswith(b"WARC/1.1\r\n") for r in told)
+    read = lambda a: sorted((r.page_id, r.record_type, r.offset, bytes(r.payload or b"")) for r in warc.read_archives(a).collect())
+    assert read(warc.saved_archives(spark, f"{tmp_path}/w")) == read(archives) and len(read(archives)) == 30
+
+
 def test_warc_reader_refuses_broken_members():
     good = warc.record(1, "u", b"abc", "00", None)
     assert len(list(warc.members(good + good))) == 2
