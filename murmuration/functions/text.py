@@ -86,14 +86,13 @@ def cache_slug(name: Column) -> Column:
 
 
 def watch_url(source: Column, seconds: Column) -> Column:
-    """A link to a second of a video on a known platform, else null (FN-26)."""
-    mark = F.when(F.instr(source, "?") > 0, "&t=").otherwise("?t=")
-    return F.when(platform(source) == "youtube", F.concat(source, mark, F.floor(seconds).cast("string"), F.lit("s")))
+    """The watch link of an http(s) source's video at whole seconds, null without a video id (FN-26)."""
+    return F.when(source.rlike("^https?://"), F.concat(F.lit("https://www.youtube.com/watch?v="), video_id(source), F.lit("&t="), F.floor(seconds).cast("string"), F.lit("s")))
 
 
-def fingerprint(*parts: Column) -> Column:
-    """SHA-256 of the parts joined by unit separators; a null part is marked (FN-23)."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
+def fingerprint(**fields: Column) -> Column:
+    """SHA-256 of the fields as a JSON object with sorted keys, nulls among them (FN-23)."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
 
 
 def ngrams(words: Column, longest: int = 3) -> Column:

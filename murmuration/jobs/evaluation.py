@@ -142,7 +142,7 @@ def split_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).select("id", T.fingerprint(F.col("id"), F.col("lang"), F.col("duration")).alias("fingerprint"))
+    return items(spark, d).select("id", T.fingerprint(id=F.col("id"), lang=F.col("lang"), duration=F.col("duration")).alias("fingerprint"))
 
 
 def pending(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +217,7 @@ JOBS = {
         f"WITH w AS (SELECT slice, system, sum(sub + del + ins) FILTER (WHERE ran AND NOT empty_ref) / sum(words) FILTER (WHERE ran AND NOT empty_ref) AS wer FROM {RAN} GROUP BY 1, 2), m AS (SELECT system, avg(wer) AS mean_wer, max_by(slice, wer) AS worst_slice FROM w GROUP BY 1), i AS (SELECT system, median((sub + del + ins) / words) FILTER (WHERE NOT empty_ref) AS median_item, max((sub + del + ins) / words) FILTER (WHERE NOT empty_ref) AS worst_item, sum(seconds) / (sum(duration) / 3600) AS sph FROM {RAN} WHERE ran GROUP BY 1) SELECT system, round(mean_wer, 6) AS mean_wer, worst_slice, round(median_item, 6) AS median_item, round(worst_item, 6) AS worst_item, round(sph, 6) AS seconds_per_hour FROM m JOIN i USING (system)",
     ),
     "split_hash": (split_hash, f"SELECT slice, CASE WHEN CAST(('0x' || right(sha256(id), 1)) AS INTEGER) % 2 = 0 THEN 'dev' ELSE 'test' END AS side, count(*) AS n FROM {I} GROUP BY 1, 2"),
-    "fingerprint": (fingerprints, f"SELECT id, sha256(concat_ws(chr(31), id, lang, CAST(duration AS VARCHAR))) AS fingerprint FROM {I}"),
+    "fingerprint": (fingerprints, f"SELECT id, sha256(CAST(to_json({{'duration': duration, 'id': id, 'lang': lang}}) AS VARCHAR)) AS fingerprint FROM {I}"),
     "pending": (pending, f"SELECT id FROM {I} WHERE CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) % 5 = 0 OR CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) % 7 = 0"),
     "smoke": (lambda s, d: corpus.choose_smoke(items(s, d)), f"SELECT slice, id, duration FROM {I} QUALIFY row_number() OVER (PARTITION BY slice ORDER BY duration, id) = 1"),
     "derive_items": (

@@ -113,7 +113,7 @@ URLS_SQL = r"""
 WITH k(n, head, platform, has_id) AS (VALUES {links}), l AS (SELECT page_id, url, concat(head, 'id', page_id) AS link, platform, has_id FROM pages JOIN k ON n = page_id % {count})
 SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, platform, CASE WHEN has_id THEN concat('id', page_id) END AS video_id,
   regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS slug, concat(link, '?a=b') AS plain,
-  CASE WHEN platform = 'youtube' THEN concat(link, CASE WHEN contains(link, '?') THEN '&t=' ELSE '?t=' END, page_id, 's') END AS watch
+  CASE WHEN has_id THEN concat('https://www.youtube.com/watch?v=id', page_id, '&t=', page_id, 's') END AS watch
 FROM l
 """.replace("{links}", ", ".join(f"({i}, '{a}', {'NULL' if b is None else repr(b)}, {str(c).lower()})" for i, (a, b, c) in enumerate(LINKS))).replace("{count}", str(len(LINKS)))
 
