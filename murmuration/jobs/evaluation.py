@@ -41,8 +41,8 @@ def normal_words(df: DataFrame, *columns: str) -> DataFrame:
 
 def wer_by_slice(spark: SparkSession, d: str) -> DataFrame:
     """Pooled word error rate by source and system over whole, normalized texts. Rows are dealt by hash, so long texts don't follow each other."""
-    pairs = hypotheses(spark, d).select("source", "system", "lang", "ref", "hyp").repartition(F.xxhash64("ref", "system"))
-    graded = edits.edit_counts(normal_words(pairs, "ref", "hyp")).drop("ref", "hyp")
+    pairs = hypotheses(spark, d).select("source", "system", "lang", "ref", "hyp")
+    graded = edits.edit_counts(normal_words(edits.spread(pairs, "ref", "system"), "ref", "hyp")).drop("ref", "hyp")
     sums = graded.groupBy("source", "system").agg(*[F.sum(c).alias(c) for c in ("sub", "del", "ins", "hits", "words")])
     return rounded(sums.withColumn("wer", metrics.share(F.col("sub") + F.col("del") + F.col("ins"), F.col("words"))), "wer")
 
@@ -52,7 +52,7 @@ def disagreement(spark: SparkSession, d: str) -> DataFrame:
     h = hypotheses(spark, d)
     one = h.where("system = 'one'").select("id", "lang", F.col("hyp").alias("ref"))
     two = h.where("system = 'two'").select("id", "hyp")
-    sums = edits.edit_counts(normal_words(one.join(two, "id"), "ref", "hyp")).groupBy("lang").agg(F.sum(F.col("sub") + F.col("del") + F.col("ins")).alias("errors"), F.sum("words").alias("words"))
+    sums = edits.edit_counts(normal_words(edits.spread(one.join(two, "id"), "id"), "ref", "hyp")).groupBy("lang").agg(F.sum(F.col("sub") + F.col("del") + F.col("ins")).alias("errors"), F.sum("words").alias("words"))
     return rounded(sums.withColumn("rate", metrics.share(F.col("errors"), F.col("words"))), "rate")
 
 
@@ -60,7 +60,7 @@ def stage_effects(spark: SparkSession, d: str) -> DataFrame:
     """Help, harm and neutral edits between the two systems' outputs, by language (FN-8, AGG-7)."""
     h = hypotheses(spark, d)
     one, two = h.where("system = 'one'").select("id", "lang", "ref", F.col("hyp").alias("before")), h.where("system = 'two'").select("id", F.col("hyp").alias("after"))
-    return rounded(metrics.harm_rates(edits.edit_effects(normal_words(one.join(two, "id"), "ref", "before", "after")), "lang"), "harm_rate")
+    return rounded(metrics.harm_rates(edits.edit_effects(normal_words(edits.spread(one.join(two, "id"), "id"), "ref", "before", "after")), "lang"), "harm_rate")
 
 
 # ---------------------------------------------------------------- records
