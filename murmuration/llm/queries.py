@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import decontaminate, html, ngram_join, packing, sharding, shared, suffix_repeats, topk, toxicity, urlfilter, warc
+from murmuration.llm import bpe, decontaminate, html, ngram_join, packing, sharding, shared, suffix_repeats, topk, toxicity, urlfilter, warc
 
 OP5_SQL = """
 WITH RECURSIVE keyed AS (
@@ -137,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.query,
         "op9_topk": topk.query,
         "op10_url_filter": urlfilter.query,
+        "op11_bpe": bpe.query,
     }
     return {name: _prepared(query) for name, query in found.items()}
 
