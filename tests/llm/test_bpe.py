@@ -65,10 +65,9 @@ def test_memory_is_emptied_without_a_trace(monkeypatch, vocabulary):
     assert [vocabulary.encode([t])[0] for t in texts] == whole
 
 
-def test_long_texts_in_segments(monkeypatch, vocabulary):
+def test_long_texts_in_segments(vocabulary):
     text = " ".join(f"w{i}  é́{i}" for i in range(200)) + "x" * 300
-    monkeypatch.setattr(bpe, "SEGMENT", 64)
-    cut = list(bpe.segments(text))
+    cut = list(bpe.segments(text, 64))
     assert "".join(cut) == text and len(cut) > 20
     assert b"".join(vocabulary.encode([c])[0] for c in cut) == vocabulary.encode([text])[0]
 
