@@ -53,12 +53,10 @@ BYTES = _byte_symbols()
 SYMBOLS = {c: "".join(BYTES[b] for b in chr(c).encode()) for c in range(192, 256)}
 
 
-class Vocabulary:
-    """Tokens and merges of one file, and what is remembered about words between batches."""
+class Tokens:
+    """The tokens of one file by id: all that decoding needs."""
 
     def __init__(self, content: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(content)
         model = spec["model"]
         steps = lambda part, key: [x["type"] for x in (spec[part] or {}).get(key, [])]
@@ -67,17 +65,35 @@ class Vocabulary:
             raise ValueError("no BPE with word ends")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens have to stand for exactly their characters")
+        ids: dict[str, int] = model["vocab"]
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        names = np.full(max([*ids.values(), *self.added.values()]) + 1, "", object)
+        for name, i in (ids | self.added).items():
+            names[i] = name
+        self.names = names
+        self._prepare(model, content)
+
+    def _prepare(self, model: dict, content: str) -> None:
+        pass
+
+    def decode(self, ids: bytes) -> str:
+        """The tokens with one space between them: the file names no decoder. An id that it lacks has no token."""
+        found = np.frombuffer(ids, "<u4")
+        return " ".join(self.names[found[found < len(self.names)]].tolist())
+
+
+class Vocabulary(Tokens):
+    """Tokens and merges of one file, and what is remembered about words between batches."""
+
+    def _prepare(self, model: dict, content: str) -> None:
+        from tokenizers import Tokenizer
+
         library = Tokenizer.from_str(content)
         # Cases and classes of rare letters differ between versions of Unicode, so the file's own reading of them is asked.
         self.normal, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.end: str = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.stops = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        names = np.full(max([*self.ids.values(), *self.added.values()]) + 1, "", object)
-        for name, i in (self.ids | self.added).items():
-            names[i] = name
-        self.names = names
         self._merges(model["merges"])
         self._ok: dict[int, bool] = {}
         self.forget()
@@ -247,11 +263,6 @@ class Vocabulary:
         cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return [all_ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
-    def decode(self, ids: bytes) -> str:
-        """The tokens with one space between them: the file names no decoder. An id that it lacks has no token."""
-        found = np.frombuffer(ids, "<u4")
-        return " ".join(self.names[found[found < len(self.names)]].tolist())
-
 
 def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
     """The text in stretches of about `limit` characters that end before white space."""
@@ -270,19 +281,19 @@ def load(path: str) -> str:
         return f.read()
 
 
-_KNOWN: dict[int, Vocabulary] = {}  # the last vocabulary of a worker
+_KNOWN: dict[tuple[type, int], Tokens] = {}  # the last file of a worker
 
 
-def _vocabulary(content: str) -> Vocabulary:
-    key = hash(content)
+def _known(kind: type[Tokens], content: str) -> Tokens:
+    key = kind, hash(content)
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = Vocabulary(content)
+        _KNOWN[key] = kind(content)
     return _KNOWN[key]
 
 
-def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, n_tokens and ids (little-endian unsigned 32-bit integers, packed) of every row.
+def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", decoded: str | None = None) -> DataFrame:
+    """keys, n_tokens and ids (little-endian unsigned 32-bit integers, packed) of every row; with `decoded` also a column of that name, the ids decoded again.
 
     The driver reads the vocabulary file at `path` and sends its few megabytes along. A null or empty text has no ids,
     repeated rows are each encoded, columns that aren't named are left out, an empty table gives none. One scan, no shuffle; a worker
@@ -291,11 +302,11 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text
     content = docs.sparkSession.sparkContext.broadcast(load(path))
     kept = [docs.schema[k] for k in keys]
     rows = docs.select(*keys, F.col(text).cast("string").alias(shared.fresh(docs.select(*keys), "text")[0]))
-    schema = StructType([*kept, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
-    name = rows.columns[-1]
+    schema = StructType([*kept, StructField("n_tokens", LongType()), StructField("ids", BinaryType()), *([StructField(decoded, StringType())] if decoded else [])])
+    name, names = rows.columns[-1], schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(content.value)
+        vocabulary = _known(Vocabulary, content.value)
         for batch in shared.small_batches(batches, name, BATCH):
             texts = [t or "" for t in batch.column(name).to_pylist()]
             if len(texts) == 1:
@@ -303,7 +314,8 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text
             else:
                 ids = vocabulary.encode(texts)
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, pa.array(ids, pa.binary())], names=[*keys, "n_tokens", "ids"])
+            back = [pa.array(map(vocabulary.decode, ids), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, pa.array(ids, pa.binary()), *back], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -315,7 +327,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     schema = StructType([*[tokens.schema[c] for c in others], StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(content.value)
+        vocabulary = _known(Tokens, content.value)
         for batch in shared.small_batches(batches, ids, BATCH // 2):
             texts = [vocabulary.decode(x or b"") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*others, out])
@@ -328,5 +340,5 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
         import public_tokenizers
 
         path = public_tokenizers.path(NAME)
-    tokens = encode(shared.table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(tokens, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    tokens = encode(shared.table(spark, sf_dir, "documents"), path, decoded="decoded")
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
