@@ -25,14 +25,18 @@ from murmuration.llm import shared
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 ATTRS = re.compile(r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+>""")
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noframes".split())
+#: Elements of other languages within a page: there a start tag that ends in /> has no content, and a start tag of HTML ends them.
+FOREIGN = ("svg", "math")
+INLINE = frozenset("b big code em embed font i img nobr s small span strong strike sub sup u".split())
+INSIDE = ("foreignobject", "desc", "annotation-xml")  # where HTML goes on within them
 HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = frozenset("head script style".split())
+HIDDEN = frozenset("head script style svg annotation annotation-xml".split())
 OUT = frozenset("nav footer aside form button select option input textarea dialog menu label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status toolbar tablist".split())
 WORDS = frozenset(
@@ -55,6 +59,9 @@ CLOSES = {
 #: Elements that are text by their name, whatever their density.
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p pre blockquote ul ol dl table figure b i em strong span a code".split())
 SHARE = 0.2
+#: A form with one of these inside, or with more than half of the page's paragraphs (and so many characters), is wrapped around the page.
+LANDMARKS = frozenset("article main header footer nav aside".split())
+WRAPPED = 400
 CONTAINERS = frozenset("html body article main section div td th table blockquote aside nav footer header form ul ol dl figure li".split())
 
 
@@ -74,9 +81,11 @@ def noise_words(value: str) -> set[str]:
 def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """(begin, end, name, closing, attributes) of every tag, and of markup without a name (comments, declarations, raw elements with their content).
 
-    Every character is looked at a fixed number of times: what has no end is read once, to the end of the page.
+    Every character is looked at a fixed number of times. A script or style without an end goes on to the end of the page; of any other
+    raw element without an end, or an iframe that closes itself, only the tag goes.
     """
     last, size, at = source.rfind(">"), len(source), 0
+    endless: set[str] = set()  # raw elements of which no end tag follows
     while (at := source.find("<", at)) >= 0:
         if source.startswith("<!--", at):
             end = source.find("-->", at + 4)
@@ -99,8 +108,14 @@ def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
         got = ATTRS.match(source, m.end())
         end = got.end() if got else source.find(">", m.end()) + 1
         if name in RAW and not m[1]:
-            close = re.compile(rf"</{name}\s*>", re.I).search(source, end)
-            end = close.end() if close else size
+            empty = name == "iframe" and source[end - 2] == "/"
+            close = None if empty or name in endless else re.compile(rf"</{name}\s*>", re.I).search(source, end)
+            if close:
+                end = close.end()
+            elif name in ("script", "style"):
+                end = size
+            elif not empty:
+                endless.add(name)
             yield at, end, "", False, ""
         else:
             yield at, end, name, bool(m[1]), source[m.end() : end - 1]
@@ -195,6 +210,14 @@ class Page:
                 continue
             if name in ("html", "body") and self._depths.get(name):
                 continue
+            foreign = self._nearest(FOREIGN)
+            if foreign > 0:
+                if (name in BLOCK or name in INLINE) and self._nearest(INSIDE) < foreign:
+                    pop(foreign)
+                elif attrs.endswith("/"):
+                    continue
+            elif name in FOREIGN and attrs.endswith("/"):
+                continue
             if name in BLOCK:
                 depth = self._nearest(("p",))
                 if depth > self._scopes[-1]:
@@ -227,13 +250,25 @@ class Page:
         pop(0)
 
     def drop_noise(self) -> None:
-        """Marks whole subtrees; an element with an article or main element inside is no noise by its class alone."""
+        """Marks whole subtrees; an element with an article or main element inside is no noise by its class alone, and a form around the page is none at all."""
         holds = [t in ("article", "main") for t in self.tag]
+        around = [t in LANDMARKS for t in self.tag]
+        prose, within = [0] * len(self.tag), [False] * len(self.tag)
+        for n, parent in enumerate(self.parent):
+            within[n] = self.tag[n] == "p" or n > 0 and within[parent]
+        for node, text in self.items:
+            if text and within[node]:
+                prose[node] += len(text)
         for n in range(len(self.tag) - 1, 0, -1):
+            parent = self.parent[n]
+            prose[parent] += prose[n]
             if holds[n] and not self.out[n]:
-                holds[self.parent[n]] = True
+                holds[parent] = True
+            if around[n]:
+                around[parent] = True
         for n in range(1, len(self.tag)):
-            if self.out[n] and holds[n] and self.tag[n] not in OUT and self.tag[n] != "article":
+            wraps = self.tag[n] == "form" and (around[n] or prose[n] > max(WRAPPED, prose[0] // 2))
+            if self.out[n] and (holds[n] and self.tag[n] not in OUT and self.tag[n] != "article" or wraps):
                 self.out[n] = False
             self.out[n] = self.out[n] or self.out[self.parent[n]]
 

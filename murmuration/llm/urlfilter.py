@@ -9,9 +9,15 @@ from a block that comes through an alias, and doesn't pass it on.
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.llm import html as markup
 from murmuration.llm import shared
 
 #: (action, host, path)
@@ -81,31 +87,49 @@ def node_of(url: Column) -> Column:
     return F.when(site == "", plain).otherwise(F.concat(low, _without_dots(path), F.substring(rest, F.length(path) + 1, F.length(rest))))
 
 
-def _attribute(name: str) -> Column:
-    """Value of an attribute of the column `tag`, quoted or not; empty if there is none."""
-    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract("tag", pattern, i) for i in (1, 2, 3)])
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A delay, and the url that follows it, with or without url= and quotes.
+REFRESH = re.compile(r"""\s*(?:\d+(?:\.[\d.]*)?|\.[\d.]+)\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(\S.*))""", re.I | re.S)
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html", relative: bool = False) -> DataFrame:
-    """(src, dst): canonical links and immediate redirects that pages declare.
+def declared(source: str) -> tuple[str | None, list[str]]:
+    """The href of a page's first base element that has one, and the targets of its canonical links and refreshes, with characters decoded.
 
-    With `relative`, links relative to the page's path (page.html, ../x, ?id=3) are resolved too; the query asks for them.
+    Read from tags only: what comments, scripts, styles, titles, templates and other raw elements hold is no tag.
     """
-    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?s)<!--.*?(?:-->|$)", " ")  # a tag in a comment says nothing
-    tags = F.regexp_extract_all(bare, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    found = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("base"), F.explode(tags).alias("tag")).where(F.col("tag").rlike(r"(?i)canonical|refresh"))
-    rels = F.split(F.lower(F.trim(_attribute("rel"))), r"\s+")
-    canonical = F.when(F.array_contains(rels, "canonical"), _attribute("href"))
-    refresh = F.when(
-        F.lower(F.trim(_attribute("http-equiv"))) == "refresh",
-        F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d+\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1),
-    )
+    root, links = None, []
+    for _, _, name, closing, attrs in markup.tokens(source):
+        if closing or name not in ("link", "meta", "base"):
+            continue
+        of: dict[str, str] = {}
+        for key, *values in ATTRIBUTE.findall(attrs):
+            of.setdefault(key.lower(), html.unescape(next((v for v in values if v), "")))
+        if name == "base":
+            root = root if root is not None else of.get("href")
+        elif name == "link" and "canonical" in of.get("rel", "").lower().split():
+            links.append(of.get("href", ""))
+        elif name == "meta" and of.get("http-equiv", "").strip().lower() == "refresh" and (m := REFRESH.match(of.get("content", ""))):
+            links.append(next((v for v in m.groups() if v), ""))
+    return root, links
+
+
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst): canonical links and redirects that pages declare, in every form, resolved against the page's base element or else its url.
+
+    A null url or html, a link without a target and one to another scheme (mailto:, data:) give no edge, nor does a page's link to itself.
+    A page that repeats repeats its edges; extra columns are left out, an empty table gives none. One scan.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.small_batches(batches, "source", 8 << 20):
+            rows = [(u, root, link) for u, x in zip(b.column("base").to_pylist(), b.column("source").to_pylist()) for root, links in [declared(x)] for link in links]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["base", "root", "link"])
+
+    own = pages.select(F.col(url).alias("base"), F.col(html).alias("source")).where("base is not null").where(F.col("source").rlike(r"(?i)canonical|refresh"))
     # each step is written before the next reads it: its expression would stand in the next one several times over
-    links = shared.materialize(found.select("base", F.trim(F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&")).alias("link")))
-    if not relative:
-        links = links.where(F.col("link").rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]*://)"))
-    resolved = shared.materialize(links.select("base", _resolve(F.col("base"), F.col("link")).alias("dst")))
+    found = shared.materialize(own.mapInArrow(run, "base string, root string, link string"))
+    rooted = shared.materialize(found.select("base", F.coalesce(_resolve(F.col("base"), F.coalesce("root", F.lit(""))), "base").alias("root"), "link"))
+    resolved = shared.materialize(rooted.select("base", _resolve(F.col("root"), F.col("link")).alias("dst")))
     nodes = shared.materialize(resolved.select(node_of(F.col("base")).alias("src"), node_of(F.col("dst")).alias("dst")))
     return nodes.where("src is not null and dst is not null and dst != '' and src != dst")
 
@@ -139,4 +163,4 @@ def judge(pages: DataFrame, links: DataFrame, rules=RULES, page_id: str = "page_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = shared.table(spark, sf_dir, "pages")
-    return judge(pages, page_links(pages, relative=True)).drop("component")
+    return judge(pages, page_links(pages)).drop("component")

@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from murmuration.llm import shared
 STEP = 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "1970-01-01T00:00:00Z"
+FIELDS = ("page_id", "url", "payload", "digest", "refers_to", "refers_url")
 ARCHIVES = "archive string, content binary"
 RECORDS = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
@@ -31,7 +34,7 @@ RECORDS = (
 
 
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (the smallest page_id of a payload of `least` bytes or more, for the others).
+    """page_id, url, payload, digest, refers_to (the smallest page_id of a payload of `least` bytes or more, for the others) and refers_url, its url.
 
     A null html is an empty payload. Rows with a null page_id are responses and nothing refers to
     them; a page_id that repeats with the same payload is one response as often as it occurs.
@@ -41,23 +44,25 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = (
         rows.where(F.octet_length("payload") >= least)
-        .groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-        .where("first < last").select("digest", "first")
+        .where("page_id is not null")
+        .groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"))
+        .where("first.page_id < last").select("digest", "first")
     )
-    refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    later = F.col("first.page_id") < F.col("page_id")
+    refers = [F.when(later, F.col("first.page_id")).alias("refers_to"), F.when(later, F.col("first.url")).alias("refers_url")]
+    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", *refers)
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member. The target is the url with line ends removed; what it refers to is named by id."""
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, name: str) -> bytes:
+    """One gzip member; `name` is that of this record and no other. Targets are urls with line ends removed."""
     head = HTTP % len(payload)
     block = head if refers_to is not None else head + payload
-    named = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{i}')}>"
+    target = lambda u: "".join(u.splitlines())
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", named(page_id)),
-        ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", "".join(url.splitlines())),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
         ("Content-Type", "application/http; msgtype=response"),
@@ -66,7 +71,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", named(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To-Target-URI", target(refers_url or "")), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(refers_to))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     press = zlib.compressobj(6, zlib.DEFLATED, 31)
     return press.compress(text.encode("utf-8") + block + b"\r\n\r\n") + press.flush()
@@ -75,45 +80,54 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
 def write_archives(records: DataFrame, roll: int = 8 << 20) -> DataFrame:
     """(archive, content): every partition's records in archives that are closed at `roll` bytes.
 
-    An empty table gives no archive. Names come from the first record's digest and id.
+    An archive is named by this call, its partition and its place there, so equal rows never share a name, and a task that runs
+    again gives the same names. Repeated rows are records of their own. An empty table gives no archive.
     """
+    call = uuid.uuid4().hex[:12]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         parts: list[bytes] = []
-        size, name = 0, ""
+        size = number = 0
+        name = lambda: f"pages-{call}-{task:06d}-{number:06d}.warc.gz"
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"archive": [name], "content": [b"".join(parts)]}, schema=pa.schema([("archive", pa.string()), ("content", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"archive": [name()], "content": [b"".join(parts)]}, schema=pa.schema([("archive", pa.string()), ("content", pa.binary())]))
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, digest, refers = (batch.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to"))
-                name = name or f"pages-{page if page is not None else 'none'}-{digest[:16]}.warc.gz"
-                parts.append(record(page, url, payload, digest, refers))
+                row = (batch.column(c)[i].as_py() for c in FIELDS)
+                parts.append(record(*row, name=f"{name()}/{len(parts)}"))
                 size += len(parts[-1])
                 if size >= roll:
                     yield closed()
-                    parts, size, name = [], 0, ""
+                    parts, size, number = [], 0, number + 1
         if parts:
             yield closed()
 
-    return records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, ARCHIVES)
+    return records.select(*FIELDS).mapInArrow(write, ARCHIVES)
 
 
 def save_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Writes every archive as a .warc.gz file into a folder that the executors share, and returns (archive, bytes, path).
+    """Writes every archive as a .warc.gz file into a folder that driver and executors share, and returns (archive, bytes, path).
 
-    A file appears under its name only when it is whole, so a task that runs again replaces it. Read back with
-    `spark.read.format("binaryFile")` by `saved_archives`.
+    The driver leaves a mark in the folder, and a task that doesn't see it fails instead of writing to a disk of its own. A file appears under its
+    name only when it is whole, so a task that runs again replaces it. Null contents are empty files, archives of one name
+    overwrite each other, extra columns are left out, an empty frame writes nothing. Read back by `saved_archives`.
     """
+    mark = os.path.join(folder, f".shared-{uuid.uuid4().hex}")
+    os.makedirs(folder, exist_ok=True)
+    with open(mark, "wb"):
+        pass
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        if not os.path.exists(mark):
+            raise FileNotFoundError(f"{folder} isn't a folder that the driver and all executors share")
         for batch in batches:
             for name, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
                 path, part = os.path.join(folder, name), os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
                 with open(part, "wb") as f:
-                    f.write(content.as_buffer())
+                    f.write(content.as_buffer() if content.is_valid else b"")
                 os.replace(part, path)
                 yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": [os.path.getsize(path)], "path": [path]})
 

@@ -431,20 +431,58 @@ def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 3}" + "x" * 200) for i in range(30)], "page_id long, url string, html string").repartition(3)
     archives = shared.materialize(warc.write_archives(warc.plan_records(pages), roll=2000))
     told = warc.save_archives(archives, f"{tmp_path}/w").collect()
-    assert {r.archive: r.bytes for r in told} == {p.name: p.stat().st_size for p in (tmp_path / "w").iterdir()} and len(told) > 1
+    assert {r.archive: r.bytes for r in told} == {p.name: p.stat().st_size for p in (tmp_path / "w").glob("*.warc.gz")} and len(told) > 1
     assert all(gzip.decompress((tmp_path / "w" / r.archive).read_bytes()).startswith(b"WARC/1.1\r\n") for r in told)
     read = lambda a: sorted((r.page_id, r.record_type, r.offset, bytes(r.payload or b"")) for r in warc.read_archives(a).collect())
     assert read(warc.saved_archives(spark, f"{tmp_path}/w")) == read(archives) and len(read(archives)) == 30
 
 
+def test_warc_archives_of_partitions_that_begin_alike(spark, tmp_path):
+    """Equal rows in several partitions, with and without a page_id: every record is read back, under an id of its own."""
+    for i in range(3):
+        spark.createDataFrame([(1, "u", "<p>same"), (None, "u", "<p>same"), (i, "v", "x" * 200)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    pages = spark.read.parquet(*(f"{tmp_path}/in/part{i}" for i in range(3)))
+    archives = shared.materialize(warc.write_archives(warc.plan_records(pages)))
+    assert warc.save_archives(archives, f"{tmp_path}/w").count() == archives.count()
+    assert warc.read_archives(warc.saved_archives(spark, f"{tmp_path}/w")).count() == 9
+    ids = [f["warc-record-id"] for r in archives.collect() for _, f, _ in warc.members(bytes(r.content))]
+    assert len(set(ids)) == len(ids) == 9
+
+
 def test_warc_reader_refuses_broken_members():
-    good = warc.record(1, "u", b"abc", "00", None)
+    good = warc.record(1, "u", b"abc", "00", None, None, "n")
     assert len(list(warc.members(good + good))) == 2
     for broken in (good[:-5], good + good[:20]):
         with pytest.raises(ValueError):
             list(warc.members(broken))
 
 
+PROSE_PARAGRAPH = "<p>" + "Words of a long article go here and on, sentence after sentence. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><svg class="i"/><article>{p}</article>', "{t}"), ("<body><nav><svg /></nav><article>{p}</article>", "{t}"), ("<body><svg><path d=1><g><article>{p}</article>", "{t}"),
+        ("<body><svg><title>no</title><text>no</text></svg><article>{p}</article>", "{t}"), ("<body><article><svg><text>no{p}</article>", "{t}"), ("<body><iframe src=a /><article>{p}</article>", "{t}"),
+        ("<body><div><iframe src=a></div><article>{p}</article>", "{t}"), ("<body><form id=aspnetForm><nav>menu</nav><div>{p}{p}</div><input></form>", "{t}\n{t}"), ("<body><form><article>{p}</article></form>", "{t}"),
+        ("<body><form><div>{p}{p}</div><select><option>no</select></form>", "{t}\n{t}"), ("<body><article>{p}<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds.</p></article>", "{t}\nSo x = 2 holds."),
+        ("<body><article>{p}</article><form><p>Send us a line</p><label>Name</label><input></form>", "{t}"), ("<body><article>{p}<template>no</article>", "{t}\nno"),
+    ],
+)
+def test_pages_with_foreign_elements_and_forms(page, want):
+    text = " ".join(PROSE_PARAGRAPH[3:-4].split())
+    assert html.main_text(page.replace("{p}", PROSE_PARAGRAPH)) == want.replace("{t}", text)
+
+
+def test_many_raw_elements_without_an_end():
+    import time
+
+    began = time.time()
+    assert html.main_text("<iframe>" * 50_000 + "<textarea>" * 50_000 + PROSE_PARAGRAPH)
+    assert time.time() - began < 20
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -740,11 +778,42 @@ def test_url_rules_and_aliases(spark):
 def test_page_links(spark):
     rows = [
         ("http://a.org/x?1#f", "<LINK href='/main' rel='canonical'><link rel=stylesheet href=/s.css>"), ("http://b.org/", '<meta http-equiv="Refresh" content="0; url=https://c.org/p?a=1&amp;b=2">'),
-        ("http://d.org/", '<link rel="canonical" href="//e.org/#top">'), ("http://f.org/", '<link rel="canonical" href="relative">'), (None, '<link rel="canonical" href="/x">'), ("http://g.org/", None),
+        ("http://d.org/", '<link rel="canonical" href="//e.org/#top">'), (None, '<link rel="canonical" href="/x">'), ("http://g.org/", None),
         ("http://h.org/", '<!-- <link rel="canonical" href="/no"> --><p>refresh</p>'),
+        ("http://i.org/a/b", '<base target=_top><base href="http://root.org/x/y"><link rel=canonical href="z"><base href="http://no.org/">'), ("http://j.org/a/b", '<link rel=canonical href="z"><base href="../c/">'),
+        ("http://k.org/", "<script>var s = '<link rel=\"canonical\" href=\"http://no.org/\">';</script><style><link rel=canonical href=/no></style><template><link rel=canonical href=/no></template>"),
+        ("http://l.org/", '<link title="a > b" rel="canonical" href="/yes">'), ("http://m.org/", "<link rel=canonical href='&#47;deep&#x2F;er?a=1&amp;b=&quot;'>"),
+        ("http://n.org/", "<meta http-equiv=refresh content='0.5; URL=\"/late\"'>"), ("http://o.org/", "<meta content='.5,/soon' http-equiv=REFRESH>"), ("http://p.org/", "<meta http-equiv=refresh content=30>"),
+        ("http://q.org/", '<link data-href="/no" rel="canonical" href="/q">'), ("http://r.org/", "<script>open('canonical'); <link rel=canonical href=/no>"),
     ]
     got = {tuple(r) for r in urlfilter.page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
-    assert got == {("http://a.org/x?1", "http://a.org/main"), ("http://b.org/", "https://c.org/p?a=1&b=2"), ("http://d.org/", "http://e.org/")}
+    assert got == {
+        ("http://a.org/x?1", "http://a.org/main"), ("http://b.org/", "https://c.org/p?a=1&b=2"), ("http://d.org/", "http://e.org/"), ("http://i.org/a/b", "http://root.org/x/z"), ("http://j.org/a/b", "http://j.org/c/z"),
+        ("http://l.org/", "http://l.org/yes"), ("http://m.org/", 'http://m.org/deep/er?a=1&b="'), ("http://n.org/", "http://n.org/late"), ("http://o.org/", "http://o.org/soon"), ("http://q.org/", "http://q.org/q"),
+    }
+
+
+def test_links_of_planted_pages_as_in_sql(spark, tmp_path):
+    """Components that hold pages of every link form, the query against its SQL."""
+    import duckdb
+
+    from murmuration.llm import queries
+
+    base, block = "http://Site.org/a/b/page", "http://x.example.com/en/1"
+    hrefs = ["other.html", "../x", "../../../x/./y", "./", "..", "?id=3", "/main/../top", "//Other.ORG/Path", "sub/z?u=/../v", "#top", "mailto:a@b.c", "http://X.Example.com/en/1#p"]
+    rows = [(f"{base}{i}", f'<link data-rel=x rel="alternate Canonical" href="{h}">') for i, h in enumerate(hrefs)] + [(f"http://site.org{p}", "") for p in ("/a/b/other.html", "/a/x", "/x/y", "/a/b/", "/a/", "/top", "/a/b/page5?id=3")]
+    rows += [("http://other.org/Path", f"<meta http-equiv=refresh content='0.5; url={block}'>"), ("http://site.org/a/x", f'<link title="a > b" rel=canonical href="{block}">'), (None, "<link rel=canonical href=/>"), ("http://site.org/none", None)]
+    rows += [("http://c.org/1", '<base href="http://x.example.com/en/"><link rel=canonical href="1">'), ("http://c.org/2", f"<script>'<link rel=canonical href=\"{block}\">'</script>"), ("http://c.org/3", f"<!-- <link rel=canonical href={block}> -->")]
+    rows += [("http://c.org/4", "<link rel=canonical href='http:&#47;&#47;x.example.com/en/1'>"), ("http://c.org/5", "<link rel=canonical href='http://c.org/4'>"), ("http://c.org/6", "")]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter(tuple(r) for r in urlfilter.query(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == Counter(db.execute(queries.oracle_sql()["op10_url_filter"]).fetchall())
+    verdicts = {rows[k[0]][0]: k[4] for k in got}
+    assert [verdicts[f"http://c.org/{i}"] for i in range(1, 7)] == ["block", "allow", "allow", "block", "block", "allow"]
+    assert verdicts[f"{base}1"] == "block" and verdicts[f"{base}7"] == "block" and verdicts[f"{base}0"] == "allow"
 
 
 def test_page_links_of_every_form(spark):
@@ -752,7 +821,7 @@ def test_page_links_of_every_form(spark):
     hrefs = ["other.html", "../x", "../../../x/./y", "./", "..", "?id=3", "/main/../top", "//Other.ORG/Path", "HTTPS://Else.Net/Q?A=1", "sub/z?u=/../v", "#top", "", "mailto:a@b.c"]
     rows = [(f"{base}{i}", f'<link data-rel=x rel="alternate Canonical" href="{h}">') for i, h in enumerate(hrefs)]
     rows += [("http://bare.org", "<meta http-equiv=refresh content='0;url=in/side'>"), ("no scheme", "<link rel=canonical href=x>"), ("http://n.org/", "<link rel='canonicals not' href=/x>")]
-    got = {tuple(r) for r in urlfilter.page_links(spark.createDataFrame(rows, "url string, html string"), relative=True).collect()}
+    got = {tuple(r) for r in urlfilter.page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
     site = "http://site.org"
     wanted = ["/a/b/other.html", "/a/x", "/x/y", "/a/b/", "/a/", "/a/b/page.html?id=3", "/top", "http://other.org/Path", "https://else.net/Q?A=1", "/a/b/sub/z?u=/../v"]
     edges = {(f"{site}/a/b/page.html?q=1", w if "://" in w else site + w) for w in wanted}
@@ -762,5 +831,5 @@ def test_page_links_of_every_form(spark):
 def test_alias_of_a_blocked_page_by_a_relative_link(spark):
     rows = [(1, "http://a.net/fr/1", ""), (2, "http://A.net/other/2", '<link rel="alternate canonical" href="../fr/1">'), (3, "http://a.NET/other/2#x", None), (4, "http://a.net/other/4", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = urlfilter.judge(pages, urlfilter.page_links(pages, relative=True)).collect()
+    got = urlfilter.judge(pages, urlfilter.page_links(pages)).collect()
     assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block", 4: "allow"}
