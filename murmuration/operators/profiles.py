@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from murmuration.operators import metrics
 
 SINGLES, CHAIN = ("single-a", "single-b"), ("fused", "+pick", "+verify", "+refine")
 HARM_LIMIT, EPS = 0.02, 1e-9
-DECIDED = "key string, engines string, rung string, pick boolean, verify boolean, refine boolean, decision string"
 
 
 def chain_of(records: DataFrame) -> DataFrame:
@@ -39,26 +37,35 @@ def differences(records: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return left.select("key", "id", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "wer").join(right, ["key", "id", "b"]).select("key", "a", "b", "id", (F.col("wer") - F.col("wer_b")).alias("d"))
 
 
-def decide(stats: dict, ci: dict, harm: dict, ins: dict) -> tuple:
-    """The decision for one key from its figures: (engines, rung, pick, verify, refine, why).
+def decide(figures: DataFrame) -> DataFrame:
+    """A decision for every key of (key, kind, a, b, x, y), by columns over the rungs: one row for each key, of some thirty numbers.
 
-    Engines: fusion has to beat the better single engine for sure. Rungs: the smallest whose stages harm at most a fiftieth
-    and that no larger one beats for sure, else the one of least error; then back while it or its insertions are above the one before.
+    Engines: fusion has to beat the better single engine for sure. Rungs: of those up to which no stage harms more than a fiftieth, the
+    smallest that no larger one beats for sure, else the one of least error; then the last rung up to it that raises neither error nor insertions over the one before.
     """
-    singles = {s: stats["single", s] for s in SINGLES if ("single", s) in stats}
-    best = min(singles, key=singles.get) if singles else None
-    chain = [s for s in CHAIN if ("chain", s) in stats]
-    if not chain and best is None:
-        return None
-    if best is not None and (not chain or not ci.get((CHAIN[0], best), (0.0, 0.0))[1] < -EPS):
-        return best[-1], best, False, False, False, "one engine: fusion isn't better for sure"
-    mean = [stats["chain", s] for s in chain]
-    fit = [k for k in range(len(chain)) if all(harm.get(chain[j], 0.0) <= HARM_LIMIT for j in range(1, k + 1))]
-    beaten = lambda k: any(ci.get((chain[k], chain[j]), (0.0, 0.0))[0] > EPS for j in range(k + 1, len(chain)))
-    at = next((k for k in fit if not beaten(k)), min(fit, key=lambda k: mean[k]))
-    while at and (mean[at] > mean[at - 1] + EPS or None not in (ins.get(chain[at]), ins.get(chain[at - 1])) and ins[chain[at]] > ins[chain[at - 1]] + EPS):
-        at -= 1
-    return "ab", chain[at], at >= 1, at >= 2, at >= 3, f"both engines, {chain[at]}"
+    rungs = range(len(CHAIN))
+    pairs = [(a, b) for i, a in enumerate(CHAIN) for b in CHAIN[i + 1 :]] + [(CHAIN[0], s) for s in SINGLES]
+    one = lambda kind, a, b, value: F.max(F.when((F.col("kind") == kind) & (F.col("a") == a) & (F.col("b") == b), F.col(value)))
+    wide = figures.groupBy("key").agg(
+        *[one("single", s, "", "x").alias(f"single_{i}") for i, s in enumerate(SINGLES)], *[one(kind, s, "", "x").alias(f"{kind}_{k}") for kind in ("chain", "harm", "ins") for k, s in enumerate(CHAIN)],
+        *[one("ci", a, b, "x").alias(f"low {a} {b}") for a, b in pairs], *[one("ci", a, b, "y").alias(f"high {a} {b}") for a, b in pairs],
+    )
+    col, zero = (lambda kind, k: F.col(f"{kind}_{k}")), F.lit(0.0)
+    safe = [reduce(lambda x, y: x & y, [F.coalesce(col("harm", j), zero) <= HARM_LIMIT for j in range(1, k + 1)], col("chain", k).isNotNull()) for k in rungs]
+    beaten = [reduce(lambda x, y: x | y, [F.coalesce(F.col(f"low {CHAIN[k]} {CHAIN[j]}") > EPS, F.lit(False)) for j in rungs if j > k], F.lit(False)) for k in rungs]
+    raised = [F.lit(False)] + [F.coalesce(col("chain", k) > col("chain", k - 1) + EPS, F.lit(False)) | F.coalesce(col("ins", k) > col("ins", k - 1) + EPS, F.lit(False)) for k in rungs if k]
+    least = F.array_min(F.array_compact(F.array(*[F.when(safe[k], F.struct(col("chain", k), F.lit(k).alias("k"))) for k in rungs])))["k"]
+    chosen = F.coalesce(*[F.when(safe[k] & ~beaten[k], F.lit(k)) for k in rungs], least)
+    held = wide.withColumn("_top", chosen)
+    last = F.greatest(*[F.when((F.col("_top") >= k) & ~raised[k], F.lit(k)) for k in rungs])
+    best = F.when(F.coalesce(col("single", 0) <= col("single", 1), col("single", 0).isNotNull()), F.lit(SINGLES[0])).when(col("single", 1).isNotNull(), F.lit(SINGLES[1]))
+    sure = reduce(lambda x, y: x | y, [(F.col("_best") == s) & F.coalesce(F.col(f"high {CHAIN[0]} {s}") < -EPS, F.lit(False)) for s in SINGLES])
+    fused = col("chain", 0).isNotNull() & (F.col("_best").isNull() | sure)
+    done = held.withColumns({"_last": last, "_best": best}).where("chain_0 is not null or _best is not null").withColumn("_fused", fused)
+    rung = F.when(F.col("_fused"), F.element_at(F.array(*map(F.lit, CHAIN)), F.col("_last") + 1)).otherwise(F.col("_best"))
+    stages = [(F.col("_fused") & (F.col("_last") >= k)).alias(name) for k, name in enumerate(("pick", "verify", "refine"), 1)]
+    why = F.when(F.col("_fused"), F.concat(F.lit("both engines, "), rung)).otherwise("one engine: fusion isn't better for sure")
+    return done.select("key", F.when(F.col("_fused"), "ab").otherwise(F.right("_best", F.lit(1))).alias("engines"), rung.alias("rung"), *stages, why.alias("decision"))
 
 
 def decide_profiles(records: DataFrame, effects: DataFrame, n: int = 2000) -> DataFrame:
@@ -66,7 +73,7 @@ def decide_profiles(records: DataFrame, effects: DataFrame, n: int = 2000) -> Da
 
     `records` holds (key, id, system, wer, empty_ref, ins, duration) of finished items of the dev split; a record with key `*` (nothing
     said) counts for every key. `effects` holds (key, id, system, help, harm, neutral) of the stage that each rung adds. All figures are
-    aggregated by Spark; the last step sees a few numbers for each key.
+    aggregated by Spark.
     """
     keys = records.where("key != '*'").select("key").distinct()
     everywhere = records.where("key = '*'").drop("key").crossJoin(F.broadcast(keys))  # profile keys, tens at most
@@ -85,14 +92,4 @@ def decide_profiles(records: DataFrame, effects: DataFrame, n: int = 2000) -> Da
     ins = silent.groupBy("key", "system").agg(metrics.share(F.sum("ins"), F.sum("duration") / 60).alias("x"))
     row = lambda df, kind, value: df.select("key", F.lit(kind).alias("kind"), F.col("system").alias("a"), F.lit("").alias("b"), F.col(value).alias("x"), F.lit(None).cast("double").alias("y"))
     figures = reduce(DataFrame.unionByName, [means(both, "single"), means(chain, "chain"), ci, row(harm, "harm", "harm_rate"), row(ins, "ins", "x")])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["kind", "a", "b", "x", "y"]].itertuples(index=False, name=None))
-        value = lambda x: None if pd.isna(x) else float(x)
-        got = decide(
-            {(k, a): x for k, a, _, x, _ in rows if k in ("single", "chain")}, {(a, b): (x, y) for k, a, b, x, y in rows if k == "ci"},
-            {a: value(x) or 0.0 for k, a, _, x, _ in rows if k == "harm"}, {a: value(x) for k, a, _, x, _ in rows if k == "ins"},
-        )
-        return pd.DataFrame([(key[0], *got)] if got else [], columns=[c.split()[0] for c in DECIDED.split(", ")])
-
-    return figures.groupBy("key").applyInPandas(run, DECIDED)
+    return decide(figures)

@@ -29,8 +29,40 @@ def rows(df):
         ({("chain", "fused"): 0.2, ("chain", "+pick"): 0.15, ("chain", "+verify"): 0.1}, {("fused", "+verify"): (0.05, 0.1), ("+pick", "+verify"): (-0.01, 0.1)}, {}, {}, ("ab", "+pick", True, False, False)),
     ],
 )
-def test_decisions(stats, ci, harm, ins, want):
-    assert profiles.decide(stats, ci, harm, ins)[:5] == want
+def test_decisions(spark, stats, ci, harm, ins, want):
+    figures = [("k", kind, s, "", x, None) for (kind, s), x in stats.items()] + [("k", "ci", a, b, lo, hi) for (a, b), (lo, hi) in ci.items()]
+    figures += [("k", kind, s, "", x, None) for kind, of in (("harm", harm), ("ins", ins)) for s, x in of.items()] + [("empty", "harm", "+pick", "", 0.5, None)]
+    got = profiles.decide(spark.createDataFrame(figures, "key string, kind string, a string, b string, x double, y double")).collect()
+    assert [tuple(r)[1:6] for r in got] == [want]
+
+
+def test_decisions_against_a_walk(spark):
+    """Random figures of keys with gaps, against the rule walked rung by rung."""
+    rng, keys, rows = random.Random(8), {}, []
+    for key in range(150):
+        chain = profiles.CHAIN[: rng.randrange(5)]
+        f = {("single", s): rng.choice([0.1, 0.2, 0.3]) for s in profiles.SINGLES if rng.random() < 0.7} | {("chain", s): rng.choice([0.1, 0.2, 0.3]) for s in chain}
+        f |= {("harm", s): rng.choice([0.0, 0.01, 0.03]) for s in chain if rng.random() < 0.8} | {("ins", s): rng.choice([1.0, 2.0]) for s in chain if rng.random() < 0.7}
+        ci = {(a, b): rng.choice([(-0.2, -0.1), (-0.1, 0.1), (0.1, 0.2)]) for a in chain for b in (*profiles.CHAIN, *profiles.SINGLES) if rng.random() < 0.7}
+        keys[key] = (chain, f, ci)
+        rows += [(key, k, s, "", x, None) for (k, s), x in f.items()] + [(key, "ci", a, b, lo, hi) for (a, b), (lo, hi) in ci.items()]
+    got = {r.key: r for r in profiles.decide(spark.createDataFrame(rows, "key int, kind string, a string, b string, x double, y double")).collect()}
+    for key, (chain, f, ci) in keys.items():
+        have = [s for s in profiles.SINGLES if ("single", s) in f]
+        best = sorted(have, key=lambda s: f["single", s])[0] if have else None
+        if not chain or best and not ("fused", best) in ci or best and ci["fused", best][1] >= 0:
+            assert (got[key].rung if key in got else None) == best
+            continue
+        allowed = []
+        for s in chain:
+            if s != "fused" and f.get(("harm", s), 0.0) > 0.02:
+                break
+            allowed.append(s)
+        unbeaten = [s for s in allowed if not any(ci.get((s, t), (0, 0))[0] > 0 for t in profiles.CHAIN[profiles.CHAIN.index(s) + 1 :])]
+        at = chain.index(unbeaten[0] if unbeaten else sorted(allowed, key=lambda s: f["chain", s])[0])
+        while at and (f["chain", chain[at]] > f["chain", chain[at - 1]] or f.get(("ins", chain[at]), 0) > f.get(("ins", chain[at - 1]), 9)):
+            at -= 1
+        assert (got[key].engines, got[key].rung, got[key].refine) == ("ab", chain[at], at == 3)
 
 
 def test_profiles_of_records(spark):
