@@ -54,7 +54,7 @@ def decide(figures: DataFrame) -> DataFrame:
     safe = [reduce(lambda x, y: x & y, [F.coalesce(col("harm", j), zero) <= HARM_LIMIT for j in range(1, k + 1)], col("chain", k).isNotNull()) for k in rungs]
     beaten = [reduce(lambda x, y: x | y, [F.coalesce(F.col(f"low {CHAIN[k]} {CHAIN[j]}") > EPS, F.lit(False)) for j in rungs if j > k], F.lit(False)) for k in rungs]
     raised = [F.lit(False)] + [F.coalesce(col("chain", k) > col("chain", k - 1) + EPS, F.lit(False)) | F.coalesce(col("ins", k) > col("ins", k - 1) + EPS, F.lit(False)) for k in rungs if k]
-    least = F.array_min(F.array_compact(F.array(*[F.when(safe[k], F.struct(col("chain", k), F.lit(k).alias("k"))) for k in rungs])))["k"]
+    least = F.array_min(F.array_compact(F.array(*[F.when(safe[k], F.struct(col("chain", k).alias("x"), F.lit(k).alias("k"))) for k in rungs])))["k"]
     chosen = F.coalesce(*[F.when(safe[k] & ~beaten[k], F.lit(k)) for k in rungs], least)
     held = wide.withColumn("_top", chosen)
     last = F.greatest(*[F.when((F.col("_top") >= k) & ~raised[k], F.lit(k)) for k in rungs])
