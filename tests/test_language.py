@@ -189,3 +189,12 @@ def test_number_words_never_crash():
     for lang, pool in (("es", [*normal.ES_WORDS, "y", "un", "x"]), ("en", [*normal.EN_WORDS, *normal.EN_ORDINALS, "and", "point", "percent", "dollars", "x", "7"])):
         for _ in range(400):
             normal.normalize(" ".join(rng.choice(pool) for _ in range(rng.randrange(9))), lang)
+
+
+def test_stretches_give_what_the_whole_text_gives():
+    """Words between which the rules look, in all orders: only stretches around them go through the rules."""
+    rng = random.Random(3)
+    pool = "the cat twenty five hundred and point percent dollars um uh Mr. Mrs dr. she'd been gone it's can't won't 'tis rock 'n roll $5 5% 1,000 1.000 3.14 e.g. U.S. word, word. (x y) [a] <b c> ¿qué señor uno dos treinta y cinco mil un millón café's “quoted” st. let's y'all gonna ½ naïve ﬁne Ümlaut third twenty-five i'm I, one".split(" ")
+    for _ in range(6000):
+        text, lang = " ".join(rng.choice(pool) for _ in range(rng.randrange(9))), rng.choice(["en", "es", "de", None])
+        assert normal.tokens_of(text, lang) == normal._whole(text, lang), (lang, text)
