@@ -6,7 +6,6 @@ import difflib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import Window as W
 
 from murmuration.functions import sounds
 from murmuration.functions import text as T
-from murmuration.operators import islands
+from murmuration.operators import islands, matching
 from murmuration.operators.signal import bound
 
 #: Fillers that a rewrite may not drop and pronouns that it may not put in.
@@ -61,8 +60,8 @@ def term_near(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
     """Runs of words that sound like a term of their file (J-10), best first, without overlaps: (file_id, start_idx, end_idx).
 
     Runs with an unclear word, or within a term as it is written, are left out; both sides have three letters or more
-    and the shorter at least 0.4 of the longer's. Runs meet terms by file (`first_seen` keeps at most 200 a file).
-    Overlapping candidates make small groups, in which the choice is made in order of (distance, longer first, place).
+    and the shorter at least 0.4 of the longer's. Distinct sounds of a file's runs meet those of its terms by shared segments; candidates
+    are chosen in order of (distance, longer first, place).
     """
     t = terms.select("file_id", plain(F.col("term")).alias("term")).where(letters(F.col("term")) >= 3).distinct()
     g = grams(words)
@@ -72,24 +71,11 @@ def term_near(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
     free = free.join(covered.select("file_id", "start_idx", "end_idx").distinct(), ["file_id", "start_idx", "end_idx"], "left_anti")
     # each side's sound and size are found out once, before the sides meet
     told = lambda df, c, k: df.withColumns({f"{k}_n": letters(F.col(c)), f"{k}_s": sounds.phonemes(F.col(c), F.lit(lang))})
-    met = told(free, "gram", "g").join(told(t, "term", "t"), "file_id").where(F.least("g_n", "t_n") >= 0.4 * F.greatest("g_n", "t_n"))
-    far = met.groupBy("file_id", "start_idx", "end_idx").agg(F.min(sounds.sound_distance(F.col("g_s"), F.col("t_s"))).alias("distance")).where(F.col("distance") <= NEAR)
-    w = W.partitionBy("file_id").orderBy("start_idx", "end_idx")
-    reach = F.max("end_idx").over(w.rowsBetween(W.unboundedPreceding, -1))
-    groups = islands.islands(far, ["file_id"], ["start_idx", "end_idx"], F.col("start_idx") >= reach)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        keep = []
-        order = pdf.assign(n=pdf["start_idx"] - pdf["end_idx"]).sort_values(["distance", "n", "start_idx"])
-        for a, z in zip(order["start_idx"], order["end_idx"]):
-            if taken.isdisjoint(range(a, z)):
-                taken.update(range(a, z))
-                keep.append((a, z))
-        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]] * len(keep), "start_idx": [a for a, _ in keep], "end_idx": [z for _, z in keep]})
-
-    kind = words.schema["file_id"].dataType.simpleString()
-    return groups.groupBy("file_id", "island").applyInPandas(choose, f"file_id {kind}, start_idx long, end_idx long")
+    heard = told(free, "gram", "g")
+    met = matching.near_sounds(heard.select("file_id", "g_n", "g_s").distinct(), told(t, "term", "t").select("file_id", "t_n", "t_s").distinct(), ["file_id"], NEAR)
+    near = met.where(F.least("g_n", "t_n") >= 0.4 * F.greatest("g_n", "t_n")).groupBy("file_id", "g_n", "g_s").agg(F.min("distance").alias("distance"))
+    far = heard.join(near, ["file_id", "g_n", "g_s"]).select("file_id", "start_idx", "end_idx", "distance")
+    return matching.choose_apart(far, ["file_id"], [F.col("distance"), F.col("start_idx") - F.col("end_idx")])
 
 
 def refine_targets(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Steps that depend on what came before within a file: grouped helpers over bounded, ordered groups.
-
-Long files are cut at places where the outcome can't depend on what lies before, so that a group is
-a stretch between such places.
-"""
+"""Diarization error, guarded rewrites and distinct shots."""
 
 from __future__ import annotations
 
@@ -18,68 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from murmuration.operators.islands import islands
-
-ENDS, CLOSERS = ".?!…", "\"')]»”’"
-
-
-def build_segments(words: DataFrame, longest: float = 12.0, pause: float = 0.8, sentence: float = 3.0) -> DataFrame:
-    """Segments of words (WIN-8): broken by another speaker, a pause, a sentence end after `sentence` seconds, or length.
-
-    Never between two unclear words of which the second has no alternatives, as they share a marker.
-    Speakers and pauses break whatever the segment holds, so they cut the groups; the rest follows in order within.
-    """
-    w = W.partitionBy("file_id").orderBy("pos")
-    inside = F.col("unclear") & F.lag("unclear").over(w) & (F.coalesce(F.size("alternatives"), F.lit(0)) <= 0)
-    hard = (~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) | (F.col("start") - F.lag("end").over(w) >= pause)) & ~F.coalesce(inside, F.lit(False))
-    marked = islands(words.withColumn("_in", F.coalesce(inside, F.lit(False))), ["file_id"], ["pos"], hard, "stretch")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, begin, part, last_text, last_end = [], None, 0, "", 0.0
-        for s, e, t, joined in zip(pdf["start"], pdf["end"], pdf["text"], pdf["_in"]):
-            stop = last_text.rstrip(CLOSERS)
-            if begin is not None and not joined and (e - begin > longest or (last_end - begin >= sentence and stop[-1:] and stop[-1] in ENDS)):
-                part, begin = part + 1, None
-            begin = s if begin is None else begin
-            last_text, last_end = t, e
-            out.append(part)
-        got = pdf.assign(part=out).groupby("part", sort=True).agg(start=("start", "first"), end=("end", "last"), speaker=("speaker", "first"), text=("text", " ".join), n=("text", "size")).reset_index()
-        got.insert(0, "stretch", key[1])
-        got.insert(0, "file_id", key[0])
-        return got[["file_id", "stretch", "part", "start", "end", "speaker", "text", "n"]]
-
-    kind = words.schema["file_id"].dataType.simpleString()
-    return marked.select("file_id", "stretch", "pos", "start", "end", "speaker", "text", "_in").groupBy("file_id", "stretch").applyInPandas(run, f"file_id {kind}, stretch long, part long, start double, end double, speaker string, text string, n long")
-
-
-def split_long(spans: DataFrame, energy: DataFrame, longest: float = 30.0, search: float = 10.0, frame: float = 0.1, least: float = 0.001) -> DataFrame:
-    """Chunks of at most `longest` seconds (WIN-4): a longer span is cut at the middle of the quietest frame of the
-    window's last `search` seconds, the first of equal ones, and goes on from there. Frames are joined to the span that holds them."""
-    s = spans.select("file_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    held = s.where(F.col("e") - F.col("s") > longest).join(energy, "file_id").where((F.col("frame") * frame >= F.col("s")) & ((F.col("frame") + 1) * frame <= F.col("e")))
-    listed = held.groupBy("file_id", "s", "e").agg(F.array_sort(F.collect_list(F.struct("frame", "energy"))).alias("f"))
-    whole = s.join(listed, ["file_id", "s", "e"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                at, n = r["s"], 0
-                places = np.array([x["frame"] for x in r["f"] or []]) * frame
-                loud = np.array([x["energy"] for x in r["f"] or []])
-                while r["e"] - at > longest:
-                    ok = np.flatnonzero((places >= at + longest - search - 1e-9) & (places + frame <= at + longest + 1e-9))
-                    cut = places[ok[np.argmin(loud[ok])]] + frame / 2 if len(ok) else at + longest
-                    rows.append((r["file_id"], r["s"], n, at, float(cut)))
-                    at, n = float(cut), n + 1
-                if r["e"] - at > least:
-                    rows.append((r["file_id"], r["s"], n, at, r["e"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["file_id", "span_start", "part", "start", "end"])
-
-    kind = spans.schema["file_id"].dataType.simpleString()
-    return whole.mapInArrow(run, f"file_id {kind}, span_start double, part long, start double, end double")
-
+from murmuration.operators.matching import settled
 
 def best_mapping(overlap: np.ndarray) -> float:
     """Greatest total overlap of a one-to-one mapping of rows to columns, exact at every size.
@@ -116,45 +51,49 @@ def best_mapping(overlap: np.ndarray) -> float:
     return float(gain[owner[used], used].sum())
 
 
-def diarization_error(turns: DataFrame, collar: float = 0.25) -> DataFrame:
-    """Diarization error of every item (FN-10), `turns` being (item, side ref or hyp, start, end, speaker).
+def diarization_error(turns: DataFrame, collar: float = 0.25, width: float = 30.0) -> DataFrame:
+    """(item, der): diarization error of every item (FN-10), `turns` being (item, side ref or hyp, start, end, speaker).
 
-    Integrated between breakpoints on a 10 ms grid, not frame by frame. Reference time counts once for each speaker;
+    A sweep over the boundaries of all turns, on a 10 ms grid: between two of them the sets of active speakers don't change. They are found by
+    time bins, and the overlap of each pair of speakers is added up; the mapping is chosen on that small matrix. Reference time counts once for each speaker;
     time within the collar of a reference boundary isn't scored. Without scored reference speech: 0 if the hypothesis is silent too, else 1.
     """
-
-    def merged(pdf: pd.DataFrame) -> dict[str, list[list[int]]]:
-        out: dict[str, list[list[int]]] = {}
-        for s, e, who in sorted(zip(pdf["start"], pdf["end"], pdf["speaker"])):
-            own = out.setdefault(who, [])
-            if own and s <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], e)
-            else:
-                own.append([s, e])
-        return {who: [[round(s * 100), round(e * 100)] for s, e in own] for who, own in out.items()}
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, hyp = merged(pdf[pdf.side == "ref"]), merged(pdf[pdf.side == "hyp"])
-        half = round(collar * 100)
-        shut = [(max(0, b - half), b + half) for own in ref.values() for span in own for b in span] if half else []
-        cuts = np.unique([0, *(x for side in (ref, hyp) for own in side.values() for span in own for x in span), *(x for s in shut for x in s)])
-        if len(cuts) < 2:
-            return pd.DataFrame({"item": [key[0]], "der": [0.0]})
-        left, width = cuts[:-1], np.diff(cuts).astype(float)
-        active = lambda side: np.array([np.any([(left >= s) & (left < e) for s, e in own], axis=0) for own in side.values()]).reshape(len(side), len(left))
-        for s, e in shut:
-            width[(left >= s) & (left < e)] = 0
-        a, b = active(ref).astype(float), active(hyp).astype(float)
-        n_ref, n_hyp = a.sum(0), b.sum(0)
-        total = float((n_ref * width).sum())
-        extra = float((np.maximum(0, n_hyp - n_ref) * width).sum())
-        if not total:
-            return pd.DataFrame({"item": [key[0]], "der": [1.0 if extra else 0.0]})
-        right = best_mapping((a * width) @ b.T) if len(ref) and len(hyp) else 0.0
-        wrong = float((np.maximum(n_ref, n_hyp) * width).sum()) - right
-        return pd.DataFrame({"item": [key[0]], "der": [wrong / total]})
-
-    return turns.groupBy("item").applyInPandas(run, f"item {turns.schema['item'].dataType.simpleString()}, der double")
+    one = turns.select("item", "side", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    w = W.partitionBy("item", "side", "speaker").orderBy("start", "end")
+    runs = islands(one, ["item", "side", "speaker"], ["start", "end"], F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    grid = lambda c: F.rint(c * 100).cast("long")
+    own = runs.groupBy("item", "side", "speaker", "island").agg(grid(F.min("start")).alias("s"), grid(F.max("end")).alias("e")).drop("island")
+    half = round(collar * 100)
+    shut = own.where("side = 'ref'").select("item", F.lit("shut").alias("side"), F.lit("").alias("speaker"), F.explode(F.array("s", "e")).alias("x")).select("item", "side", "speaker", F.greatest(F.lit(0), F.col("x") - half).alias("s"), (F.col("x") + half).alias("e"))
+    active = settled(own.unionByName(shut).where("s < e"))
+    bounds = active.select("item", F.explode(F.array("s", "e")).alias("t0")).distinct()
+    steps = bounds.withColumn("t1", F.lead("t0").over(W.partitionBy("item").orderBy("t0"))).where("t1 is not null")
+    bin_ = lambda c: F.floor(c / int(width * 100))
+    spread = active.select("*", F.explode(F.sequence(bin_(F.col("s")), bin_(F.col("e")))).alias("b"))
+    met = steps.withColumn("b", bin_(F.col("t0"))).join(spread, ["item", "b"]).where("s <= t0 and t1 <= e")
+    set_of = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("speaker")))
+    sets = met.groupBy("item", "t0", "t1").agg(set_of("ref").alias("r"), set_of("hyp").alias("h"), F.bool_or(F.col("side") == "shut").alias("shut")).where(~F.col("shut"))
+    sets = settled(sets.select("item", (F.col("t1") - F.col("t0")).alias("w"), "r", "h"))
+    n_ref, n_hyp = F.size("r"), F.size("h")
+    sums = sets.groupBy("item").agg(F.sum(n_ref * F.col("w")).alias("total"), F.sum(F.greatest(n_ref, n_hyp) * F.col("w")).alias("most"), F.sum(F.greatest(F.lit(0), n_hyp - n_ref) * F.col("w")).alias("extra"))
+    pairs = sets.select("item", "w", F.explode("r").alias("r"), "h").select("item", "w", "r", F.explode("h").alias("h")).groupBy("item", "r", "h").agg(F.sum("w").alias("w"))
+    listed = pairs.groupBy("item").agg(F.collect_list(F.struct("r", "h", "w")).alias("overlaps"))  # a row for each pair of speakers
+    kind = turns.schema["item"].dataType.simpleString()
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            right = []
+            for overlaps in b.column("overlaps").to_pylist():
+                rows, cols = ({k: i for i, k in enumerate(sorted({o[side] for o in overlaps}))} for side in "rh")
+                matrix = np.zeros((len(rows), len(cols)))
+                for o in overlaps:
+                    matrix[rows[o["r"]], cols[o["h"]]] = o["w"]
+                right.append(best_mapping(matrix))
+            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array(right, pa.float64())], names=["item", "right"])
+
+    known = turns.select("item").distinct().join(sums, "item", "left").join(listed.mapInArrow(mapped, f"item {kind}, right double"), "item", "left")
+    wrong = (F.col("most") - F.coalesce("right", F.lit(0.0))) / F.col("total")
+    return known.select("item", F.when(F.coalesce("total", F.lit(0)) > 0, wrong).when(F.coalesce("extra", F.lit(0)) > 0, 1.0).otherwise(0.0).alias("der"))
 
 
 def likeness(a: list[str] | str, b: list[str] | str) -> float:

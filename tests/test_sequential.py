@@ -1,24 +1,10 @@
+import random
+
 import pytest
-from pyspark.sql import functions as F
 
 from murmuration.operators import sequential as S
 
 
-def test_segments(spark):
-    names = "file_id string, pos long, start double, end double, speaker string, text string, unclear boolean, alternatives array<string>"
-    base = [("f", i, i * 0.5, i * 0.5 + 0.5, "A", t, False, None) for i, t in enumerate(["a", "b", "c", "d", "e", "f", "g.", "h", "i"])]
-    base += [("f", 9, 4.5, 5.0, "B", "x", True, ["y"]), ("f", 10, 9.0, 9.5, "B", "z", True, None), ("f", 11, 30.0, 30.5, "B", "w", False, None)]
-    got = S.build_segments(spark.createDataFrame(base, names)).orderBy("start").collect()
-    assert [r.text for r in got] == ["a b c d e f g.", "h i", "x z", "w"]
-
-
-def test_long_spans(spark):
-    spans = spark.createDataFrame([("f", 0.0, 65.0), ("g", 1.0, 5.0)], "file_id string, start double, end double")
-    energy = spark.range(650).select(F.lit("f").alias("file_id"), F.col("id").alias("frame"), F.when(F.col("id").isin(250, 275, 500), 0.0).otherwise(1.0).alias("energy"))
-    got = S.split_long(spans, energy).orderBy("file_id", "start").collect()
-    assert [(r.file_id, round(r.start, 3), round(r.end, 3)) for r in got] == [("f", 0.0, 25.05), ("f", 25.05, 50.05), ("f", 50.05, 65.0), ("g", 1.0, 5.0)]
-
-
 @pytest.mark.parametrize(
     "ref, hyp, want",
     [
@@ -32,6 +18,38 @@ def test_diarization(spark, ref, hyp, want):
     assert got.der == pytest.approx(want)
 
 
+def framewise(rows, collar, best):
+    """By the definition, frame by frame, with every mapping tried."""
+    half = round(collar * 100)
+    turns = [(side, who, round(s * 100), round(e * 100)) for side, s, e, who in rows]
+    last = max((e for *_, e in turns), default=0) + half
+    shut = {t for side, _, s, e in turns if side == "ref" for x in (s, e) for t in range(max(0, x - half), x + half)}
+    frames = [t for t in range(last) if t not in shut]
+    active = {t: ({w for d, w, s, e in turns if d == "ref" and s <= t < e}, {w for d, w, s, e in turns if d == "hyp" and s <= t < e}) for t in frames}
+    total = sum(len(r) for r, _ in active.values())
+    if not total:
+        return 1.0 if any(h for _, h in active.values()) else 0.0
+    refs, hyps = sorted({w for d, w, *_ in turns if d == "ref"}), sorted({w for d, w, *_ in turns if d == "hyp"})
+    hyps += [None] * len(refs)
+    right = max(sum(sum(1 for a, b in active.values() if r in a and h in b) for r, h in zip(refs, chosen) if h) for chosen in best(hyps, len(refs)))
+    return (sum(max(len(r), len(h)) for r, h in active.values()) - right) / total
+
+
+def test_diarization_frame_by_frame(spark):
+    import itertools
+
+    rng = random.Random(6)
+    items = {}
+    for i in range(12):
+        items[i] = [(side, a / 10, (a + rng.randrange(1, 25)) / 10, f"{side[0]}{rng.randrange(3)}") for side in ("ref", "hyp") for a in (rng.randrange(60) for _ in range(rng.randrange(0, 6)))]
+    items = {i: t for i, t in items.items() if t}
+    rows = [(i, *t) for i, own in items.items() for t in own]
+    df = spark.createDataFrame(rows, "item int, side string, start double, end double, speaker string")
+    for collar in (0.0, 0.25):
+        got = {r.item: r.der for r in S.diarization_error(df, collar, width=1.0).collect()}
+        assert got == {i: pytest.approx(framewise(own, collar, itertools.permutations)) for i, own in items.items()}
+
+
 def test_refined(spark):
     seg = spark.createDataFrame([("f", 0, "the cat sat on a mat"), ("f", 1, "hello"), ("f", 2, "keep me here please")], "file_id string, pos int, text string")
     new = spark.createDataFrame([("f", 0, "The cat sat on the mat."), ("f", 1, "utterly different words"), ("f", 2, " ")], "file_id string, pos int, text string")
