@@ -21,7 +21,12 @@ def test_diarization(spark, ref, hyp, want):
 def framewise(rows, collar, best):
     """By the definition, frame by frame, with every mapping tried."""
     half = round(collar * 100)
-    turns = [(side, who, round(s * 100), round(e * 100)) for side, s, e, who in rows]
+    turns: list = []
+    for side, who, s, e in sorted((side, who, round(s * 100), round(e * 100)) for side, s, e, who in rows):  # a speaker's turns that touch are one
+        if turns and turns[-1][:2] == (side, who) and s <= turns[-1][3]:
+            turns[-1] = (side, who, turns[-1][2], max(e, turns[-1][3]))
+        else:
+            turns.append((side, who, s, e))
     last = max((e for *_, e in turns), default=0) + half
     shut = {t for side, _, s, e in turns if side == "ref" for x in (s, e) for t in range(max(0, x - half), x + half)}
     frames = [t for t in range(last) if t not in shut]
