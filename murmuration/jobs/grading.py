@@ -50,23 +50,24 @@ def skipped_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_changes(spark: SparkSession, d: str) -> DataFrame:
-    """What each stage of a conversation changed against the one before; turns are stages, of which every conversation has some (CMP-9)."""
+    """What each stage of an item changed against the one before; five turns of a conversation are an item's stages (CMP-9)."""
     stage = F.element_at(F.array(*map(F.lit, ("pick", "refine", "fused", "verify", "other"))), (F.col("pos") % 5 + 1).cast("int"))
-    rows = segments(spark, d).where("pos < 5").select(F.lit("s").alias("system"), F.col("file_id").alias("id"), stage.alias("stage"), "text")
+    item = F.concat_ws("-", F.col("file_id").cast("string"), F.floor(F.col("pos") / 5).cast("string"))
+    rows = segments(spark, d).select(F.lit("s").alias("system"), item.alias("id"), stage.alias("stage"), "text")
     return scoring.stage_edits(rows).select("id", "stage", F.length("before").alias("before"), F.length("after").alias("after"))
 
 
 STAGES_SQL = f"""
-WITH s AS (SELECT file_id AS id, (['pick', 'refine', 'fused', 'verify', 'other'])[pos % 5 + 1] AS stage, ([2, 4, 1, 3, 0])[pos % 5 + 1] AS n, length(text) AS size FROM {S} WHERE pos < 5)
+WITH s AS (SELECT concat(file_id, '-', pos // 5) AS id, (['pick', 'refine', 'fused', 'verify', 'other'])[pos % 5 + 1] AS stage, ([2, 4, 1, 3, 0])[pos % 5 + 1] AS n, length(text) AS size FROM {S})
 SELECT id, stage, lag(size) OVER (PARTITION BY id ORDER BY n) AS before, size AS after FROM s WHERE n > 0 QUALIFY before IS NOT NULL
 """
 
 
 def ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as records of six systems over parts, a profile key for each return flag; a part in ten says nothing and counts for all keys."""
-    system = F.element_at(F.array(*map(F.lit, (*profiles.SINGLES, *profiles.CHAIN))), F.col("l_linenumber"))
+    """Line items as records of six systems over parts, those of a seventh line as another system that no profile uses; a part in ten says nothing and counts for all keys."""
+    system = F.element_at(F.array(*map(F.lit, (*profiles.SINGLES, *profiles.CHAIN, "other"))), F.col("l_linenumber"))
     silent = F.col("l_partkey") % 10 == 0
-    l = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 6")  # noqa: E741
+    l = spark.read.parquet(f"{d}/lineitem.parquet")  # noqa: E741
     key = F.when(silent, "*").when(F.col("l_partkey") % 3 == 0, "en").when(F.col("l_partkey") % 3 == 1, "es").otherwise("other")
     q = F.col("l_quantity").cast("double")
     rows = l.select(key.alias("key"), F.col("l_partkey").cast("string").alias("id"), system.alias("system"), silent.alias("empty_ref"), F.when(~silent, (q - F.col("l_linenumber") * 2) / 500).alias("wer"), (q % 7).alias("ins"), (q + 5).alias("duration"), (q % 5).cast("long").alias("q"))
@@ -342,7 +343,7 @@ JOBS = {
     "talk_length": (talks, "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) BETWEEN 300 AND 1700 AND length(text) / 14 <= 600 GROUP BY 1"),
     "first_majority": (lambda s, d: metrics.first_majority(words(s, d), "file_id", "label", "pos"), f"WITH n AS (SELECT file_id, label, count(*) AS n, min(pos) AS p FROM {Wd} GROUP BY 1, 2) SELECT file_id, label AS winner FROM n QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, p) = 1"),
     "item_wers": (
-        lambda s, d: scoring.item_wers(ladder(s, d).where("wer is not null"), "key", "system").select("key", "system", F.size("item_wer").alias("items")),
-        "WITH l AS (SELECT DISTINCT CASE l_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'other' END AS key, (['single-a', 'single-b', 'fused', '+pick', '+verify', '+refine'])[l_linenumber] AS system, l_partkey FROM lineitem WHERE l_linenumber <= 6 AND l_partkey % 10 != 0) SELECT key, system, CAST(count(*) AS INTEGER) AS items FROM l GROUP BY 1, 2",
+        lambda s, d: scoring.item_wers(ladder(s, d), "key", "system").select("key", "system", "id", F.round("wer", 6).alias("wer")),
+        "SELECT CASE l_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'other' END AS key, (['single-a', 'single-b', 'fused', '+pick', '+verify', '+refine', 'other'])[l_linenumber] AS system, CAST(l_partkey AS VARCHAR) AS id, round(avg((CAST(l_quantity AS DOUBLE) - l_linenumber * 2) / 500), 6) AS wer FROM lineitem WHERE l_partkey % 10 != 0 GROUP BY 1, 2, 3",
     ),
 }

@@ -66,9 +66,9 @@ def read_corpus(spark: SparkSession, path: str, columns: list[str], rows: DataFr
     return df.join(rows.select("rn", "place"), "rn").orderBy("place").drop("place")
 
 
-def read_outputs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Outputs of every system and item, a JSON document each, as they were written (SRC-4); `fresh` tells which still count."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_outputs(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Outputs of every system and item, a JSON document each, in files of their own or line by line, as they were written (SRC-4); `fresh` tells which still count."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def fresh(outputs: DataFrame, items: DataFrame, slack: float = 0.01) -> DataFrame:
