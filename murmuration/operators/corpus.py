@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from murmuration.operators.ranks import leading_bytes, placed
+from murmuration.operators.ranks import placed
 
 
 def pick_speakers(utts: DataFrame, n: int, seconds: float) -> DataFrame:
     """Evenly spread speakers in order of (length, name), the first utterances of each until its budget is crossed (TOP-3, TOP-4)."""
     names = utts.select("speaker").where("speaker is not null").distinct()
-    ranked = placed(names, [], [F.length("speaker"), "speaker"], F.length("speaker"), "_r")
+    ranked = placed(names, [], [F.length("speaker"), "speaker"], "_r")
     stride = F.greatest(F.lit(1), F.floor(F.lit(names.count() / n)))
     chosen = ranked.where((F.col("_r") % stride == 0) & (F.col("_r") / stride < n)).select("speaker")
     before = F.coalesce(F.sum("seconds").over(W.partitionBy("speaker").orderBy("rn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
@@ -28,9 +28,9 @@ def round_robin(utts: DataFrame, key: str, run: int = 3, offset: int = 0) -> Dat
     if offset:
         names = utts.select(key, "speaker").distinct()
         sizes = names.groupBy(key).agg(F.count("*").alias("_k"))
-        seats = placed(names, [key], ["speaker"], leading_bytes(F.col("speaker")), "_p").join(sizes, key).select(key, "speaker", F.pmod(F.col("_p") - offset, "_k").alias("_seat"))
+        seats = placed(names, [key], ["speaker"], "_p").join(sizes, key).select(key, "speaker", F.pmod(F.col("_p") - offset, "_k").alias("_seat"))
         turn, who = turn.join(seats, [key, "speaker"]), "_seat"
-    return placed(turn, [key], ["turn", who, "rn"], F.col("turn"), "_at").withColumn("place", F.col("_at") + 1).drop("_at", "_seat")
+    return placed(turn, [key], ["turn", who, "rn"], "_p").withColumn("place", F.col("_p") + 1).drop("_p", "_seat")
 
 
 def choose_smoke(items: DataFrame, per_kind: int = 2) -> DataFrame:
@@ -50,8 +50,8 @@ def derive_items(items: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """Noisy copies: the k-th item of a split gets the k-th combination, cyclically (J-11)."""
     spark = items.sparkSession
     combos = spark.createDataFrame([(i, k, d) for i, (k, d) in enumerate(kinds)], "_c int, kind string, snr int")
-    numbered = placed(items, ["slice", "split"], ["id"], leading_bytes(F.col("id")), "_k").withColumn("_c", (F.col("_k") % len(kinds)).cast("int"))
-    return numbered.join(F.broadcast(combos), "_c").select("slice", "split", F.concat_ws("-", "id", F.concat("kind", F.col("snr").cast("string"))).alias("id"), "kind", "snr", "duration")
+    numbered = placed(items, ["slice", "split"], ["id"], "_k").withColumn("_c", (F.col("_k") % len(kinds)).cast("int"))
+    return numbered.join(combos, "_c").select("slice", "split", F.concat_ws("-", "id", F.concat("kind", F.col("snr").cast("string"))).alias("id"), "kind", "snr", "duration")
 
 
 def with_status(summaries: DataFrame, slices: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from murmuration.operators import ranks
+
 
 def share(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
@@ -110,12 +112,11 @@ def restricted(records: DataFrame, systems: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, value, _rank) of the distinct values, ties at their average rank; rows may carry how often they occur as _n.
 
-    Only counts of distinct values are ordered: rows of one value are one row before the sort.
+    Rows of one value are counted first; the distinct values are placed over ranges, so a slice of continuous values is no task of its own.
     """
     counts = df.groupBy(*keys, value).agg((F.sum("_n") if "_n" in df.columns else F.count("*")).alias("_n"))
-    w = W.partitionBy(*keys).orderBy(value)
-    below = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(*keys, value, (below + (F.col("_n") + 1) / 2).alias("_rank"))
+    below = ranks.placed(counts, list(keys), [value], "_below", weight="_n")
+    return below.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 2) -> DataFrame:
@@ -124,8 +125,8 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 2) -> DataF
     Equal pairs are counted first; ranks come from the counts of distinct values and are joined back.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
-    ranks = lambda c, out: average_ranks(pairs.select(*keys, c, "_n"), c, *keys).withColumnRenamed("_rank", out)
-    met = pairs.join(ranks("_x", "_a"), [*keys, "_x"]).join(ranks("_y", "_b"), [*keys, "_y"])
+    rank = lambda c, out: average_ranks(pairs.select(*keys, c, "_n"), c, *keys).withColumnRenamed("_rank", out)
+    met = pairs.join(rank("_x", "_a"), [*keys, "_x"]).join(rank("_y", "_b"), [*keys, "_y"])
     n, total = F.col("_n"), F.sum("_n")
     sums = met.groupBy(*keys).agg(total.alias("n"), *[F.sum(n * e).alias(f"_{i}") for i, e in enumerate((F.col("_a"), F.col("_b"), F.col("_a") * F.col("_b"), F.col("_a") ** 2, F.col("_b") ** 2))])
     cov = F.col("_2") - F.col("_0") * F.col("_1") / F.col("n")

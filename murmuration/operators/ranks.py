@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKETS = 64
+from murmuration.operators.matching import settled
 
 
-def placed(df: DataFrame, keys: list[str], order: list, value: Column, out: str = "place") -> DataFrame:
-    """Adds the 0-based place within the keys in `order`, of which `value` is a number that never falls.
+def placed(df: DataFrame, keys: list[str], order: list, out: str = "place", weight: str | None = None) -> DataFrame:
+    """Adds the 0-based place within the keys in `order`, or with `weight` the sum of that column over the rows before.
 
-    Approximate quantiles of the number cut every key into buckets; rows are numbered within their bucket, and counts of
-    the buckets before give where it starts. The places are exact whatever the quantiles are. Keys aren't null.
+    Rows are dealt in ranges of keys and order, cut at sampled quantiles, and sorted within them; equal ones go by a hash of the whole row. A row's
+    place within its range and one count for each key and range give its place, so ids that share a long beginning, and
+    keys of any size, spread over tasks like any others.
     """
-    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("_q")
-    rows = df.withColumn("_v", F.coalesce(value.cast("double"), F.lit(float("-inf"))))
-    bounds = rows.where(F.col("_v") > float("-inf")).groupBy(*keys).agg(cuts)
-    met = rows.join(bounds, keys, "left") if keys else rows.crossJoin(bounds)  # without keys one row of bounds
-    cut = met.withColumn("_b", F.coalesce(F.size(F.filter("_q", lambda q: q < F.col("_v"))), F.lit(0))).drop("_q", "_v")
-    counts = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1
-    return cut.withColumn("_i", inside).join(starts, [*keys, "_b"]).withColumn(out, F.col("_s") + F.col("_i")).drop("_b", "_i", "_s")
-
-
-def leading_bytes(text: Column) -> Column:
-    """The first seven bytes of a text as a number in the order of the texts."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    by = [*keys, *order, F.xxhash64(*df.columns)]
+    held = settled(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    rows = held.withColumns({"_part": F.shiftright("_at", 33), "_w": F.col(weight) if weight else F.lit(1)})
+    counts = rows.groupBy(*keys, "_part").agg(F.sum("_w").alias("_c"), F.min("_at").alias("_low"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_part", "_low", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    met = rows.join(starts, [*keys, "_part"])
+    if weight:
+        inside = F.coalesce(F.sum("_w").over(W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    else:
+        inside = F.col("_at") - F.col("_low")
+    return met.withColumn(out, F.col("_s") + inside).drop("_at", "_part", "_w", "_s", "_low")

@@ -90,12 +90,23 @@ def test_profiles_of_records(spark):
 def test_places_without_one_task(spark):
     rng = random.Random(5)
     base = [(k, rng.choice([1, 1, 1, 2, 5, 100, -7]), i) for k in "ab" for i in range(300)]
-    got = ranks.placed(spark.createDataFrame(base, "k string, v int, i int").repartition(5), ["k"], ["v", "i"], F.col("v"))
+    got = ranks.placed(spark.createDataFrame(base, "k string, v int, i int").repartition(5), ["k"], ["v", "i"])
     for k in "ab":
         own = sorted((r for r in got.collect() if r.k == k), key=lambda r: r.place)
         assert [r.place for r in own] == list(range(300)) and [(r.v, r.i) for r in own] == sorted((v, i) for x, v, i in base if x == k)
     names = spark.createDataFrame([(w,) for w in ("item-2", "item-10", "b", "é", "")], "w string")
-    assert [r.w for r in ranks.placed(names, [], ["w"], ranks.leading_bytes(F.col("w"))).orderBy("place").collect()] == ["", "b", "item-10", "item-2", "é"]
+    assert [r.w for r in ranks.placed(names, [], ["w"]).orderBy("place").collect()] == ["", "b", "item-10", "item-2", "é"]
+    weighed = spark.createDataFrame([("a", v, v % 3 + 1) for v in range(50)], "k string, v int, n int").repartition(7)
+    assert [r.place for r in ranks.placed(weighed, ["k"], [F.desc("v")], weight="n").orderBy("place").collect()] == [sum(v % 3 + 1 for v in range(w + 1, 50)) for w in range(49, -1, -1)]
+
+
+def test_places_of_ids_of_one_beginning(spark):
+    """A hundred thousand ids of one key and one long prefix: every place once, and no range with many more rows than others."""
+    ids = spark.range(100_000).select(F.lit("s").alias("k"), F.concat(F.lit("en_clean-corpus-speaker-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("id")).repartition(8)
+    got = ranks.placed(ids, ["k"], ["id"])
+    assert got.where(F.col("place") != F.substring("id", -9, 9).cast("long")).count() == 0 and got.count() == 100_000
+    sizes = [r["count"] for r in ids.repartitionByRange(8, "k", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 100_000 / 8
 
 
 def test_spread(spark):
