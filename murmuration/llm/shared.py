@@ -152,12 +152,13 @@ def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str = "sl
     """Gapless 0-based positions within keys, ordered by `order`; keys aren't null.
 
     Rows are dealt in ranges of (keys, order, place of reading), cut at sampled quantiles, so sparse, equal and
-    null values of the order spread over tasks like any others. A row's place within its task and one count
+    null values of the order spread over tasks like any others. The place is written down with the row first, so a task that runs again finds the same
+    rows, and sampling doesn't work them out twice. A row's place within its task and one count
     for each key and task give its position.
     """
     tie, at, part, low, n, start = fresh(df, "tie", "at", "part", "low", "n", "start")
     by = [*keys, *order, tie]
-    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = materialize(df.withColumn(tie, F.monotonically_increasing_id())).repartitionByRange(*by).sortWithinPartitions(*by)
     placed = materialize(ranged.withColumn(at, F.monotonically_increasing_id()).drop(tie)).withColumn(part, F.shiftright(at, 33))
     counts = placed.groupBy(*keys, part).agg(F.min(at).alias(low), F.count("*").alias(n))
     before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
