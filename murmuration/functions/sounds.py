@@ -87,8 +87,8 @@ def with_dictionary(pairs: DataFrame, lexicon: DataFrame, a: str = "a", b: str =
     A word with an apostrophe that isn't found is looked up without it, then without a final 's, which adds Z.
     Digits stand for themselves. Words meet the lexicon in ordinary joins.
     """
-    key = F.monotonically_increasing_id()
-    rows = pairs.withColumn("_row", key)
+    key = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))  # equal pairs are one, and nulls in a struct are equal
+    rows = pairs.select(a, b).distinct().withColumn("_row", key)
     side = lambda c, n: rows.select("_row", F.lit(n).alias("_side"), F.posexplode(F.regexp_extract_all(english_words(F.col(c)), F.lit(r"([a-z']+|\d)"), F.lit(1))).alias("_i", "w"))
     words = side(a, 0).unionByName(side(b, 1))
     one = F.array(*[F.lit(p) for p in ARPABET])
@@ -103,6 +103,6 @@ def with_dictionary(pairs: DataFrame, lexicon: DataFrame, a: str = "a", b: str =
     best = found.groupBy("_row", "_side", "_i").agg(F.min_by("code", F.when(F.col("code").isNotNull(), F.col("k"))).alias("code"))
     sounds = best.groupBy("_row", "_side").agg(F.bool_and(F.col("code").isNotNull()).alias("all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("code", F.lit("")).alias("c")))), lambda x: x["c"]), "").alias("s"))
     by_row = sounds.groupBy("_row").agg(F.bool_and("all").alias("_all"), F.max(F.when(F.col("_side") == 0, F.col("s"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("s"))).alias("_b"))
-    met = rows.join(by_row, "_row", "left")
+    met = pairs.withColumn("_row", key).join(by_row, "_row", "left")
     said = sound_distance(F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit("")))
     return met.withColumn("distance", F.when(F.coalesce("_all", F.lit(True)), said).otherwise(sound_distance(metaphone(F.col(a)), metaphone(F.col(b))))).drop("_row", "_all", "_a", "_b")

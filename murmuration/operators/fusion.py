@@ -180,7 +180,7 @@ def timing_agreement(slots: DataFrame, *keys: str) -> DataFrame:
 
 def compose(records: DataFrame, keys: DataFrame, ladder: DataFrame) -> DataFrame:
     """Each item's record of the system that its profile key selects (J-15)."""
-    chosen = keys.join(F.broadcast(ladder), "key").select("id", "system")  # a row for each profile key
+    chosen = keys.join(ladder, "key").select("id", "system")  # a row for each profile key
     return records.join(chosen, ["id", "system"])
 
 

@@ -35,7 +35,7 @@ def collapse_labels(frames: DataFrame, vocab: DataFrame, repeat: int, blank: int
     w = W.partitionBy("file_id").orderBy("frame")
     marked = islands(frames, ["file_id"], ["frame"], F.col("label") != F.lag("label").over(w), "run")
     runs = marked.groupBy("file_id", "run", "label").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("z"), F.avg("margin").alias("score"))
-    named = runs.join(F.broadcast(vocab.select("label", "text")), "label", "left")  # a fixed vocabulary of some thousand words
+    named = runs.join(vocab.select("label", "text"), "label", "left")  # a fixed vocabulary of some thousand words
     said = F.when((F.col("label") != repeat) & (F.col("label") != blank), F.col("text"))
     last = F.last(said, ignorenulls=True).over(W.partitionBy("file_id").orderBy("run"))
     out = named.withColumn("text", F.when(F.col("label") == repeat, last).otherwise(said)).where(F.col("text").isNotNull())

@@ -276,7 +276,7 @@ def least_squares(df: DataFrame, y: str, features: list[str], ridge: float = 0.0
 
 def select_profile(keys: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profile of the key, else of its language, else the default `*`; all but the first unvalidated (J-8)."""
-    p = lambda alias: F.broadcast(profiles.select(F.col("key").alias(alias), F.col("margin").alias(f"{alias}_margin")))  # noqa: E731  a row per profile key, tens at most
+    p = lambda alias: profiles.select(F.col("key").alias(alias), F.col("margin").alias(f"{alias}_margin"))  # noqa: E731  a row per profile key, tens at most
     lang = keys.withColumns({"k1": F.col("routing_key"), "k2": F.split_part("routing_key", F.lit("-"), F.lit(1)), "k3": F.lit("*")})
     met = lang.join(p("k1"), "k1", "left").join(p("k2"), "k2", "left").join(p("k3"), "k3", "left")
     return met.select(*keys.columns, F.coalesce("k1_margin", "k2_margin", "k3_margin").alias("margin"), F.col("k1_margin").isNull().alias("unvalidated"))

@@ -76,7 +76,7 @@ def decide_profiles(records: DataFrame, effects: DataFrame, n: int = 2000) -> Da
     aggregated by Spark.
     """
     keys = records.where("key != '*'").select("key").distinct()
-    everywhere = records.where("key = '*'").drop("key").crossJoin(F.broadcast(keys))  # profile keys, tens at most
+    everywhere = records.where("key = '*'").drop("key").crossJoin(keys)  # profile keys, tens at most
     all_ = records.where("key != '*'").unionByName(everywhere.select(records.columns))
     spoken = all_.where("wer is not null")
     ladder = chain_of(spoken)
