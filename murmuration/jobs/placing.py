@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.functions import parsing, rules, sounds
+from murmuration.functions import parsing, rules, sounds, tables
 from murmuration.jobs.domain import SEGMENTS, WORDS, duck_table, spark_table
 from murmuration.jobs.evaluation import rounded
 from murmuration.jobs.grading import terms, transcript
@@ -154,6 +154,13 @@ def unlike(spark: SparkSession, d: str) -> DataFrame:
     return sequential.apply_refined(s, new).groupBy("speaker", k.alias("kind")).agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.count_if("guarded").alias("guarded"))
 
 
+def kept_shots(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as shots of eight pixels, and how many slides each user has (TOP-9)."""
+    thumb = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.col("event_id") * (i + 3) % 7 * 30 + F.col("event_id") % 11).cast("double"))
+    shots = words(spark, d).select(F.col("file_id").alias("video_id"), F.col("pos").alias("shot"), thumb.alias("thumb"))
+    return sequential.distinct_shots(shots).groupBy("video_id").agg(F.count("*").alias("shots"), F.count_distinct("slide").alias("slides"))
+
+
 # ---------------------------------------------------------------- runs
 
 
@@ -287,7 +294,33 @@ p AS (SELECT file_id, word, row_number() OVER (PARTITION BY file_id ORDER BY seg
 SELECT file_id, CAST(pos // 25 AS INTEGER) AS chunk, count(*) AS words, count(*) FILTER (WHERE pos % 10 != 4) AS sure, count(*) FILTER (WHERE pos % 9 = 0) AS unclear, min_by(word, pos) AS first FROM p GROUP BY 1, 2
 """
 
+
+# ---------------------------------------------------------------- table functions
+
+
+def lateral_grams(spark: SparkSession, d: str) -> DataFrame:
+    """Words and pairs of words of every turn beside it, in a lateral join, counted by role."""
+    tables.register(spark)
+    sql = "SELECT t.speaker, g.n, count(*) AS grams, count(DISTINCT g.gram) AS kinds, count(g.w2) AS seconds, max(g.pos) AS furthest FROM {turns} t, LATERAL word_grams(t.text, 2) g GROUP BY 1, 2"
+    return spark.sql(sql, turns=segments(spark, d))
+
+
+GRAMS_SQL = f"""
+WITH w AS (SELECT file_id, pos AS seg, speaker, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x != '') AS w FROM {S}),
+g AS (SELECT speaker, i AS pos, n, array_to_string(w[i + 1 : i + n], ' ') AS gram FROM w, range(len(w)) r(i), range(1, 3) m(n) WHERE i + n <= len(w))
+SELECT speaker, CAST(n AS INTEGER) AS n, count(*) AS grams, count(DISTINCT gram) AS kinds, count(*) FILTER (WHERE n = 2) AS seconds, CAST(max(pos) AS INTEGER) AS furthest FROM g GROUP BY 1, 2
+"""
+
+
+def sliding_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every three events in a row of a user, by a table function that asks for its partitioning."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM word_windows(TABLE(SELECT file_id, pos, text FROM {w}), 3)", w=words(spark, d))
+
+
 JOBS = {
+    "lateral_grams": (lateral_grams, GRAMS_SQL),
+    "sliding_words": (sliding_words, f"SELECT file_id, pos AS first, lead(pos, 2) OVER w AS last, concat_ws(' ', text, lead(text) OVER w, lead(text, 2) OVER w) AS words FROM {Wd} WINDOW w AS (PARTITION BY file_id ORDER BY pos) QUALIFY last IS NOT NULL"),
     "build_segments": (built, BUILT_SQL),
     "split_long": (split, SPLIT_SQL),
     "diarization_error": (turns_apart, TURNS_SQL),
@@ -296,6 +329,7 @@ JOBS = {
     "timing_agreement": (agreement, f"SELECT label, round(quantile_cont(event_id % 10, 0.5), 6) AS median, round(quantile_cont(event_id % 10, 0.9), 6) AS p90, count(*) AS matched FROM {Wd} WHERE event_id % 3 != 0 AND event_id % 13 != 0 AND event_id % 17 != 0 GROUP BY 1"),
     "clamp_words": (clamped, f'SELECT file_id, pos AS chunk, round(start + 1, 6) AS start, round(greatest(start + 1, least("end", greatest(start + 1, "end" - 2))), 6) AS "end" FROM {S}'),
     "refined_segments": (unlike, None),
+    "distinct_shots": (kept_shots, None),
     "collapse_builds": (built_up, BUILT_UP_SQL),
     "conversation_blocks": (blocks, BLOCKS_SQL),
     "trailing_ghosts": (last_ghosts, GHOSTS_SQL),

@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,19 +127,45 @@ def apply_refined(segments: DataFrame, refined: DataFrame) -> DataFrame:
 
 
 def distinct_shots(shots: DataFrame, same: float = 0.0003, pixel: float = 40.0) -> DataFrame:
-    """Shots of a video against those kept before (TOP-9): a shot joins the first kept one that it hardly differs from."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shot")
-        kept: list[tuple[int, np.ndarray]] = []
-        out = []
-        for n, thumb in zip(pdf["shot"], pdf["thumb"]):
-            x = np.asarray(thumb, float)
-            home = next((k for k, y in kept if (np.abs(x - y) > pixel).mean() <= same), None)
-            if home is None:
-                kept.append((n, x))
-                home = n
-            out.append(home)
-        return pd.DataFrame({"video_id": key[0], "shot": pdf["shot"].to_numpy(), "slide": out})
-
-    return shots.groupBy("video_id").applyInPandas(run, f"video_id {shots.schema['video_id'].dataType.simpleString()}, shot long, slide long")
+    """(video_id, shot, slide): shots (video_id, shot, thumb) against those kept before (TOP-9): a shot joins the first kept one that it hardly differs from.
+
+    Two shots are alike if at most a share `same` of the pixels is more than `pixel` apart. Of one block more than pixels may change, one is then alike throughout, and so are the means of
+    its halves. Means are cut into cells of that width, so alike shots meet in one of nine cells of some block. Who keeps a
+    slide is decided in rounds: a shot before all undecided ones that it meets is kept, and those alike to it are settled. Shots meet only kept
+    ones in full, so a slide that is shown often makes no pairs with itself. A null thumb is kept by itself.
+    """
+    keys = ["video_id", "_n", "_k", "_a", "_b"]
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size(x), F.lit(1))
+    thumbs = settled(shots.select("video_id", F.col("shot").cast("long").alias("shot"), F.col("thumb").cast("array<double>").alias("t")))
+    n = F.size("t")
+    blocks = F.floor(F.lit(same) * n + 1e-9).cast("int") + 1
+    cut = lambda k: F.floor(F.col(k) * n / blocks).cast("int")
+    parts = thumbs.where("t is not null").withColumn("_k", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"_next": F.col("_k") + 1})
+    parts = parts.withColumns({"_s": cut("_k"), "_e": cut("_next")}).withColumn("_m", F.floor((F.col("_s") + F.col("_e")) / 2).cast("int"))
+    cell = lambda lo, hi: F.floor(mean(F.expr(f"slice(t, {lo} + 1, {hi} - {lo})")) / pixel).cast("long")
+    marks = settled(parts.select("video_id", "shot", n.alias("_n"), "_k", cell("_s", "_m").alias("_a"), cell("_m", "_e").alias("_b")))
+
+    def probes(df: DataFrame) -> DataFrame:
+        near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+        return df.withColumn("_i", near).withColumn("_j", near).withColumns({"_a": F.col("_a") + F.col("_i"), "_b": F.col("_b") + F.col("_j")}).drop("_i", "_j")
+
+    def alike(later: DataFrame, kept: DataFrame) -> DataFrame:
+        """(video_id, shot, slide) of shots that are alike to a kept one before them."""
+        met = marks.join(later, ["video_id", "shot"], "left_semi").join(probes(marks.join(kept, ["video_id", "shot"], "left_semi")).withColumnRenamed("shot", "slide"), keys)
+        pairs = met.where("slide < shot").select("video_id", "shot", "slide").distinct()
+        both = pairs.join(thumbs, ["video_id", "shot"]).join(thumbs.select("video_id", F.col("shot").alias("slide"), F.col("t").alias("y")), ["video_id", "slide"])
+        far = F.size(F.filter(F.zip_with("t", "y", lambda x, y: F.abs(x - y)), lambda d: d > pixel))
+        return both.where(far / F.greatest(F.size("t"), F.lit(1)) <= same).select("video_id", "shot", "slide")
+
+    open_ = settled(marks.select("video_id", "shot").distinct())
+    kept = thumbs.where("t is null").select("video_id", "shot")
+    while not open_.isEmpty():
+        own = marks.join(open_, ["video_id", "shot"], "left_semi")
+        first = own.groupBy(*keys).agg(F.min("shot").alias("_f"))
+        new = settled(probes(own).join(first, keys).groupBy("video_id", "shot").agg(F.min("_f").alias("_f")).where("_f = shot").select("video_id", "shot"))
+        rest = open_.join(new, ["video_id", "shot"], "left_anti")
+        open_ = settled(rest.join(alike(rest, new), ["video_id", "shot"], "left_anti"))
+        kept = kept.unionByName(new)
+    kept = settled(kept)
+    homes = alike(thumbs.select("video_id", "shot").join(kept, ["video_id", "shot"], "left_anti"), kept).groupBy("video_id", "shot").agg(F.min("slide").alias("slide"))
+    return kept.select("video_id", "shot", F.col("shot").alias("slide")).unionByName(homes)

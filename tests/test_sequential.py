@@ -66,3 +66,25 @@ def test_shots(spark):
     rows = [(1, i, [float(v)] * 4) for i, v in enumerate([0, 100, 5, 103, 200])]
     got = S.distinct_shots(spark.createDataFrame(rows, "video_id long, shot long, thumb array<double>")).orderBy("shot").collect()
     assert [r.slide for r in got] == [0, 1, 0, 1, 4]
+
+
+def test_shots_against_a_walk(spark):
+    """Shots a few pixels apart, chains of ones alike, repeats; with no, one and more pixels that may change."""
+    rng = random.Random(2)
+    rows, pool = [], []
+    for v in range(3):
+        for i in range(60):
+            x = [float(rng.randrange(0, 255)) for _ in range(12)] if not pool or rng.random() < 0.3 else list(rng.choice(pool))
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(12)] += rng.choice([-45, -40, 39, 40, 41, 90])
+            pool.append(x)
+            rows.append((v, i, x))
+    df = spark.createDataFrame([*rows, (9, 1, None), (9, 2, [])], "video_id long, shot long, thumb array<double>").repartition(3)
+    for same in (0.0003, 0.1, 0.2):
+        want, kept = {(9, 1): 1, (9, 2): 2}, {}
+        for v, i, x in rows:
+            home = next((k for k, y in kept.get(v, []) if sum(abs(a - b) > 40 for a, b in zip(x, y)) / 12 <= same), None)
+            if home is None:
+                kept.setdefault(v, []).append((i, x))
+            want[v, i] = i if home is None else home
+        assert {(r.video_id, r.shot): r.slide for r in S.distinct_shots(df, same).collect()} == want
