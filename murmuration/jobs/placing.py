@@ -329,7 +329,7 @@ JOBS = {
     "timing_agreement": (agreement, f"SELECT label, round(quantile_cont(event_id % 10, 0.5), 6) AS median, round(quantile_cont(event_id % 10, 0.9), 6) AS p90, count(*) AS matched FROM {Wd} WHERE event_id % 3 != 0 AND event_id % 13 != 0 AND event_id % 17 != 0 GROUP BY 1"),
     "clamp_words": (clamped, f'SELECT file_id, pos AS chunk, round(start + 1, 6) AS start, round(greatest(start + 1, least("end", greatest(start + 1, "end" - 2))), 6) AS "end" FROM {S}'),
     "refined_segments": (unlike, None),
-    "distinct_shots": (kept_shots, None),
+    "distinct_shots": (kept_shots, f"SELECT file_id AS video_id, count(*) AS shots, count(DISTINCT event_id % 7) AS slides FROM {Wd} GROUP BY 1"),
     "collapse_builds": (built_up, BUILT_UP_SQL),
     "conversation_blocks": (blocks, BLOCKS_SQL),
     "trailing_ghosts": (last_ghosts, GHOSTS_SQL),
