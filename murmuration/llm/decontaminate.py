@@ -238,7 +238,11 @@ def report(docs: DataFrame, items: DataFrame, **rule: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **rule: int) -> DataFrame:
-    """The documents without a verified overlap, all columns."""
+    """The documents without a verified overlap, all columns.
+
+    Null and empty texts and rows with a null doc_id stay. A doc_id with an overlap in one of its rows goes with all of them; repeated rows go or stay together. No document
+    or no item: all stay. Extra columns go along, whatever they are called but for a second doc_id or text.
+    """
     bad = shared.materialize(overlaps(docs, items, **rule).select("doc_id").distinct())
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 

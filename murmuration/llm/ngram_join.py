@@ -321,7 +321,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, per_
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; rows with a null doc_id stay."""
+    """The documents without those that have a smaller doc_id in their component, all columns.
+
+    Rows with a null doc_id stay, as do texts without words. Rows that repeat a doc_id stay or go together. Extra columns go along; an empty table stays empty.
+    """
     found = near_duplicates(docs, percent)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -443,7 +443,8 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeats cut out of text, and n_chars (if there is one) counted anew.
 
-    A span is narrowed to whole characters. Documents of which nothing is left stay, with an empty text.
+    A span is narrowed to whole characters. Documents of which nothing is left stay, with an empty text. Null texts stay null. Equal rows of one doc_id are one document
+    and are cut alike; different texts of one doc_id, or without any, are documents of their own, in the order of `numbered`. Extra columns go along; an empty table stays empty.
     """
     names = [c if c in ("doc_id", "text", "n_chars") else f"u{i}" for i, c in enumerate(docs.columns)]  # whatever the others are called
     docs, given = docs.toDF(*names), docs.columns

@@ -339,7 +339,11 @@ def tag(docs: DataFrame, field: Field, keep_spans: bool = True) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the score accepts, all columns; the scoring joins nothing, texts are scored where they are read."""
+    """The documents that the score accepts, all columns; the scoring joins nothing, texts are scored where they are read.
+
+    Null and empty texts have the score of no tokens. Each row is scored by its own text, so repeated rows and rows with a null doc_id are
+    judged alike; extra columns go along, an empty table stays empty. Labels of documents that aren't there teach nothing.
+    """
     field = train(docs, labels)
     shown = docs.sparkSession.sparkContext.broadcast(field)
 
