@@ -249,7 +249,7 @@ SELECT group_id, count(*) AS n, min(pos) AS first FROM k GROUP BY 1 HAVING count
 def visits(spark: SparkSession, d: str) -> DataFrame:
     """The order in which customers are visited so that neighbours come far apart (TOP-10)."""
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
-    return selection.spread_order(c, ["c_custkey"], F.col("c_custkey")).select("c_custkey", F.col("visit").cast("long"))
+    return selection.spread_order(c, ["c_custkey"]).select("c_custkey", F.col("visit").cast("long"))
 
 
 VISITS_SQL = """

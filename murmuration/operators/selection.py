@@ -59,11 +59,11 @@ def stride(n: int) -> int:
     return next((s for s in range(max(1, n // 3), n + 1) if gcd(s, n) == 1), 1)
 
 
-def spread_order(df: DataFrame, order: list, value: Column, out: str = "visit") -> DataFrame:
+def spread_order(df: DataFrame, order: list, out: str = "visit") -> DataFrame:
     """The turn at which each row is visited when the i-th visit goes to row i * stride modulo the number of rows (TOP-10)."""
     n = df.count()
     back = pow(stride(n), -1, n) if n > 1 else 0
-    return placed(df, [], order, value, "_p").withColumn(out, (F.col("_p") * back) % max(n, 1)).drop("_p")
+    return placed(df, [], order, "_p").withColumn(out, (F.col("_p") * back) % max(n, 1)).drop("_p")
 
 
 def meeting_order() -> list[Column]:

@@ -111,7 +111,7 @@ def test_places_of_ids_of_one_beginning(spark):
 
 def test_spread(spark):
     assert [selection.stride(n) for n in (1, 2, 3, 9, 12)] == [1, 1, 1, 4, 5]
-    got = selection.spread_order(spark.range(9), ["id"], F.col("id")).orderBy("visit").collect()
+    got = selection.spread_order(spark.range(9), ["id"]).orderBy("visit").collect()
     assert [r.id for r in got] == [i * 4 % 9 for i in range(9)]
     meetings = spark.createDataFrame([("ES2b",), ("IS1a",), ("ES2a",), ("IS1b",)], "meeting string")
     assert [r.meeting for r in meetings.orderBy(*selection.meeting_order()).collect()] == ["ES2a", "IS1a", "ES2b", "IS1b"]
