@@ -165,7 +165,7 @@ SELECT file_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM x WH
 
 def speech_windows(spark: SparkSession, d: str) -> DataFrame:
     speech = words(spark, d).where("label = 'click'").select("file_id", "start", (F.col("start") + 60).alias("end"))
-    return intervals.speech_windows(intervals.merge_intervals(speech, ["file_id"]), 300.0).select("file_id", "window", F.round("start", 3).alias("start"))
+    return intervals.speech_windows(intervals.merge_intervals(speech, ["file_id"]), 300.0).select("file_id", "window", (F.round(F.col("start") * 1000) / 1000).alias("start"))  # halves of a millisecond as the SQL rounds them
 
 
 JOBS = {
