@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,17 +21,19 @@ WORD = ("text", "start", "end", "prob")
 SLOTS = "pos long, kind string, a string, b string, pa double, pb double, a_start double, a_end double, b_start double, b_end double, blank boolean"
 
 
-def slots_of(a: list[dict], b: list[dict], lang: str | None) -> list[tuple[str, dict | None, dict | None, bool]]:
-    """(kind, word of a, word of b, blank) of one chunk (CMP-1).
+def slots_of(a: list[str | None], b: list[str | None], lang: str | None) -> list[tuple[int, int | None, int | None, bool]]:
+    """(kind, place in a, place in b, blank) of one chunk's words (CMP-1).
 
     Words are compared by their normalized form. Words without letters or digits stay out of it: one of a comes back as
     an agreeing slot before the word that it preceded, with the blank of b in the same place; others of b go.
     """
-    (la, ka), (lb, kb) = ([(w, norm_token(w["text"], lang)) for w in side] and list(zip(*[(w, norm_token(w["text"], lang)) for w in side])) or ([], []) for side in (a, b))
+    ka, kb = ([norm_token(w, lang) for w in side] for side in (a, b))
     real = [[i for i, k in enumerate(keys) if k] for keys in (ka, kb)]
     kinds, i, j = edits.align([ka[x] for x in real[0]], [kb[x] for x in real[1]])
     blanks: tuple[dict, dict] = (defaultdict(list), defaultdict(list))  # by the slot before which they stand
     for side, (keys, own, skip) in enumerate(((ka, i, edits.ONLY_B), (kb, j, edits.ONLY_A))):
+        if len(real[side]) == len(keys):
+            continue
         slot_of = {int(word): slot for slot, (word, k) in enumerate(zip(own, kinds)) if k != skip}
         before = 0
         for place, key in enumerate(keys):
@@ -39,13 +42,12 @@ def slots_of(a: list[dict], b: list[dict], lang: str | None) -> list[tuple[str,
             else:
                 blanks[side][slot_of.get(before, len(kinds))].append(place)
     out = []
-    for slot in range(len(kinds) + 1):
+    for slot, (k, x, y) in enumerate(zip([*kinds.tolist(), -1], [*i.tolist(), 0], [*j.tolist(), 0])):
         with_b = blanks[1].get(slot, [])
         for n, place in enumerate(blanks[0].get(slot, [])):
-            out.append(("agree", la[place], lb[with_b[n]] if n < len(with_b) else None, True))
-        if slot < len(kinds):
-            k = int(kinds[slot])
-            out.append((KINDS[k], None if k == edits.ONLY_B else la[real[0][i[slot]]], None if k == edits.ONLY_A else lb[real[1][j[slot]]], False))
+            out.append((edits.EQUAL, place, with_b[n] if n < len(with_b) else None, True))
+        if k >= 0:
+            out.append((k, None if k == edits.ONLY_B else real[0][x], None if k == edits.ONLY_A else real[1][y], False))
     return out
 
 
@@ -53,25 +55,40 @@ def align_engines(words: DataFrame, lang: str = "lang") -> DataFrame:
     """Slots of the two engines' words of each chunk, with texts, probabilities and times (CMP-1, J-9).
 
     A chunk that one engine lacks has one-sided slots. Words are listed per chunk by built-in aggregation; a chunk is
-    some seconds of one file. `lang` is a column, or absent for English.
+    some seconds of one file. Some thousand words are aligned at a time, and only their texts become Python objects. `lang` is a column, or absent for English.
     """
     fields = [F.col("pos"), *[F.col(c).cast("string" if c == "text" else "double").alias(c) if c in words.columns else F.lit(None).cast("double").alias(c) for c in WORD]]
     said = F.max(lang) if lang in words.columns else F.lit("en")
     side = lambda e: F.array_sort(F.collect_list(F.when(F.col("engine") == e, F.struct(*fields))))
     chunks = words.groupBy("file_id", "chunk").agg(said.alias("lang"), side("a").alias("a"), side("b").alias("b"))
     key = {c: words.schema[c].dataType for c in ("file_id", "chunk")}
+    names = ["file_id", "chunk", *(x.split()[0] for x in SLOTS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(13)]
-            for f, c, la, a, b in zip(*(batch.column(x).to_pylist() for x in ("file_id", "chunk", "lang", "a", "b"))):
-                for n, (kind, x, y, blank) in enumerate(slots_of(a, b, la)):
-                    x, y = x or {}, y or {}
-                    for column, value in zip(rows, (f, c, n, kind, x.get("text"), y.get("text"), x.get("prob"), y.get("prob"), x.get("start"), x.get("end"), y.get("start"), y.get("end"), blank)):
-                        column.append(value)
-            types = [batch.column("file_id").type, batch.column("chunk").type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 6, pa.bool_()]
-            names = ["file_id", "chunk", *(x.split()[0] for x in SLOTS.split(", "))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=names)
+        for whole in batches:
+            for b in edits.pieces(whole, "a", "b"):
+                columns = [dict(zip(("pos", *WORD), b.column(x).flatten().flatten())) for x in "ab"]
+                texts = [c["text"].to_pylist() for c in columns]
+                sizes = [pc.list_value_length(b.column(x)).to_pylist() for x in "ab"]
+                row, n, kind, at, blank = [], [], [], ([], []), []  # type: ignore[var-annotated]
+                first = [0, 0]
+                for r, la in enumerate(b.column("lang").to_pylist()):
+                    ends = [first[x] + sizes[x][r] for x in (0, 1)]
+                    slots = slots_of(texts[0][first[0] : ends[0]], texts[1][first[1] : ends[1]], la)
+                    row += [r] * len(slots)
+                    n += range(len(slots))
+                    for k, x, y, empty in slots:
+                        kind.append(k)
+                        at[0].append(None if x is None else first[0] + x)
+                        at[1].append(None if y is None else first[1] + y)
+                        blank.append(empty)
+                    first = ends
+                rows, place = pa.array(row, pa.int64()), [pa.array(x, pa.int64()) for x in at]
+                of = lambda x, c: columns[x][c].take(place[x])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([
+                    b.column("file_id").take(rows), b.column("chunk").take(rows), pa.array(n, pa.int64()), pa.array(KINDS).take(pa.array(kind, pa.int64())), of(0, "text"), of(1, "text"), of(0, "prob"), of(1, "prob"),
+                    of(0, "start"), of(0, "end"), of(1, "start"), of(1, "end"), pa.array(blank, pa.bool_()),
+                ], names=names)
 
     return chunks.mapInArrow(run, f"file_id {key['file_id'].simpleString()}, chunk {key['chunk'].simpleString()}, {SLOTS}")
 
