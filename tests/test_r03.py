@@ -1,7 +1,5 @@
-import datetime as dt
-import random
-
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from murmuration.functions import edits
@@ -12,9 +10,9 @@ def test_speech_windows_round_as_their_sql(spark, tmp_path):
     """Merged speech of odd lengths puts windows at halves of a millisecond."""
     import duckdb
 
-    rng = random.Random(1)
-    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=rng.randrange(2_500_000_000)), i % 40, "click", 1.0, "") for i in range(4000)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", entry_ntz("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    ts = F.timestamp_millis(F.pmod(F.xxhash64("id"), F.lit(20_000_000)) + (F.col("id") % 1500) * 1_500_000 + 1704067200000)
+    events = spark.range(60000).select(F.col("id").alias("event_id"), ts.cast("timestamp_ntz").alias("ts"), (F.col("id") % 1500).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     want = con.sql(entry_module.oracle_sql()["speech_windows"]).fetchall()
@@ -22,12 +20,6 @@ def test_speech_windows_round_as_their_sql(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
-def entry_ntz(name):
-    from pyspark.sql import functions as F
-
-    return F.col(name).cast("timestamp_ntz")
-
-
 def test_a_batch_is_taken_apart_by_its_words():
     """What becomes Python objects at a time doesn't grow with the rows of a batch."""
     lists = [["w"] * n for n in (0, 3, 90, 2, 2, 2, 200, 1)] * 50 + [None]
@@ -47,3 +39,19 @@ def test_alignment_takes_texts_by_place(spark):
     for c in (0, 5, 59):
         assert said(c, "a") == [t for _, k, e, _, t, _ in rows if (k, e) == (c, "a")]
     assert {r.kind for r in got if r.chunk == 5} == {"b_only"} and {r.kind for r in got if r.chunk != 5} == {"agree", "a_only"}
+
+
+def test_texts_are_scored_in_one_pass(spark):
+    """The same counts as normalizing first and aligning lists of words after; easy and hard words, forms, null texts."""
+    from murmuration.functions import normal
+    from murmuration.operators import scoring
+
+    texts = ["He's St. John, isn't he | twenty-five of%%% them", "won't uh pay $2,500 (laughs) to dr who", "", None, "the cat sat", "y treinta y cinco | mil uno más", "can t wanna"]
+    rows = [(r, h, lang) for r in texts for h in texts for lang in ("en", "es", "de")]
+    for r in scoring.word_errors(spark.createDataFrame(rows, "ref string, hyp string, lang string").repartition(3)).collect():
+        assert (r["sub"], r["del"], r["ins"], r["hits"], r["words"]) == edits.counts(normal.tokens_of(r.ref, r.lang), normal.tokens_of(r.hyp, r.lang))
+    for r in scoring.text_effects(spark.createDataFrame([(*x, "the dog sat") for x in rows], "ref string, before string, lang string, after string")).collect():
+        assert (r["help"], r["harm"], r["neutral"]) == edits.effects(*(normal.tokens_of(t, r.lang) for t in (r.ref, r.before, r.after)))
+    for text in filter(None, texts):
+        got, flags = normal.flagged(text.split(), [w.startswith("t") for w in text.split()], "en")
+        assert got == normal.tokens_of(text, "en") and len(flags) == len(got)
