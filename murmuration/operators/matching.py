@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from murmuration.functions import sounds
 
 
+FEW = 32  # terms that each run of their length is compared with at once
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame written down, so that what follows doesn't work it out again: a checkpoint under spark.checkpoint.dir; where that is unset, a temporary folder
     in local mode and an error on a cluster."""
@@ -33,15 +36,20 @@ def near_sounds(runs: DataFrame, terms: DataFrame, keys: list[str], most: float)
 
     `runs` holds the keys and g_s, `terms` the keys and t_s, other columns go along; both are best distinct. Where a term is cut into one segment more than edits are allowed, one segment stays
     whole, and it stands in the run where the edits before and after it leave room. So runs and terms meet by keys,
-    length of the run, place and segment, and only what meets is compared. Every pair is found. A null sound meets nothing.
+    length of the run, place and segment, and only what meets is compared. Where at most FEW terms fit the keys and a length, a run meets
+    those without segments, which would be more rows than terms. Every pair is found. A null sound meets nothing.
     """
     bare = lambda c: F.replace(F.col(c), F.lit(" "))
     size = F.length("_t").cast("int")
     whole = lambda c: F.floor(c + 1e-9).cast("int")
     widest = int(1 / most) + 1  # a segment's length: that of the term over more edits than `most` of it
     t = terms.withColumn("_t", bare("t_s")).where(F.col("_t").isNotNull())
-    t = t.select("*", _every("_n", F.ceil(size * (1 - most) - 1e-9).cast("int"), whole(size / (1 - most)))).withColumn("_k", whole(F.greatest(size, F.col("_n")) * most))
-    t = t.select("*", _every("_i", F.lit(0), F.col("_k")))
+    t = t.select("*", _every("_n", F.ceil(size * (1 - most) - 1e-9).cast("int"), whole(size / (1 - most))))
+    g = runs.withColumn("_g", bare("g_s")).where(F.col("_g").isNotNull()).withColumn("_n", F.length("_g").cast("int"))
+    many = t.groupBy(*keys, "_n").agg(F.count("*").alias("_many")).where(F.col("_many") > FEW).drop("_many")
+    direct = g.join(t.join(many, [*keys, "_n"], "left_anti"), [*keys, "_n"])
+    t, g = (df.join(many, [*keys, "_n"], "left_semi") for df in (t, g))
+    t = t.withColumn("_k", whole(F.greatest(size, F.col("_n")) * most)).select("*", _every("_i", F.lit(0), F.col("_k")))
     start, end = (whole((F.col("_i") + j) * size / (F.col("_k") + 1)) for j in (0, 1))
     t = t.withColumns({"_a": start, "_z": end})
     moved = F.col("_n") - size
@@ -49,11 +57,11 @@ def near_sounds(runs: DataFrame, terms: DataFrame, keys: list[str], most: float)
     part = F.expr("substring(_t, _a + 1, _z - _a)")
     t = t.select("*", part.alias("_part"), _every("_at", F.greatest(F.lit(0), low), F.least(F.col("_n") - F.col("_z") + F.col("_a"), high)))
     t = t.drop("_i", "_k", "_a", "_z").distinct()
-    g = runs.withColumn("_g", bare("g_s")).where(F.col("_g").isNotNull()).withColumn("_n", F.length("_g").cast("int"))
     places = g.select("*", _every("_at", F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)))).select("*", _every("_l", F.when(F.col("_n") > 0, 1).otherwise(0), F.least(F.lit(widest), F.col("_n") - F.col("_at"))))
     g = places.withColumn("_part", F.expr("substring(_g, _at + 1, _l)")).drop("_l")
-    met = g.join(t, [*keys, "_n", "_at", "_part"]).drop("_at", "_part", "_n").distinct()
-    return met.where(sounds.sound_distance(F.col("_g"), F.col("_t")) <= most).withColumn("distance", sounds.sound_distance(F.col("_g"), F.col("_t"))).drop("_g", "_t")
+    met = g.join(t, [*keys, "_n", "_at", "_part"]).drop("_at", "_part").unionByName(direct).drop("_n")
+    near = lambda df: df.where(sounds.sound_distance(F.col("_g"), F.col("_t")) <= most)
+    return near(met).distinct().withColumn("distance", sounds.sound_distance(F.col("_g"), F.col("_t"))).drop("_g", "_t")
 
 
 def choose_apart(spans: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
