@@ -132,11 +132,16 @@ def distinct_shots(shots: DataFrame, same: float = 0.0003, pixel: float = 40.0)
     Two shots are alike if at most a share `same` of the pixels is more than `pixel` apart. Of one block more than pixels may change, one is then alike throughout, and so are the means of
     its halves. Means are cut into cells of that width, so alike shots meet in one of nine cells of some block. Who keeps a
     slide is decided in rounds: a shot before all undecided ones that it meets is kept, and those alike to it are settled. Shots meet only kept
-    ones in full, so a slide that is shown often makes no pairs with itself. A null thumb is kept by itself.
+    ones in full, so a slide that is shown often makes no pairs with itself. Equal thumbs of a video are settled by the first of them, as what is kept after that is
+    not alike to any. A null thumb is kept by itself.
     """
     keys = ["video_id", "_n", "_k", "_a", "_b"]
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size(x), F.lit(1))
-    thumbs = settled(shots.select("video_id", F.col("shot").cast("long").alias("shot"), F.col("thumb").cast("array<double>").alias("t")))
+    # a thumb with a number that isn't finite differs from itself
+    odd = F.exists(F.coalesce("t", F.array().cast("array<double>")), lambda x: F.coalesce(F.isnan(x - x), F.lit(False)))
+    every = shots.select("video_id", F.col("shot").cast("long").alias("shot"), F.col("thumb").cast("array<double>").alias("t"))
+    every = settled(every.withColumn("_own", F.when(odd | F.col("t").isNull(), F.array("shot")).otherwise(F.array().cast("array<long>"))))
+    thumbs = settled(every.groupBy("video_id", "t", "_own").agg(F.min("shot").alias("shot")))
     n = F.size("t")
     blocks = F.floor(F.lit(same) * n + 1e-9).cast("int") + 1
     cut = lambda k: F.floor(F.col(k) * n / blocks).cast("int")
@@ -168,4 +173,5 @@ def distinct_shots(shots: DataFrame, same: float = 0.0003, pixel: float = 40.0)
         kept = kept.unionByName(new)
     kept = settled(kept)
     homes = alike(thumbs.select("video_id", "shot").join(kept, ["video_id", "shot"], "left_anti"), kept).groupBy("video_id", "shot").agg(F.min("slide").alias("slide"))
-    return kept.select("video_id", "shot", F.col("shot").alias("slide")).unionByName(homes)
+    found = kept.select("video_id", "shot", F.col("shot").alias("slide")).unionByName(homes).join(thumbs, ["video_id", "shot"])
+    return every.where("t is not null").join(found.drop("shot"), ["video_id", "t", "_own"]).select("video_id", "shot", "slide").unionByName(every.where("t is null").select("video_id", "shot", F.col("shot").alias("slide")))

@@ -55,3 +55,29 @@ def test_texts_are_scored_in_one_pass(spark):
     for text in filter(None, texts):
         got, flags = normal.flagged(text.split(), [w.startswith("t") for w in text.split()], "en")
         assert got == normal.tokens_of(text, "en") and len(flags) == len(got)
+
+
+def test_shots_with_equal_thumbs(spark):
+    """Equal thumbs go to the first kept shot that they are alike to; a null one stays by itself."""
+    from murmuration.operators import sequential
+
+    thumbs = [[0.0, 0.0], [30.0, 0.0], [60.0, 0.0], [30.0, 0.0], [60.0, 0.0], None, None, [0.0, 0.0], [60.0, 0.0]] + [[0.0, 0.0]] * 30
+    got = sequential.distinct_shots(spark.createDataFrame([(1, i, t) for i, t in enumerate(thumbs)], "video_id long, shot long, thumb array<double>")).collect()
+    assert [r.slide for r in sorted(got, key=lambda r: r.shot)] == [0, 0, 2, 0, 2, 5, 6, 0, 2] + [0] * 30
+
+
+def test_runs_meet_few_terms_without_segments(spark, monkeypatch):
+    """The same pairs whether terms are few for their length, many, or both."""
+    from murmuration.operators import matching
+
+    words = [("f", a + b + c) for a in ("KR", "PST", "SA") for b in ("TAS", "PAK", "") for c in ("RAS", "KIP", "TOL")]
+    runs, terms = spark.createDataFrame([*words, ("f", None), ("f", "KRTASRAS")], "file string, g_s string"), spark.createDataFrame(words[::2], "file string, t_s string")
+    got = []
+    for few in (0, 3, 100):
+        monkeypatch.setattr(matching, "FEW", few)
+        near = matching.near_sounds(runs, terms, ["file"], 0.35)
+        got.append(sorted(map(tuple, near.collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20
+    # of few terms a run is a row, not one for each segment
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "_many" in plan
