@@ -135,54 +135,78 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 2) -> DataF
     return sums.select(*keys, "n", r.alias("rho"))
 
 
+HELD_GROUPS = 256  # groups whose sums a task holds at a time
+
+
 def bootstrap(df: DataFrame, value: str, *keys: str, n: int = 2000) -> DataFrame:
     """Mean and 95 % interval of resampled means (AGG-16) by a Poisson bootstrap.
 
     Each row's weight in resample r is Poisson(1), drawn from a generator seeded by a hash of the row, so sums of (value * weight,
-    weight) over any batches of rows add up: partial sums leave a task as one row for each key and batch, and a group of any size is
-    never in one task. An interval is statistically that of drawing with replacement. Nulls are left out.
+    weight) over any rows add up: a task hands on one row for each key, however many rows it reads, and a group of any size is
+    never in one task. Behind the resamples stand the sums without weights. Drawing costs far more than a row's bytes tell, so rows are dealt by
+    their hash. An interval is statistically that of drawing with replacement. Nulls are left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_h"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(list(x), t) for t, x in zip(types, zip(*sums))]
+            s, w = (pa.array([x[i] for x in sums.values()], pa.list_(pa.float64())) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([*columns, s, w], names=[*keys, "s", "w"])
+
         for b in batches:
-            codes, groups = np.zeros(b.num_rows, np.int64), [()]
+            types = [b.column(k).type for k in keys]
+            names: dict[tuple, int] = {}
+            codes = np.zeros(b.num_rows, np.int64)
             if keys:
-                names: dict = {}
                 codes = np.array([names.setdefault(k, len(names)) for k in zip(*(b.column(k).to_pylist() for k in keys))], np.int64)
-                groups = list(names)
-            v, h = np.asarray(b.column("_v")), np.asarray(b.column("_h")).view(np.uint64)
-            s, w = np.zeros((len(groups), n)), np.zeros((len(groups), n))
-            for at in range(0, len(v), 256):
-                i = slice(at, at + 256)
-                k = poisson(h[i], n)
-                one = np.zeros((len(groups), len(k)))
-                one[codes[i], np.arange(len(k))] = 1
-                w += one @ k
-                s += (one * v[i]) @ k
-            t, c = np.bincount(codes, v, len(groups)), np.bincount(codes, minlength=len(groups))
-            columns = [pa.array(list(x), b.column(k).type) for k, x in zip(keys, zip(*groups))] if b.num_rows else [b.column(k) for k in keys]
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(s), pa.list_(pa.float64())), pa.array(list(w), pa.list_(pa.float64())), pa.array(t), pa.array(c, pa.int64())], names=[*keys, "s", "w", "t", "c"])
-
-    parts = rows.mapInArrow(partial, ", ".join([*kinds, "s array<double>", "w array<double>", "t double", "c long"]))
-    long_ = parts.select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("r", "x")).groupBy(*keys, "r").agg(share(F.sum("x.s"), F.sum("x.w")).alias("m"))
-    ends = long_.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    mean = parts.groupBy(*keys).agg((F.sum("t") / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
-    return mean.join(ends, list(keys)) if keys else mean.crossJoin(ends)
-
-
+            order = np.argsort(codes, kind="stable")
+            v, h = np.asarray(b.column("_v"))[order], np.asarray(b.column("_h")).view(np.uint64)[order]
+            ends = np.searchsorted(codes[order], np.arange(max(1, len(names))), side="right").tolist() if b.num_rows else []
+            for group, low, high in zip(names or [()], [0, *ends], ends):
+                if group not in sums and len(sums) == HELD_GROUPS:
+                    yield out()
+                    sums.clear()
+                own = sums.setdefault(group, np.zeros((2, n + 1)))
+                for at in range(low, high, DRAWN):
+                    i = slice(at, min(at + DRAWN, high))
+                    both = np.stack([v[i], np.ones(i.stop - at)])
+                    own[:, :n] += both @ poisson(h[i], n)
+                    own[:, n] += both.sum(1)
+        if sums:
+            yield out()
+
+    dealt = rows.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "_h")
+    parts = dealt.mapInArrow(partial, ", ".join([*kinds, "s array<double>", "w array<double>"]))
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("r", "x")).groupBy(*keys, "r").agg(share(F.sum("x.s"), F.sum("x.w")).alias("m"), F.sum("x.w").cast("long").alias("w"))
+    drawn, whole = F.when(F.col("r") < n, F.col("m")), F.col("r") == n
+    return each.groupBy(*keys).agg(F.max(F.when(whole, F.col("m"))).alias("mean"), F.max(F.when(whole, F.col("w"))).alias("n"), F.percentile(drawn, 0.025).alias("lo"), F.percentile(drawn, 0.975).alias("hi"))
+
+
+DRAWN = 32  # rows whose draws are made at once: some 500 KB
 POISSON = np.cumsum([1 / math.e / math.factorial(k) for k in range(18)])
+#: What a draw is by its highest 16 bits, and OPEN where those don't tell.
+OPEN = 255
+_ends = [np.searchsorted(POISSON, (np.arange(1 << 16) + up) * 2.0**-16 - up * 2.0**-53, side="right") for up in (0, 1)]
+DRAWS = np.where(_ends[0] == _ends[1], _ends[0], OPEN).astype(np.uint8)
 
 
 def poisson(seed: np.ndarray, n: int) -> np.ndarray:
     """n draws of Poisson(1) for each seed, by a counter-based generator."""
     x = seed[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
-    return np.searchsorted(POISSON, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
+    y = np.empty_like(x)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x ^= np.right_shift(x, np.uint64(shift), out=y)
+        if by != 1:
+            x *= np.uint64(by)
+    k = DRAWS.take(np.right_shift(x, np.uint64(48), out=y).view(np.int64), mode="clip").ravel()
+    left = np.flatnonzero(k == OPEN)
+    k[left] = np.searchsorted(POISSON, (x.ravel()[left] >> np.uint64(11)) * 2.0**-53, side="right")
+    return k.reshape(x.shape).astype(np.float64)
 
 
 def gate_slices(pairs: DataFrame, n: int = 2000) -> DataFrame:

@@ -81,3 +81,31 @@ def test_runs_meet_few_terms_without_segments(spark, monkeypatch):
     # of few terms a run is a row, not one for each segment
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "_many" in plan
+
+
+def test_bootstrap_draws_once(spark):
+    """Draws are those of the whole numbers behind them, each is made once, and many groups come out of a task in parts."""
+    import numpy as np
+
+    from murmuration.operators import metrics
+
+    seed = np.random.default_rng(3).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    x = seed[:, None] + np.arange(1, 501, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    assert (metrics.poisson(seed, 500) == np.searchsorted(metrics.POISSON, u, side="right")).all()
+    edges = np.unique(np.concatenate([(metrics.POISSON * 2**16).astype(int) + i for i in (-1, 0, 1)]).clip(0, 65535))
+    low, high = (np.searchsorted(metrics.POISSON, v, side="right") for v in (edges * 2.0**-16, (edges + 1) * 2.0**-16 - 2.0**-53))
+    assert (metrics.DRAWS[edges] == np.where(low == high, low, metrics.OPEN)).all()
+
+    rows = spark.range(2000).select((F.col("id") % 700).alias("k"), (F.col("id") / 2000).alias("v"))
+    ci = metrics.bootstrap(rows, "v", "k", n=50)
+    assert ci._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.k: r for r in ci.collect()}
+    assert len(got) == 700
+    for k, r in got.items():
+        own = [i / 2000 for i in range(2000) if i % 700 == k]
+        assert r.n == len(own) and abs(r.mean - sum(own) / len(own)) < 1e-12 and min(own) - 1e-9 <= r.lo <= r.hi <= max(own) + 1e-9
+    none = metrics.bootstrap(rows.where("v > 2"), "v", n=50).first()
+    assert (none.mean, none.n, none.lo, none.hi) == (None, None, None, None)
