@@ -109,3 +109,29 @@ def test_bootstrap_draws_once(spark):
         assert r.n == len(own) and abs(r.mean - sum(own) / len(own)) < 1e-12 and min(own) - 1e-9 <= r.lo <= r.hi <= max(own) + 1e-9
     none = metrics.bootstrap(rows.where("v > 2"), "v", n=50).first()
     assert (none.mean, none.n, none.lo, none.hi) == (None, None, None, None)
+
+
+def test_distances_side_by_side(spark, monkeypatch):
+    """The least edits of every pair, whatever its neighbours; scores of held rows come back in their order."""
+    import random
+
+    from murmuration.functions import normal
+    from murmuration.operators import scoring
+
+    rng, side = random.Random(7), []
+    bad = lambda a: "".join(rng.choice([c, c, c, c, "", c + "x", rng.choice("abcé😀")]) for c in a)
+    texts = ["".join(rng.choice("abc dé") for _ in range(rng.choice([0, 1, 2, 63, 64, 65, 128, 200, rng.randrange(600)]))) for _ in range(400)]
+    pairs = [(a, bad(a) if k % 5 else "".join(rng.choice("abc xé") for _ in range(rng.randrange(300)))) for k, a in enumerate(texts)]
+    want = [edits.distance(a, b) for a, b in pairs]
+    both = edits._side_by_side
+    monkeypatch.setattr(edits, "_side_by_side", lambda group: side.append(len(group)) or both(group))
+    assert edits.distances([(a, b, d + rng.choice([0, 1, 30, 400])) for (a, b), d in zip(pairs, want)]) == want and sum(side) > 200
+    assert edits.distances([]) == [] and edits.distances([("", "ab", 9), ("a", "a", 9)]) == [2, 0]
+
+    monkeypatch.setattr(scoring, "HELD_ROWS", 37)
+    rows = [(k, a, b, "de") for k, (a, b) in enumerate(pairs)] + [(400, None, "x", "de"), (401, "x", None, "en")]
+    got = {r.k: r for r in scoring.text_scores(spark.createDataFrame(rows, "k int, ref string, hyp string, lang string")).collect()}
+    assert len(got) == 402
+    for k, a, b, lang in rows:
+        r, h = normal.tokens_of(a, lang), normal.tokens_of(b, lang)
+        assert (got[k]["sub"], got[k]["del"], got[k]["ins"], got[k].hits, got[k].words, got[k].char_errors) == edits.word_scores(r, h)
