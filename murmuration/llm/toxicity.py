@@ -301,7 +301,9 @@ def sample_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
 
 def train(docs: DataFrame, labels: DataFrame, **sizes: int) -> Field:
     rows = sorted((r.doc_id, r.text, r.toxic) for r in sample_labels(docs, labels, **sizes).collect())
-    return fit([t.encode("utf-8") for _, t, _ in rows], [y == 1 for _, _, y in rows])
+    field = fit([t.encode("utf-8") for _, t, _ in rows], [y == 1 for _, _, y in rows])
+    shared.let_go()  # the driver
+    return field
 
 
 def tag(docs: DataFrame, field: Field, keep_spans: bool = True) -> DataFrame:

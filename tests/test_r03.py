@@ -135,3 +135,13 @@ def test_distances_side_by_side(spark, monkeypatch):
     for k, a, b, lang in rows:
         r, h = normal.tokens_of(a, lang), normal.tokens_of(b, lang)
         assert (got[k]["sub"], got[k]["del"], got[k]["ins"], got[k].hits, got[k].words, got[k].char_errors) == edits.word_scores(r, h)
+
+
+def test_training_keeps_no_powers(spark):
+    """The driver hashes words once, when it learns labels; what that took is free after it."""
+    from murmuration.llm import shared, toxicity
+
+    docs = spark.createDataFrame([(i, f"some {'awful' if i % 2 else 'kind'} words w{i}") for i in range(60)], "doc_id long, text string")
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert not shared._POWERS
+    assert len(shared.words(b"a b")[0]) == 2 and shared._POWERS  # made again where words are hashed again
