@@ -300,9 +300,23 @@ def sample_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
 
 
 def train(docs: DataFrame, labels: DataFrame, **sizes: int) -> Field:
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in sample_labels(docs, labels, **sizes).collect())
-    field = fit([t.encode("utf-8") for _, t, _ in rows], [y == 1 for _, _, y in rows])
-    shared.let_go()  # the driver
+    """The field, fitted in one task on the bounded sample: neither its texts nor the arrays of the fit are ever held by the driver, to which the known features come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(b.column("doc_id").to_pylist(), shared.texts_of(b), b.column("toxic").to_pylist()))
+        field = fit([t for _, t, _ in rows], [y == 1 for *_, y in rows])
+        shared.let_go()
+        at = np.flatnonzero(field.keys)
+        own = (at, field.keys[at], field.weights[at], np.array([field.bias]), field.moves, field.scale)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in own], names=names)
+
+    names = ["at", "keys", "weights", "bias", "moves", "scale"]
+    got = sample_labels(docs, labels, **sizes).repartition(1).mapInArrow(run, ", ".join(f"{n} binary" for n in names)).first()
+    if got is None:  # without a sample no task may run
+        return fit([], [])
+    field = Field(np.zeros(1 << BITS, U64), np.zeros(1 << BITS), float(np.frombuffer(got.bias)[0]), np.frombuffer(got.moves).reshape(2, 2), np.frombuffer(got.scale))
+    at = np.frombuffer(got["at"], np.int64)
+    field.keys[at], field.weights[at] = np.frombuffer(got["keys"], U64), np.frombuffer(got.weights)
     return field
 
 

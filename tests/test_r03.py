@@ -145,3 +145,21 @@ def test_training_keeps_no_powers(spark):
     toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
     assert not shared._POWERS
     assert len(shared.words(b"a b")[0]) == 2 and shared._POWERS  # made again where words are hashed again
+
+
+def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
+    """The driver neither collects the texts nor fits: what it gets is the same field; a sample of none gives the empty one."""
+    from murmuration.llm import toxicity
+
+    rows = [(i, f"word{i % 7} said of {'idiot scumbag' if i % 3 == 0 else 'day ñandú'} {i % 11}" * 3, int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, None if i == 5 else t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    known = sorted((r.doc_id, r.text, r.toxic) for r in toxicity.sample_labels(docs, labels).collect())
+    want = toxicity.fit([t.encode() for _, t, _ in known], [y == 1 for *_, y in known])
+    here, fit, calls = __import__("os").getpid(), toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: (calls.append(len(a[0])) if __import__("os").getpid() == here else None, fit(*a))[1])
+    got = toxicity.train(docs, labels)
+    assert not calls and want.keys.any() and (got.keys == want.keys).all() and (got.weights == want.weights).all()
+    assert got.bias == want.bias and (got.moves == want.moves).all() and (got.scale == want.scale).all()
+    none = toxicity.train(docs, labels.where("toxic > 1"))
+    assert not none.keys.any() and none.bias == -6.0
