@@ -163,3 +163,20 @@ def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
     assert got.bias == want.bias and (got.moves == want.moves).all() and (got.scale == want.scale).all()
     none = toxicity.train(docs, labels.where("toxic > 1"))
     assert not none.keys.any() and none.bias == -6.0
+
+
+def test_terms_look_at_telling_words_only(spark):
+    """Words are taken out once and of chunks that can hold a term; places, names over gaps and shouting are as they were for all words."""
+    from murmuration.functions import parsing
+
+    cases = {
+        "and Ada then Lovelace, Ada Lovelace now": [(2, "Ada Lovelace")], "one word iPhone": [(2, "iPhone")], "Only one capital here, and Another": [], "no capital, no number": [],
+        "EVERY NASA WORD": [], "EVERY NASA word": [(0, "EVERY"), (1, "NASA")], "so ½ x² 30k x9": [(2, "x²"), (4, "x9")], "Saw Alan Kay x9 Grace Hopper": [(3, "Alan Kay"), (3, "x9"), (6, "Grace Hopper")], "see Www.A.org/B or HTTPS://c.D/E": [],
+    }
+    terms = parsing.extract_terms(spark.createDataFrame([(i, 0, t, False) for i, t in enumerate(cases)], "file_id int, part int, text string, title boolean"))
+    got: dict = {}
+    for r in terms.orderBy("file_id", "pos").collect():
+        got.setdefault(r.file_id, []).append((r.pos["at"], r.term))
+    assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
