@@ -171,7 +171,7 @@ def test_terms_look_at_telling_words_only(spark):
 
     cases = {
         "and Ada then Lovelace, Ada Lovelace now": [(2, "Ada Lovelace")], "one word iPhone": [(2, "iPhone")], "Only one capital here, and Another": [], "no capital, no number": [],
-        "EVERY NASA WORD": [], "EVERY NASA word": [(0, "EVERY"), (1, "NASA")], "so ½ x² 30k x9": [(2, "x²"), (4, "x9")], "Saw Alan Kay x9 Grace Hopper": [(3, "Alan Kay"), (3, "x9"), (6, "Grace Hopper")], "see Www.A.org/B or HTTPS://c.D/E": [],
+        "EVERY NASA WORD": [], "EVERY NASA word": [(0, "EVERY"), (1, "NASA")], "so ½ x² 30k x9": [(2, "x²"), (4, "x9")], "Saw Alan Kay x9 Grace Hopper": [(3, "x9"), (3, "Alan Kay"), (6, "Grace Hopper")], "see Www.A.org/B or HTTPS://c.D/E": [],
     }
     terms = parsing.extract_terms(spark.createDataFrame([(i, 0, t, False) for i, t in enumerate(cases)], "file_id int, part int, text string, title boolean"))
     got: dict = {}
@@ -180,3 +180,23 @@ def test_terms_look_at_telling_words_only(spark):
     assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
     plan = terms._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_bands_narrow_as_edits_are_spent(monkeypatch):
+    """Distances with enough edits given, and by widening; of a long pair fewer rows are worked out than the diagonals alone leave."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(300))) for _ in range(60)]
+    texts += ["".join(c for i, c in enumerate(t) if i % 9) for t in texts] + ["".join(t[i : i + 5][::-1] for i in range(0, len(t), 5)) for t in texts]
+    for width in (64, 3):
+        monkeypatch.setattr(edits, "NARROW", width)
+        for a, b in zip(texts, texts[60:] + texts[:60]):
+            want = sum(k != edits.EQUAL for k in edits.moves(a, b))
+            assert edits.distance(a, b) == want and all(edits.distance(a, b, want + more) == want for more in (0, 1, 40) if want + more)
+    monkeypatch.setattr(edits, "NARROW", 64)
+    a = "".join(rng.choice("abcdefgh") for _ in range(8000))
+    b = "".join(c if i % 6 else "x" for i, c in enumerate(a))
+    rows, columns = [], edits._columns
+    monkeypatch.setattr(edits, "_columns", lambda places, part, up, down, mask: (rows.append(len(part) * mask.bit_length()), columns(places, part, up, down, mask))[1])
+    assert edits.distance(a, b, 1800) == sum(i % 6 == 0 for i in range(8000)) and sum(rows) < 8000 * 1800
