@@ -32,7 +32,7 @@ from murmuration.llm.shared import U64
 
 LENGTH, GRAM = 100, 32
 PER_PART = 8 << 20  # bytes of text whose anchors make one part
-PIECE = 1 << 21
+PIECE = 1 << 18  # bytes hashed at once
 ENTRIES = "part int, anchor binary, context binary, doc binary, per_doc binary, start binary, width binary"
 MARKS = "bucket int, kind int, doc binary, start binary, width binary, family binary"
 CONTEXTS = "part int, doc binary, start binary, width binary, body binary"

@@ -103,7 +103,7 @@ class Field:
     def score(self, texts: list[bytes]):
         """Score per text, and start, end, first, count and marginals of the tokens."""
         s, e, first, count, features = tokens(texts)
-        p, _ = marginals(self.emissions(self.known(features), len(s)), first, count, self.moves)
+        p, _ = marginals(self.emissions(self.known(features), len(s)), first, count, self.moves, pairs=False)
         return sigmoid(np.hstack([np.ones((len(first), 1)), summary(p, first, count)]) @ self.scale), s, e, first, count, p
 
 
@@ -117,8 +117,8 @@ def _through(x: np.ndarray, place, alive: np.ndarray, step_of) -> np.ndarray:
     return out
 
 
-def marginals(e: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """P(tag 1) of every token by forward-backward, and P(tag 1 at t and t + 1) sums per pair of tags (2, 2).
+def marginals(e: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.ndarray, block: int = BLOCK, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(tag 1) of every token by forward-backward, and, where `pairs` are asked for, P(tag 1 at t and t + 1) sums per pair of tags (2, 2).
 
     Messages are log-odds of the two tags, one number per block of at most `block` tokens, stepped through all
     blocks at once. Of texts of several blocks, what a block does to a message is a product of matrices, which the
@@ -175,17 +175,20 @@ def marginals(e: np.ndarray, first: np.ndarray, count: np.ndarray, moves: np.nda
         a = e[at + 1] + b[at + 1]
         b[at] = np.logaddexp(tt + a, to) - np.logaddexp(ot + a, oo)
     p = sigmoid(f + b)
+    pair = np.zeros((2, 2))
+    if not pairs:
+        return p, pair
     has_next = np.ones(len(e), bool)
     has_next[(first + count - 1)[count > 0]] = False
     at = np.flatnonzero(has_next)
-    pair = np.zeros((2, 2))
     if len(at):
         # joint log scores relative to each other: f is log-odds before the move, the rest after it
         right_of = e[at + 1] + b[at + 1]
         joint = np.stack([np.zeros(len(at)) + oo, ot + right_of, f[at] + to, f[at] + tt + right_of])
         joint -= joint.max(0)
-        joint = np.exp(joint)
-        pair = (joint / joint.sum(0)).sum(1).reshape(2, 2)
+        np.exp(joint, out=joint)
+        joint /= joint.sum(0)
+        pair = joint.sum(1).reshape(2, 2)
     return p, pair
 
 
@@ -251,6 +254,7 @@ def fit(texts: list[bytes], toxic: list[bool], rounds: int = 25, rate: float = 0
         have = np.intersect1d(values[(docs >= min(support, len(y))) & (r > 0)], np.unique(f[tag]))
         field.keys[slot(have)] = have
     known = field.known(features)
+    del features, told, f, values, docs, r, owner  # what the rounds don't read
     cuts = [(a + i, min(window, c - i)) for a, c in zip(first.tolist(), count.tolist()) for i in range(0, c, window)]
     w_first, w_count = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
     has_next = np.ones(len(tag), bool)
@@ -273,7 +277,7 @@ def fit(texts: list[bytes], toxic: list[bool], rounds: int = 25, rate: float = 0
         m = (real - pair) * scale
         seen_m += m * m
         field.moves = field.moves + 0.1 * rate * m / np.sqrt(seen_m)
-    p, _ = marginals(field.emissions(known, len(s)), first, count, field.moves)
+    p, _ = marginals(field.emissions(known, len(s)), first, count, field.moves, pairs=False)
     x = np.hstack([np.ones((len(y), 1)), summary(p, first, count)])
     w, ridge = np.zeros(4), np.diag([1e-3, 1e-1, 1e-1, 1e-1])
     for _ in range(30):  # Newton steps of a ridge logistic regression
