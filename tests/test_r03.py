@@ -1,9 +1,11 @@
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from murmuration.functions import edits
-from murmuration.operators import fusion
+from murmuration.operators import fusion, scoring
 
 
 def test_speech_windows_round_as_their_sql(spark, tmp_path):
@@ -200,3 +202,23 @@ def test_bands_narrow_as_edits_are_spent(monkeypatch):
     rows, columns = [], edits._columns
     monkeypatch.setattr(edits, "_columns", lambda places, part, up, down, mask: (rows.append(len(part) * mask.bit_length()), columns(places, part, up, down, mask))[1])
     assert edits.distance(a, b, 1800) == sum(i % 6 == 0 for i in range(8000)) and sum(rows) < 8000 * 1800
+
+
+def test_reference_of_an_item_once(spark):
+    """Rows of an item follow each other and share what is made of its reference; the words' bound of the edits between characters counts equal places."""
+    assert edits.word_pair(["abc", "def", "g"], ["abd", "def"])[-1] == ("abc def g", "abd def", 3)
+    rng = random.Random(11)
+    word = lambda: rng.choice(["uno", "twenty", "Berlin", "ab|", "xyz", "zyx", "|", "5"])
+    for _ in range(300):
+        a, b = ([word() for _ in range(rng.randrange(12))] for _ in range(2))
+        *_, (x, y, most) = edits.word_pair(a, b)
+        assert edits.distance(x, y) <= most
+        assert edits.moves(a, b, edits._places(a)) == edits.moves(a, b)
+    refs = [" ".join(word() for _ in range(30)) for _ in range(9)] + [None, ""]
+    rows = [(str(i) if i % 4 else None, f"s{s}", r, " ".join(word() for _ in range(25)), "en") for i, r in enumerate(refs) for s in range(3)]
+    df = spark.createDataFrame(rows, "id string, system string, ref string, hyp string, lang string")
+    assert sorted(map(str, scoring.text_scores(df, item="id").collect())) == sorted(map(str, scoring.text_scores(df).collect()))
+    partitions = edits.spread(df, "id", "ref").sortWithinPartitions("id").select("id", "ref").rdd.glom().collect()
+    for own in partitions:
+        keys = [r.id for r in own if r.id is not None]
+        assert keys == sorted(keys)
