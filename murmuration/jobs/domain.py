@@ -47,7 +47,7 @@ SELECT concat('item-', doc_id) AS id, source AS slice, lang, CASE WHEN doc_id %
 FROM {documents}
 """
 
-SPARK = {"seconds": "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', CAST(ts AS timestamp_ntz)) / 1000.0D", '"end"': "`end`"}
+SPARK = {"seconds": "(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(ts AS timestamp_ntz)) div 1000 - 1704067200000) / 1000.0D", '"end"': "`end`"}
 DUCK = {"seconds": "(epoch_us(ts) // 1000 - 1704067200000) / 1000.0::DOUBLE"}
 TABLES = re.compile(r"\{(\w+)\}")
 

@@ -22,6 +22,27 @@ def test_speech_windows_round_as_their_sql(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_speech_windows_begin_at_borders_as_in_their_sql(spark, tmp_path):
+    """The last window begins just where speech ends; events before 2024 lie between milliseconds."""
+    import duckdb
+
+    draw = random.Random(7)
+    rows = []
+    for user in range(600):
+        early = [draw.randrange(65_000, 100_000) for _ in range(8)]
+        at = [sum(early[: k + 1]) for k in range(8)] + [1_000_000 + k * 100_000 + draw.randrange(30_000) for k in range(5)]
+        rows += [(user, (t if user % 4 else t - 3_000_000) * 1000 + user) for t in at]
+    made = spark.createDataFrame(rows, "user_id long, us long").withColumn("event_id", F.monotonically_increasing_id())
+    ts = F.expr("timestampadd(MICROSECOND, us, timestamp_ntz'2024-01-01 00:00:00')")
+    events = made.select("event_id", ts.alias("ts"), "user_id", F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(entry_module.oracle_sql()["speech_windows"]).fetchall()
+    got = [tuple(r) for r in entry_module.queries()["speech_windows"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_a_batch_is_taken_apart_by_its_words():
     """What becomes Python objects at a time doesn't grow with the rows of a batch."""
     lists = [["w"] * n for n in (0, 3, 90, 2, 2, 2, 200, 1)] * 50 + [None]
