@@ -56,28 +56,84 @@ def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, " ", ""))
 
 
-def term_near(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
-    """Runs of words that sound like a term of their file (J-10), best first, without overlaps: (file_id, start_idx, end_idx).
+def _near_among_few(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
+    """(file_id, start_idx, end_idx, distance) of runs near a term that no run equal to one touches, in files with few terms (file_id, term, t_n, t_s).
 
-    Runs with an unclear word, or within a term as it is written, are left out; both sides have three letters or more
-    and the shorter at least 0.4 of the longer's. Distinct sounds of a file's runs meet those of its terms by shared segments; candidates
-    are chosen in order of (distance, longer first, place).
+    A run's sound is that of its words. Runs meet the list of their file's terms, by file as the windows over words are, so that only
+    what is near or equal leaves a task.
     """
-    t = terms.select("file_id", plain(F.col("term")).alias("term")).where(letters(F.col("term")) >= 3).distinct()
+    w = W.partitionBy("file_id").orderBy("pos")
+    listed = terms.groupBy("file_id").agg(F.collect_list(F.struct("term", "t_n", "t_s", F.length("t_s").alias("l"))).alias("_terms"))
+    base = words.select("file_id", "pos", plain(F.col("text")).alias("t"), F.col("unclear").alias("u"))
+    base = base.withColumns({"n": letters(F.col("t")), "s": F.replace(sounds.phonemes(F.col("t"), F.lit(lang)), F.lit(" "))})
+    ahead = [F.lead(F.struct("t", "u", "n", "s"), k).over(w) for k in range(1, LONGEST)]
+    met = base.select("file_id", "pos", F.array(F.struct("t", "u", "n", "s"), *ahead).alias("x")).join(listed, "file_id")
+    runs = F.transform(F.filter(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.element_at("x", k).isNotNull()), lambda k: bound(F.slice("x", 1, k), lambda own: F.struct(
+        k.alias("k"), F.array_join(F.transform(own, lambda v: v["t"]), " ").alias("gram"), F.exists(own, lambda v: v["u"]).alias("touched"),
+        F.aggregate(own, F.lit(0), lambda a, v: a + v["n"]).alias("n"), F.array_join(F.transform(own, lambda v: v["s"]), "").alias("s"),
+    )))
+
+    def distance(r: Column) -> Column:
+        size = F.length(r["s"])
+        fits = lambda t: (F.least(r["n"], t["t_n"]) >= 0.4 * F.greatest(r["n"], t["t_n"])) & (F.abs(size - t["l"]) <= NEAR * F.greatest(size, t["l"]) + 1e-9)
+        least = F.array_min(F.transform(F.filter("_terms", fits), lambda t: sounds.sound_distance(r["s"], t["t_s"])))
+        return F.when(~r["touched"] & (r["n"] >= 3), least)
+
+    told = met.select("file_id", "pos", F.transform(runs, lambda r: F.struct(r["k"].alias("k"), F.exists("_terms", lambda t: t["term"] == r["gram"]).alias("exact"), distance(r).alias("distance"))).alias("r"))
+    hits = told.select(
+        "file_id", "pos", F.array_max(F.transform(F.filter("r", lambda r: r["exact"]), lambda r: r["k"])).alias("exact"),
+        F.filter(F.transform("r", lambda r: F.struct(r["k"].alias("k"), r["distance"].alias("distance"))), lambda r: r["distance"] <= NEAR).alias("near"),
+    ).where((F.size("near") > 0) | F.col("exact").isNotNull())
+    before = F.max(F.col("pos") + F.col("exact")).over(w.rangeBetween(1 - LONGEST, 0))
+    after = F.min(F.when(F.col("exact").isNotNull(), F.col("pos"))).over(w.rangeBetween(1, LONGEST - 1))
+    free = hits.withColumns({"_b": before, "_a": after}).where(F.col("_b").isNull() | (F.col("_b") <= F.col("pos"))).select("file_id", F.col("pos").alias("start_idx"), "_a", F.explode("near").alias("r"))
+    far = free.select("file_id", "start_idx", (F.col("start_idx") + F.col("r.k")).alias("end_idx"), F.col("r.distance").alias("distance"), "_a")
+    return far.where(F.col("_a").isNull() | (F.col("_a") >= F.col("end_idx"))).drop("_a")
+
+
+def _near_among_many(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
+    """The same where files have any number of terms: distinct sounds of a file's runs meet those of its terms by shared segments."""
     g = grams(words)
-    exact = g.join(t.withColumnRenamed("term", "gram"), ["file_id", "gram"], "left_semi").select("file_id", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("pos")).distinct()
+    exact = g.join(terms.select("file_id", F.col("term").alias("gram")), ["file_id", "gram"], "left_semi").select("file_id", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("pos")).distinct()
     free = g.where(~F.col("touched") & (letters(F.col("gram")) >= 3)).select("file_id", "start_idx", "end_idx", "gram")
     covered = free.select("file_id", "start_idx", "end_idx", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("pos")).join(exact, ["file_id", "pos"], "left_semi")
     free = free.join(covered.select("file_id", "start_idx", "end_idx").distinct(), ["file_id", "start_idx", "end_idx"], "left_anti")
-    # each side's sound and size are found out once, before the sides meet
-    told = lambda df, c, k: df.withColumns({f"{k}_n": letters(F.col(c)), f"{k}_s": sounds.phonemes(F.col(c), F.lit(lang))})
-    heard = told(free, "gram", "g")
-    met = matching.near_sounds(heard.select("file_id", "g_n", "g_s").distinct(), told(t, "term", "t").select("file_id", "t_n", "t_s").distinct(), ["file_id"], NEAR)
+    heard = free.withColumns({"g_n": letters(F.col("gram")), "g_s": sounds.phonemes(F.col("gram"), F.lit(lang))})
+    met = matching.near_sounds(heard.select("file_id", "g_n", "g_s").distinct(), terms.select("file_id", "t_n", "t_s").distinct(), ["file_id"], NEAR)
     near = met.where(F.least("g_n", "t_n") >= 0.4 * F.greatest("g_n", "t_n")).groupBy("file_id", "g_n", "g_s").agg(F.min("distance").alias("distance"))
-    far = heard.join(near, ["file_id", "g_n", "g_s"]).select("file_id", "start_idx", "end_idx", "distance")
+    return heard.join(near, ["file_id", "g_n", "g_s"]).select("file_id", "start_idx", "end_idx", "distance")
+
+
+def term_near(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
+    """Runs of words that sound like a term of their file (J-10), best first, without overlaps: (file_id, start_idx, end_idx).
+
+    Runs with an unclear word, or within a term as it is written, are left out; both sides have three letters or more
+    and the shorter at least 0.4 of the longer's. Runs meet a file's terms at once where those are at most FEW, else by segments of their sounds;
+    candidates are chosen in order of (distance, longer first, place).
+    """
+    t = terms.select("file_id", plain(F.col("term")).alias("term")).where(letters(F.col("term")) >= 3).distinct()
+    t = matching.settled(t.withColumns({"t_n": letters(F.col("term")), "t_s": F.replace(sounds.phonemes(F.col("term"), F.lit(lang)), F.lit(" "))}))
+    many = t.groupBy("file_id").agg(F.count("*").alias("_n")).where(F.col("_n") > matching.FEW).select("file_id")
+    if many.isEmpty():
+        far = _near_among_few(words, t, lang)
+    else:
+        far = _near_among_few(words, t.join(many, "file_id", "left_anti"), lang).unionByName(_near_among_many(words.join(many, "file_id", "left_semi"), t.join(many, "file_id", "left_semi"), lang))
     return matching.choose_apart(far, ["file_id"], [F.col("distance"), F.col("start_idx") - F.col("end_idx")])
 
 
+def in_spans(words: DataFrame, spans: DataFrame, keep: list[str]) -> DataFrame:
+    """Words with start_idx, end_idx and what is to be kept of the span that they are in, else nulls. Spans of a file don't overlap.
+
+    Words and spans are united and swept by file in order of place: words move once, and no row is made for each place of a span.
+    """
+    held = ["start_idx", "end_idx", *keep]
+    marks = spans.select("file_id", F.col("start_idx").alias("pos"), F.lit(0).alias("_kind"), F.struct(*held).alias("_span"))
+    both = words.withColumns({"_kind": F.lit(1), "_span": F.lit(None).cast(marks.schema["_span"].dataType)}).unionByName(marks, allowMissingColumns=True)
+    w = W.partitionBy("file_id").orderBy("pos", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    swept = both.withColumn("_held", F.last("_span", ignorenulls=True).over(w)).where("_kind = 1")
+    return swept.select(*words.columns, *[F.when(F.col("pos") < F.col("_held.end_idx"), F.col("_held")[c]).alias(c) for c in held])
+
+
 def refine_targets(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
     """Doubtful spans in order of place, numbered from 0 (CMP-5): unclear runs, runs near a term, agreed words of low confidence.
 
@@ -86,17 +142,16 @@ def refine_targets(words: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
     no_text = F.array().cast("array<string>")
     unclear = islands.unclear_runs(words).withColumn("reason", F.lit("unclear"))
     near = term_near(words, terms, lang).withColumn("reason", F.lit("term_near"))
-    claimed = unclear.unionByName(near)
-    taken = claimed.select("file_id", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("pos"))
-    low = words.where((F.col("source") == "agree") & (F.col("confidence") < LOW)).join(taken, ["file_id", "pos"], "left_anti")
-    found = claimed.unionByName(low.select("file_id", F.col("pos").alias("start_idx"), (F.col("pos") + 1).alias("end_idx"), F.lit("low_conf_agree").alias("reason")))
     w = W.partitionBy("file_id").orderBy("pos")
-    around = words.select(
-        "file_id", "pos", "text", "start", "end", F.coalesce("alternatives", no_text).alias("alternatives"),
-        F.array_join(F.collect_list("text").over(w.rowsBetween(-CONTEXT, -1)), " ").alias("left"), F.first("start").over(w.rowsBetween(-CONTEXT, 0)).alias("left_start"),
-        F.array_join(F.collect_list("text").over(w.rowsBetween(1, CONTEXT)), " ").alias("right"), F.last("end").over(w.rowsBetween(0, CONTEXT)).alias("right_end"),
-    )
-    inside = found.select("*", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("pos")).join(around, ["file_id", "pos"])
+    around = in_spans(words, unclear.unionByName(near), ["reason"]).withColumns({
+        "alternatives": F.coalesce("alternatives", no_text),
+        "left": F.array_join(F.collect_list("text").over(w.rowsBetween(-CONTEXT, -1)), " "), "left_start": F.first("start").over(w.rowsBetween(-CONTEXT, 0)),
+        "right": F.array_join(F.collect_list("text").over(w.rowsBetween(1, CONTEXT)), " "), "right_end": F.last("end").over(w.rowsBetween(0, CONTEXT)),
+    })
+    low = F.col("reason").isNull() & (F.col("source") == "agree") & (F.col("confidence") < LOW)
+    inside = around.withColumns({
+        "start_idx": F.when(low, F.col("pos")).otherwise(F.col("start_idx")), "end_idx": F.when(low, F.col("pos") + 1).otherwise(F.col("end_idx")), "reason": F.when(low, "low_conf_agree").otherwise(F.col("reason")),
+    }).where("reason is not null")
     rows = inside.groupBy("file_id", "start_idx", "end_idx", "reason").agg(
         islands.joined("text").alias("text"), F.min_by("alternatives", "pos").alias("alternatives"), F.min_by("left", "pos").alias("left"), F.max_by("right", "pos").alias("right"),
         F.min_by("left_start", "pos").alias("left_start"), F.max_by("right_end", "pos").alias("right_end"), F.min("start").alias("start"), F.max("end").alias("end"),
