@@ -68,3 +68,13 @@ def test_words_in_spans(spark):
     got = {(r.file_id, r.pos): (r.start_idx, r.end_idx, r.reason) for r in refining.in_spans(words, spans, ["reason"]).collect()}
     assert len(got) == 12 and got["a", 0] == got["a", 4] == got["b", 4] == (None, None, None)
     assert got["a", 1] == got["a", 2] == (1, 3, "x") and got["a", 3] == (3, 4, "y") and got["b", 5] == (5, 6, "z")
+
+
+def test_rewrites_are_applied_with_words_moved_once(spark):
+    """Neither the words nor their places are joined to every place of a rewrite."""
+    rows, words = transcripts(spark, 4, 10, 400)
+    found = [(r[0], r[1], r[1] + 1, "new words", "accepted" if r[1] % 20 == 0 else "audio") for r in rows if r[1] % 10 == 0]
+    verdicts = spark.createDataFrame(found, "file_id string, start_idx int, end_idx int, replacement string, verdict string")
+    got, n, _ = moved(spark, lambda: refining.apply_edits(words, verdicts).collect())
+    want = [x for r in rows for x in (["new", "words"] if r[1] % 20 == 0 else [r[2]])]
+    assert [r.text for r in sorted(got, key=lambda r: (int(r.file_id[1:]), r.pos))] == want and n < 4 * len(rows)
