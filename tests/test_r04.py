@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.functions import sounds
-from murmuration.operators import matching, refining
+from murmuration.operators import matching, refining, scoring
 
 FUSED = "file_id string, pos int, text string, start double, end double, tier string, confidence double, source string, alternatives array<string>, unclear boolean, speaker string"
 
@@ -78,3 +78,33 @@ def test_rewrites_are_applied_with_words_moved_once(spark):
     got, n, _ = moved(spark, lambda: refining.apply_edits(words, verdicts).collect())
     want = [x for r in rows for x in (["new", "words"] if r[1] % 20 == 0 else [r[2]])]
     assert [r.text for r in sorted(got, key=lambda r: (int(r.file_id[1:]), r.pos))] == want and n < 4 * len(rows)
+
+
+def test_items_move_their_texts_once(spark):
+    """Words that are those of the text travel as flags; others, nulls, missing outputs and ids that repeat are scored as by a plain join."""
+    draw = random.Random(11)
+    text = lambda n: " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(3, 9))) for _ in range(n))
+    refs = {f"i{i}": text(200) for i in range(60)}
+    items = [(k, s, "x", "dev", "en", r, 3.0, None) for k, r in refs.items() for s in ("one", "two")] + [("dup", "one", "x", "dev", "en", "a b", 1.0, None)] * 2 + [(None, "one", "x", "dev", "en", "a b", 1.0, None), ("none", "one", "x", "dev", "en", "a b", 1.0, "language")]
+    flags = lambda t: [(x, draw.random() < 0.3) for x in t.split(" ")]
+    outputs = []
+    for i, (k, r) in enumerate(refs.items()):
+        for s in ("one", "two"):
+            said = " ".join(w if draw.random() < 0.8 else text(1) for w in r.split(" "))
+            outputs.append((s, k, said, flags(said), None))
+    outputs += [("one", "dup", "a", [("a", None)], None), ("one", "dup", "b  c", [("b", True), ("", None), ("c", None)], None), ("two", "dup", "a", None, None), ("one", None, "a", [("a", True)], None), ("three", "i0", "a", [], None)]
+    items += [("odd1", "one", "x", "dev", "en", "a b c", 1.0, None), ("odd2", "one", "x", "dev", "en", "a b c", 1.0, None), ("odd3", "one", "x", "dev", "en", "", 1.0, None)]
+    outputs += [("one", "odd1", "a b", [("a b", True), (None, True), ("c d", False)], None), ("one", "odd2", None, [("a", True)], None), ("one", "odd3", "", [("", True)], None)]
+    i = spark.createDataFrame(items, "id string, system string, slice string, split string, lang string, ref string, duration double, skipped string")
+    o = spark.createDataFrame(outputs, "system string, id string, text string, words array<struct<text:string,unclear:boolean>>, error string")
+    names = ["id", "system", *scoring.TEXT_SCORES, *scoring.UNCLEAR, "empty_ref"]
+    plain = scoring.text_scores(i.join(o.withColumnsRenamed({"text": "hyp", "words": "said_words"}), ["system", "id"], "left"), "said_words")
+    want = sorted(map(str, plain.select(names).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, _, size = moved(spark, lambda: sorted(map(str, scoring.score_items(i, o).select(names).collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and len(got) == 60 * 2 + 4 + 1 + 1 + 3
+    assert size < 1.3 * sum(len(x[5]) for x in items) * 2
